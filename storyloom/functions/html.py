@@ -188,7 +188,7 @@ def _sanitize(html: pd.Series) -> pd.Series:
     return html.map(sanitized, na_action="ignore")
 
 
-@F.pandas_udf("title string, text string")
+@F.pandas_udf(T.StructType([T.StructField("title", T.StringType()), T.StructField("text", T.StringType())]))
 def _main_content(html: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([main_content_of(h or "") for h in html], columns=["title", "text"])
 

@@ -31,6 +31,7 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, app: str = "sto
         .appName(app)
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )
     for key, value in SESSION_CONF.items():
