@@ -41,12 +41,11 @@ def ancient_stories(stories: DataFrame, now, days: int = DEFAULTS.purge_archived
 
 def detach(articles: DataFrame, gone: DataFrame) -> DataFrame:
     """Clear the story of articles whose story is deleted (declared SET NULL)."""
+    from storyloom.operators.updates import left_by_story
+
     dead = gone.select(F.col("id").alias("event_id"), F.lit(True).alias("_gone")).distinct()
-    return (
-        articles.join(dead, "event_id", "left")
-        .withColumn("event_id", F.when(F.col("_gone"), F.lit(None)).otherwise(F.col("event_id")))
-        .drop("_gone")
-    )
+    cleared = F.when(F.col("_gone"), F.lit(None)).otherwise(F.col("event_id"))
+    return left_by_story(articles, dead).withColumn("event_id", cleared).drop("_gone")
 
 
 def purge_ancient(stories: DataFrame, now, days: int = DEFAULTS.purge_archived_after_days, limit: int | None = DEFAULTS.purge_archived_batch) -> DataFrame:
