@@ -328,13 +328,22 @@ def with_views(sql: str) -> str:
     return f"WITH {recursive}{', '.join([*ctes, body])}"
 
 
-def load_raw(spark: SparkSession, sf_dir: str) -> None:
-    for name in RAW_TABLES:
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+_LAYOUT = {
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "pages": "page_id bigint, url string, html string",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+
+
+def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.schema(_LAYOUT[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    load_raw(spark, sf_dir)
-    names = closure([name])
-    ctes = ", ".join(f"{n} AS ({_render(n, _SPARK).strip()})" for n in names)
+    for table in RAW_TABLES:
+        raw(spark, sf_dir, table).createOrReplaceTempView(table)
+    ctes = ", ".join(f"{n} AS ({_render(n, _SPARK).strip()})" for n in closure([name]))
     return spark.sql(f"WITH {ctes} SELECT * FROM {name}")

@@ -25,10 +25,12 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in fixtures.VIEWS:
             raise AttributeError(name)
-        return fixtures.view(self.spark, self.sf_dir, name)
+        frame = fixtures.view(self.spark, self.sf_dir, name)
+        setattr(self, name, frame)
+        return frame
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return fixtures.raw(self.spark, self.sf_dir, name)
 
 
 class Query(NamedTuple):

@@ -17,6 +17,7 @@ from storyloom.operators.lifecycle import reset_expiry
 from storyloom.operators.merging import accept_in_order, merge_stories
 from storyloom.operators.rollups import grouped, now_col, same_source_stories, story_article_counts
 from storyloom.operators.updates import change_rows, delete_rows, feedback_rows, left_by_story, lookup
+from storyloom.session import cut_lineage
 from storyloom.settings import DEFAULTS
 
 
@@ -51,7 +52,7 @@ def add_stories(stories: DataFrame, fresh: DataFrame) -> DataFrame:
 def apply_moves(articles: DataFrame, stories: DataFrame, moves: DataFrame, now) -> Applied:
     """Move (with ``from_event_id``) or add (without) articles to a story, or to a newly named one."""
     judged = lookup(moves, "article_id", articles, "id", current="event_id", published_date="published_date")
-    judged = lookup(judged, "to_event_id", stories, "id", old_last="last_article_at")
+    judged = lookup(judged, "to_event_id", stories, "id", moves)
     is_add = F.col("from_event_id").isNull()
     name = non_empty(strip(F.col("new_name")))
     bad = (
@@ -61,13 +62,15 @@ def apply_moves(articles: DataFrame, stories: DataFrame, moves: DataFrame, now)
         .when(F.col("to_event_id").isNotNull() & ~F.col("has_to_event_id"), "no_target")
     )
     judged = judged.withColumns({"bad": bad, "is_add": is_add, "story_name": name})
+    judged = cut_lineage(judged)
     last = judged.filter(F.col("bad").isNull()).groupBy("article_id").agg(F.max("pos").alias("_last"))
     judged = judged.join(last, "article_id", "left").withColumn(
         "outcome", F.coalesce("bad", F.when(F.col("pos") == F.col("_last"), "applied").otherwise("superseded"))
     )
     winners = judged.filter(F.col("outcome") == "applied")
     named = with_new_ids(winners.filter(F.col("to_event_id").isNull()).select("pos", "story_name"), "pos", stories)
-    placed = winners.join(named.select("pos", F.col("id").alias("_new_id")), "pos", "left").withColumn("target", F.coalesce("to_event_id", "_new_id"))
+    placed = cut_lineage(winners.join(named.select("pos", F.col("id").alias("_new_id")), "pos", "left").withColumn("target", F.coalesce("to_event_id", "_new_id")))
+    named = placed.filter(F.col("to_event_id").isNull()).select(F.col("target").alias("id"), "story_name")
 
     article_changes = placed.select(F.col("article_id").alias("id"), F.col("target").alias("event_id"), now_col(now).alias("grouped_at"))
     # Adds also move the story's date forward and activate it.
@@ -96,14 +99,16 @@ def apply_removals(articles: DataFrame, stories: DataFrame, summaries: DataFrame
     Several removals from one story count together.  Also returns the summaries that stay.
     """
     judged = lookup(removals, "article_id", articles, "id", current="event_id")
-    judged = lookup(judged, "event_id", stories, "id")
-    valid = judged.filter(F.col("has_event_id") & (F.col("current") == F.col("event_id"))).groupBy("event_id", "article_id").agg(F.min("pos").alias("pos"))
+    judged = lookup(judged, "event_id", stories, "id", removals)
+    fit = judged.filter(F.col("has_event_id") & (F.col("current") == F.col("event_id")))
+    valid = cut_lineage(fit.groupBy("event_id", "article_id").agg(F.min("pos").alias("pos")))
     log = removals.select("pos").join(valid.select("pos", F.lit("removed").alias("outcome")), "pos", "left").withColumn("outcome", F.coalesce("outcome", F.lit("not_in_story")))
     removed = valid.groupBy("event_id").agg(F.count("*").alias("_removed"))
     disbanded = (
         story_article_counts(articles).join(removed, "event_id").filter(F.col("article_count") - F.col("_removed") < 2)
         .select(F.col("event_id").alias("id"))
     )
+    disbanded = cut_lineage(disbanded)
     out = valid.select(F.col("article_id").alias("id"), F.lit(True).alias("_out"))
     dead = disbanded.select(F.col("id").alias("event_id"), F.lit(True).alias("_dead"))
     free = F.coalesce(F.col("_out") | F.col("_dead"), F.col("_out"), F.col("_dead"), F.lit(False))
@@ -120,7 +125,7 @@ def apply_removals(articles: DataFrame, stories: DataFrame, summaries: DataFrame
 
 def apply_merges_manual(articles: DataFrame, stories: DataFrame, merges: DataFrame, now) -> Applied:
     """Merge stories in request order; the surviving story keeps its dates and status."""
-    judged = lookup(lookup(merges, "primary_id", stories, "id"), "secondary_id", stories, "id")
+    judged = lookup(lookup(merges, "primary_id", stories, "id"), "secondary_id", stories, "id", merges)
     fit = judged.filter(F.col("has_primary_id") & F.col("has_secondary_id") & (F.col("primary_id") != F.col("secondary_id")))
     decided = accept_in_order(fit.select("pos", F.col("primary_id").alias("keep"), F.col("secondary_id").alias("drop")))
     accepted = decided.filter("accepted").join(merges.select("pos", "note"), "pos")
@@ -143,12 +148,13 @@ def apply_splits(articles: DataFrame, stories: DataFrame, splits: DataFrame, now
     heads = lookup(heads, "event_id", stories, "id", parent_name="name")
     name = non_empty(strip(F.col("new_name")))
     heads = heads.withColumn("outcome", F.when(~F.col("has_event_id"), "no_story").when(name.isNull(), "no_name").otherwise("split"))
-    valid = with_new_ids(heads.filter(F.col("outcome") == "split").withColumn("story_name", name), "pos", stories)
+    heads = cut_lineage(heads)
+    valid = cut_lineage(with_new_ids(heads.filter(F.col("outcome") == "split").withColumn("story_name", name), "pos", stories))
     asked = splits.join(valid.select("pos", F.col("id").alias("target")), "pos").select("pos", "event_id", "article_id", "target")
     placed = lookup(asked, "article_id", articles, "id", current="event_id", published_date="published_date")
-    placed = placed.filter(F.col("current") == F.col("event_id")).groupBy("article_id").agg(
+    placed = cut_lineage(placed.filter(F.col("current") == F.col("event_id")).groupBy("article_id").agg(
         F.min_by("target", "pos").alias("target"), F.first("published_date").alias("published_date")
-    )
+    ))
     dates = placed.groupBy(F.col("target").alias("id")).agg(F.coalesce(F.max("published_date"), now_col(now)).alias("last_article_at"))
     fresh = new_story_rows(valid.join(dates, "id", "left"), now, F.col("story_name"), F.col("last_article_at"))
     default_note = F.concat(F.lit("split out '"), F.col("story_name"), F.lit("' from '"), F.col("parent_name"), F.lit("'"))
@@ -170,7 +176,7 @@ def apply_story_changes(articles: DataFrame, stories: DataFrame, changes: DataFr
         .when(F.col("status").isNotNull() & ~F.col("status").isin(STATUSES), "bad_status")
         .otherwise("updated")
     )
-    judged = judged.withColumn("outcome", outcome)
+    judged = cut_lineage(judged.withColumn("outcome", outcome))
     given = lambda c: F.when(F.col(c).isNotNull(), F.col("pos"))
     stamps = F.when(F.col("status").isin("active", "archived"), F.col("pos"))
     edits = judged.filter(F.col("outcome") == "updated").groupBy(F.col("event_id").alias("id")).agg(

@@ -16,6 +16,7 @@ from storyloom.functions.html import extract_main_content as main_content
 from storyloom.functions.html import html_to_text, sanitize_html
 from storyloom.operators.rank import first_per
 from storyloom.operators.rollups import ago, now_col
+from storyloom.session import cut_lineage
 from storyloom.settings import DEFAULTS
 
 ERROR_CHARS = 1000
@@ -201,7 +202,7 @@ def ingest_articles(
     cap: int = DEFAULTS.max_entries_per_feed, min_words: int = DEFAULTS.min_words,
 ) -> Ingest:
     """The whole chain; ``articles`` of the result are the new rows only."""
-    gated = gate_entries(entries, articles, failures, now, cap)
+    gated = cut_lineage(gate_entries(entries, articles, failures, now, cap))
     candidates = gated.withColumn("raw_description", pick_description(gated))
     documents = scrape_error_gate(scrapes).select(
         F.col("url").alias("scraped_url"), "text", F.col("html").alias("_html"), "word_count", "scrape_error"

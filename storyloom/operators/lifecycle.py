@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storyloom.operators.rollups import ago, grouped, later, now_col
+from storyloom.session import cut_lineage
 from storyloom.settings import DEFAULTS
 
 
@@ -74,7 +75,7 @@ def lifecycle_tick(stories: DataFrame, articles: DataFrame, proposals: DataFrame
     from storyloom.operators.reads import empty_stories
 
     reaped = reap_expired(stories, now)
-    empty = empty_stories(reaped, articles, now).select("id", F.lit("purged_empty").alias("outcome"))
+    empty = cut_lineage(empty_stories(reaped, articles, now).select("id", F.lit("purged_empty").alias("outcome")))
     rest = reaped.join(empty, "id", "left_anti")
     ancient = ancient_stories(rest, now).select("id", F.lit("purged").alias("outcome"))
     removed = empty.unionByName(ancient)

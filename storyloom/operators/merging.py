@@ -130,6 +130,7 @@ def merge_stories(articles: DataFrame, stories: DataFrame, accepted: DataFrame,
 def dedup_events(articles: DataFrame, stories: DataFrame, pairs: DataFrame, now, min_confidence: float = DEFAULTS.dedup_confidence) -> tuple[Merged, DataFrame]:
     """Accept proposed pairs and merge; also returns the outcome of every pair."""
     outcomes = accept_merge_pairs(pairs, stories, min_confidence)
+    outcomes = cut_lineage(outcomes)
     accepted = outcomes.filter(F.col("outcome") == "merged")
     note = F.concat(F.lit("llm: "), F.col("reason"))
     return merge_stories(articles, stories, accepted.select("pos", "keep", "drop", "reason"), now, note=note), outcomes
@@ -159,7 +160,7 @@ def dedup_by_name(stories: DataFrame, articles: DataFrame) -> DataFrame:
 
 
 def apply_dedup_by_name(articles: DataFrame, stories: DataFrame, now) -> Merged:
-    actions = dedup_by_name(stories, articles)
+    actions = cut_lineage(dedup_by_name(stories, articles))
     pairs = actions.filter(F.col("action") == "merge").select(F.col("secondary_id").alias("pos"), F.col("primary_id").alias("keep"), F.col("secondary_id").alias("drop"))
     merged = merge_stories(articles, stories, pairs, now, kind="cli_dedup")
     phantoms = actions.filter(F.col("action") == "delete_empty_phantom").select(F.col("secondary_id").alias("id"))

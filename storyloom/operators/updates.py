@@ -11,14 +11,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def lookup(requests: DataFrame, key: str, table: DataFrame, table_key: str, **columns: str) -> DataFrame:
-    """Left-join columns of ``table``; the table is first cut to the keys asked for."""
-    asked = requests.select(F.col(key).alias(table_key)).filter(F.col(table_key).isNotNull()).distinct()
-    picked = [F.col(source).alias(name) for name, source in columns.items()]
-    found = table.select(F.col(table_key), *[c for c in picked]).join(asked, table_key, "left_semi")
-    return requests.join(found.withColumnRenamed(table_key, "_found"), F.col(key) == F.col("_found"), "left").withColumn(
-        f"has_{key}", F.col("_found").isNotNull()
-    ).drop("_found")
+def lookup(rows: DataFrame, key: str, table: DataFrame, table_key: str, requests: DataFrame | None = None, **columns: str) -> DataFrame:
+    """Left-join columns of ``table`` and say in ``has_<key>`` whether there was a row.
+
+    The table is first cut to the keys asked for, which Spark can do by
+    broadcasting them.  The keys are read from ``requests``, so a chain of
+    lookups does not repeat the earlier ones.
+    """
+    source = rows if requests is None else requests
+    asked = source.select(F.col(key).alias(table_key)).filter(F.col(table_key).isNotNull()).distinct()
+    picked = [F.col(column).alias(name) for name, column in columns.items()]
+    found = table.select(F.col(table_key), *picked).join(asked, table_key, "left_semi").withColumnRenamed(table_key, "_found")
+    joined = rows.join(found, F.col(key) == F.col("_found"), "left")
+    return joined.withColumn(f"has_{key}", F.col("_found").isNotNull()).drop("_found")
 
 
 def change_rows(table: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
