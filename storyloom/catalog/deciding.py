@@ -418,10 +418,10 @@ def _(t):
 
 @query("propose_revivals", f"""WITH {_CENTROIDS},
 near AS (SELECT a.id, c.event_id, {_COSINE.format('CAST(v.embedding AS DOUBLE[])', 'c.c')} AS cosine FROM articles a JOIN embeddings v ON v.vec_id = a.id, centroids c JOIN stories s ON s.id = c.event_id
- WHERE a.event_id IS NULL AND a.published_date >= {{NOW}} - INTERVAL '14' DAY AND s.status = 'archived' AND s.archived_at >= {{NOW}} - INTERVAL '30' DAY QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY cosine DESC, c.event_id) = 1)
-SELECT event_id, count(*) AS evidence, round(max(cosine), 6) AS best_cosine FROM near WHERE cosine >= 0.1 GROUP BY event_id""")
+ WHERE a.event_id IS NULL AND a.published_date >= {{NOW}} - INTERVAL '14' DAY AND s.status = 'archived' AND s.archived_at >= {{NOW}} - INTERVAL '120' DAY QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY cosine DESC, c.event_id) = 1)
+SELECT event_id, count(*) AS evidence, round(max(cosine), 6) AS best_cosine FROM near WHERE cosine >= -1 GROUP BY event_id""")
 def _(t):
-    return proposing.propose_revivals(t.articles, t.stories, t.raw("embeddings"), NOW, threshold=0.1)
+    return proposing.propose_revivals(t.articles, t.stories, t.raw("embeddings"), NOW, threshold=-1.0, revive_days=120)
 
 
 @query("propose_duplicates", rf"""WITH {_CENTROIDS},

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from storyloom.catalog.registry import NOW, query
 from storyloom.functions import dates, html, text
 from storyloom.operators import ingest, verdicts
+from storyloom.session import shared_dir
 from storyloom.sources import feeds as feed_source
 from storyloom.sources import tables
 
@@ -145,9 +146,45 @@ def _(t):
 # --- sources -----------------------------------------------------------------
 
 
-@query("load_tables", "SELECT doc_id, lang, source, n_chars, length(text) AS chars FROM documents")
+@query("load_tables", "SELECT id, name, status, created_at, last_article_at, archived_at, expires_at, CAST(NULL AS VARCHAR) AS description FROM stories")
 def _(t):
-    return tables.load_raw_table(t.spark, t.sf_dir, "documents").select("doc_id", "lang", "source", "n_chars", F.length("text").alias("chars"))
+    base = tables.run_dir(shared_dir(t.spark), "store")
+    tables.write_snapshot(t.stories.limit(0), base, "stories")
+    tables.write_snapshot(t.stories, base, "stories")
+    loaded = tables.load_tables(t.spark, base, ["stories"])["stories"]
+    return loaded.select("id", "name", "status", "created_at", "last_article_at", "archived_at", "expires_at", "description")
+
+
+@query("write_snapshot", "SELECT id, feed_source_id, title, event_id, word_count, scraped_text_content FROM articles")
+def _(t):
+    base = tables.run_dir(shared_dir(t.spark), "store")
+    tables.write_snapshot(t.articles, base, "articles", files_by=["event_id"])
+    loaded = tables.load_tables(t.spark, base, ["articles"])["articles"]
+    return loaded.select("id", "feed_source_id", "title", "event_id", "word_count", "scraped_text_content")
+
+
+@query("append_articles", "SELECT id, url, title FROM articles")
+def _(t):
+    path = tables.run_dir(shared_dir(t.spark), "articles")
+    tables.append_articles(t.articles.filter(F.col("event_id").isNull()), path)
+    tables.append_articles(t.articles.filter(F.col("event_id").isNotNull()), path)
+    return t.spark.read.parquet(path).select("id", "url", "title")
+
+
+@query("read_feed_entries", "SELECT feed_id, trim(title) AS title, link, published, updated, trim(description) AS description FROM feed_entries")
+def _(t):
+    path = tables.run_dir(shared_dir(t.spark), "landing")
+    feed_source.land_feed_documents(t.feed_entries, path)
+    return feed_source.read_feed_entries(t.spark, path).select("feed_id", F.trim("title").alias("title"), "link", "published", "updated", F.trim("description").alias("description"))
+
+
+@query("stream_feed_entries", "SELECT feed_id, link, published FROM feed_entries")
+def _(t):
+    from storyloom.streaming.streams import run_into_files
+
+    path = tables.run_dir(shared_dir(t.spark), "landing")
+    feed_source.land_feed_documents(t.feed_entries, path)
+    return run_into_files(feed_source.stream_feed_entries(t.spark, path).select("feed_id", "link", "published"), "entries")
 
 
 @query("evolve_schema", """
@@ -334,28 +371,28 @@ def _(t):
     return checks.select("feed_id", "pos", "scraped_words", "description_chars", "content_type", "scraper_error", "all_gates", F.array_join("fails", ";").alias("fails"))
 
 
-@query("feed_verdict", f"""WITH {_CHECKS},
+_VERDICT = f"""{_CHECKS},
 marked AS (SELECT feed_id, pos, {_LINKED} AS has_link, coalesce({feed_date('published')}, {feed_date('updated')}) IS NOT NULL AS has_date FROM feed_entries),
 stops AS (SELECT feed_id, max(pos) AS stop FROM sampled GROUP BY feed_id HAVING count(*) = 5),
 seen AS (SELECT m.feed_id, count(*) AS entries_seen, count(*) FILTER (WHERE (s.stop IS NULL OR m.pos <= s.stop) AND m.has_link) AS entries_with_link,
  count(*) FILTER (WHERE (s.stop IS NULL OR m.pos <= s.stop) AND m.has_date) AS entries_with_date FROM marked m LEFT JOIN stops s ON s.feed_id = m.feed_id GROUP BY m.feed_id),
 per_feed AS (SELECT feed_id, count(*) AS sampled, count(*) FILTER (WHERE scraped_url IS NOT NULL AND error IS NULL) AS entries_scraped,
- count(*) FILTER (WHERE error IS NULL AND scraped_words >= 350) AS entries_full_text, count(*) FILTER (WHERE all_gates) AS entries_all_gates FROM judged GROUP BY feed_id)
-SELECT n.feed_id, n.entries_seen, n.entries_with_link, n.entries_with_date, coalesce(sampled, 0) AS sampled, coalesce(entries_scraped, 0) AS entries_scraped,
+ count(*) FILTER (WHERE error IS NULL AND scraped_words >= 350) AS entries_full_text, count(*) FILTER (WHERE all_gates) AS entries_all_gates FROM judged GROUP BY feed_id),
+verdict AS (SELECT n.feed_id, n.entries_seen, n.entries_with_link, n.entries_with_date, coalesce(sampled, 0) AS sampled, coalesce(entries_scraped, 0) AS entries_scraped,
  coalesce(entries_full_text, 0) AS entries_full_text, coalesce(entries_all_gates, 0) AS entries_all_gates,
  round(100.0e0 * coalesce(entries_full_text, 0) / greatest(1, coalesce(sampled, 0)), 6) AS pct_full_text, round(100.0e0 * coalesce(entries_all_gates, 0) / greatest(1, coalesce(sampled, 0)), 6) AS pct_all_gates,
  coalesce(sampled, 0) > 0 AND coalesce(entries_all_gates, 0) >= greatest(1, coalesce(sampled, 0) // 2) AS overall_pass
-FROM seen n LEFT JOIN per_feed p ON p.feed_id = n.feed_id""")
+FROM seen n LEFT JOIN per_feed p ON p.feed_id = n.feed_id)"""
+
+
+@query("feed_verdict", f"WITH {_VERDICT} SELECT * FROM verdict")
 def _(t):
     return verdicts.feed_verdict(t.feed_entries, t.scrapes)
 
 
-@query("export_verdicts", None)
+@query("export_verdicts", f"WITH {_VERDICT} SELECT feed_id, entries_seen, sampled, overall_pass FROM verdict")
 def _(t):
-    from storyloom.session import shared_dir
-    from storyloom.sources.tables import export_verdicts, run_dir
-
-    path = run_dir(shared_dir(t.spark), "verdicts")
-    export_verdicts(verdicts.feed_verdict(t.feed_entries, t.scrapes), path)
+    path = tables.run_dir(shared_dir(t.spark), "verdicts")
+    tables.export_verdicts(verdicts.feed_verdict(t.feed_entries, t.scrapes), path)
     return t.spark.read.schema("feed_id long, entries_seen long, sampled long, overall_pass boolean").json(path)
 

@@ -22,31 +22,40 @@ ITEM = T.StructType([
 ])
 
 
-def _entries(items: DataFrame) -> DataFrame:
-    """Feed items as entries; the file name tells the feed, the place in the file the order."""
+#: Landing layout: one folder ``feed_id=<id>`` per feed, so the feed is a partition column.
+LANDED = T.StructType([*ITEM.fields, T.StructField("feed_id", T.LongType())])
+
+
+def _as_entries(items: DataFrame, pos) -> DataFrame:
+    absent = F.lit(None).cast("string")
     return items.select(
-        F.regexp_extract(F.col("_metadata.file_name"), r"^(\d+)", 1).try_cast("long").alias("feed_id"),
-        F.monotonically_increasing_id().alias("pos"),
-        "title", "link", F.coalesce("published", "pubDate").alias("published"), "updated",
-        F.lit(None).cast("string").alias("summary_detail"), "summary", "description",
-        F.lit(None).cast("string").alias("content_value"),
+        "feed_id", pos.alias("pos"), "title", "link", F.coalesce("published", "pubDate").alias("published"), "updated",
+        absent.alias("summary_detail"), "summary", "description", absent.alias("content_value"),
     )
 
 
 def read_feed_entries(spark: SparkSession, path: str, row_tag: str = "item") -> DataFrame:
-    """Entries of landed feed documents, files named ``<feed id>-….xml``."""
-    return _entries(spark.read.format("xml").option("rowTag", row_tag).schema(ITEM).load(path))
+    """Entries of landed feed documents, in document order.
+
+    Running ids rise within a task, and a feed document is far smaller than
+    one input split, so they keep the order of its items.
+    """
+    items = spark.read.format("xml").option("rowTag", row_tag).schema(LANDED).load(path)
+    return _as_entries(items, F.monotonically_increasing_id())
 
 
 def stream_feed_entries(spark: SparkSession, path: str, row_tag: str = "item") -> DataFrame:
-    """The same as a stream over the landing folder; order in a feed is by arrival."""
-    stream = spark.readStream.format("xml").option("rowTag", row_tag).schema(ITEM).load(path)
-    return stream.select(
-        F.regexp_extract(F.col("_metadata.file_name"), r"^(\d+)", 1).try_cast("long").alias("feed_id"),
-        F.unix_micros(F.col("_metadata.file_modification_time")).alias("pos"),
-        "title", "link", F.coalesce("published", "pubDate").alias("published"), "updated",
-        F.lit(None).cast("string").alias("summary_detail"), "summary", "description",
-        F.lit(None).cast("string").alias("content_value"),
+    """The same as a stream over the landing folder; the order of a feed is that of arrival."""
+    items = spark.readStream.format("xml").option("rowTag", row_tag).schema(LANDED).load(path)
+    return _as_entries(items.select("*", "_metadata.file_modification_time"), F.unix_micros("file_modification_time"))
+
+
+def land_feed_documents(entries: DataFrame, path: str, row_tag: str = "item") -> None:
+    """Write entries as feed documents in the landing layout."""
+    columns = [f.name for f in ITEM.fields if f.name in entries.columns]
+    (
+        entries.select("feed_id", *columns).write.mode("overwrite").partitionBy("feed_id")
+        .format("xml").option("rowTag", row_tag).option("rootTag", "channel").save(path)
     )
 
 

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.utils import AnalysisException
 
 from storyloom import schemas
 from storyloom.settings import DEFAULTS
@@ -44,14 +45,13 @@ def evolve_schema(df: DataFrame, target: T.StructType) -> DataFrame:
     return df.select(*columns, *extra)
 
 
-def _pointer(spark: SparkSession, base: str, table: str) -> str | None:
-    """Version the pointer names: the newest line of a one-column text table."""
-    path = f"{base}/{table}/{POINTER}"
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path):
+def _current_version(spark: SparkSession, base: str, table: str) -> str | None:
+    """Version named by the newest pointer record, none where the table was never written."""
+    try:
+        records = spark.read.schema("version string, written_at timestamp").json(f"{base}/{table}/{POINTER}")
+    except AnalysisException:
         return None
-    newest = spark.read.schema("version string, written_at timestamp").json(path).agg(F.max_by("version", "written_at")).first()
-    return newest[0]
+    return records.agg(F.max_by("version", "written_at")).first()[0]
 
 
 def write_snapshot(df: DataFrame, base: str, table: str, version: str | None = None, files_by: list[str] | None = None) -> str:
@@ -74,7 +74,7 @@ def load_tables(spark: SparkSession, base: str, names: list[str] | None = None)
     """Current version of every table, an empty one where none was written."""
     loaded = {}
     for name in names or list(schemas.TABLES):
-        version = _pointer(spark, base, name)
+        version = _current_version(spark, base, name)
         if version is None:
             loaded[name] = spark.createDataFrame([], schemas.TABLES[name])
         else:
