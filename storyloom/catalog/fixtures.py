@@ -338,12 +338,31 @@ _LAYOUT = {
 }
 
 
+#: Tables whose rows are long texts, with the key that spreads them.
+_TEXT_KEYS = {"documents": "doc_id", "pages": "page_id"}
+
+
 def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.schema(_LAYOUT[name]).parquet(f"{sf_dir}/{name}.parquet")
+    """A raw table.
+
+    A text table that comes in fewer splits than there are cores (a small test
+    file is one row group) is spread by its key, or one core would do all the
+    text work.  Data of any size has more splits and is left where it is.
+    """
+    table = spark.read.schema(_LAYOUT[name]).parquet(f"{sf_dir}/{name}.parquet")
+    if name in _TEXT_KEYS:
+        cores = spark.sparkContext.defaultParallelism
+        if table.rdd.getNumPartitions() < cores:
+            table = table.repartition(cores, _TEXT_KEYS[name])
+    return table
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def register_raw(spark: SparkSession, sf_dir: str) -> None:
     for table in RAW_TABLES:
         raw(spark, sf_dir, table).createOrReplaceTempView(table)
+
+
+def view(spark: SparkSession, name: str) -> DataFrame:
+    """A derived view over the registered raw tables."""
     ctes = ", ".join(f"{n} AS ({_render(n, _SPARK).strip()})" for n in closure([name]))
     return spark.sql(f"WITH {ctes} SELECT * FROM {name}")

@@ -21,11 +21,12 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark = apply_session_conf(spark)
         self.sf_dir = sf_dir
+        fixtures.register_raw(self.spark, sf_dir)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in fixtures.VIEWS:
             raise AttributeError(name)
-        frame = fixtures.view(self.spark, self.sf_dir, name)
+        frame = fixtures.view(self.spark, name)
         setattr(self, name, frame)
         return frame
 

@@ -14,18 +14,19 @@ from storyloom.functions.text import non_empty, strip, strip_code_fence
 REQUIRED_SUMMARY_KEYS = ("timeline_narrative", "cross_source_synthesis", "progressive_summary")
 
 
-def strict_json(content: Column) -> Column:
-    """The text when it is exactly one JSON value, else null.
+def parse_exact(content: Column, schema: T.DataType) -> Column:
+    """The text parsed when it is exactly one JSON value, else null.
 
     Spark's JSON reader accepts trailing junk after the first value; inside an
     array it does not, so the text is read as the only element of one.
     """
-    as_array = F.from_json(F.concat(F.lit("["), content, F.lit("]")), T.ArrayType(T.VariantType()))
-    return F.when((F.size(as_array) == 1) & (content != ""), content)
+    as_array = F.from_json(F.concat(F.lit("["), content, F.lit("]")), T.ArrayType(schema))
+    return F.when(F.size(as_array) == 1, F.try_element_at(as_array, F.lit(1)))
 
 
 def parse_strict(content: Column, schema: T.StructType) -> Column:
-    return F.from_json(strict_json(strip_code_fence(content)), schema)
+    """Fence-stripped answer as a struct, null when it cannot be read."""
+    return parse_exact(strip_code_fence(content), schema)
 
 
 def zero_as(value: Column, default: float) -> Column:

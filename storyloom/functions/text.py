@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -104,25 +108,58 @@ _FLAGS = "(?iUd)"
 
 
 def alternation(kind: str) -> str:
-    """One regex per content type, so a text is scanned once per type."""
+    """All patterns of a type as one regex."""
     return "|".join(f"(?:{p})" for p in PATTERNS[kind])
 
 
+def required_literal(pattern: str) -> str:
+    """Longest plain text that every match of the pattern contains."""
+    gaps = re.sub(r"\\.|\[[^]]*\]|\{[^}]*\}|[^?*+][?*+]|[$^|.()]", "\0", pattern)
+    return max(re.sub(r"[?*+]", "\0", gaps).split("\0"), key=len)
+
+
+def _any_match(text: Column, kind: str) -> Column:
+    """Does any pattern of the type match?
+
+    Patterns bound to the start are one regex that gives up at once elsewhere.
+    The others are tried only where a plain substring search finds the words
+    they need, which for most texts is nowhere.
+    """
+    bound = [p[1:] for p in PATTERNS[kind] if p.startswith("^")]
+    free = [p for p in PATTERNS[kind] if not p.startswith("^")]
+    tests = []
+    if bound:
+        tests.append(text.rlike(f"{_FLAGS}^(?:{'|'.join(f'(?:{p})' for p in bound)})"))
+    if free:
+        folded = F.lower(F.upper(text))
+        hints = [F.contains(folded, F.lit(word)) for word in sorted({required_literal(p) for p in free})]
+        regex = text.rlike(_FLAGS + "|".join(f"(?:{p})" for p in free))
+        tests.append(reduce(or_, hints) & regex)
+    return reduce(or_, tests)
+
+
 def _first_type(text: Column, order: list[str]) -> Column:
     """First matching type, null when none matches."""
-    found = F.when(text.rlike(_FLAGS + alternation(order[0])), F.lit(order[0]))
+    found = F.when(_any_match(text, order[0]), F.lit(order[0]))
     for kind in order[1:]:
-        found = found.when(text.rlike(_FLAGS + alternation(kind)), F.lit(kind))
+        found = found.when(_any_match(text, kind), F.lit(kind))
     return found
 
 
+# Every character Unicode counts as white space.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip(c: Column) -> Column:
-    """Trim every kind of Unicode white space from both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Trim every kind of white space from both ends, without a regex over the whole text."""
+    return F.trim(c, F.lit(WHITE_SPACE))
 
 
 def rstrip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)\s+$", "")
+    return F.rtrim(c, F.lit(WHITE_SPACE))
 
 
 def non_empty(c: Column) -> Column:
@@ -168,8 +205,11 @@ def truncate_ellipsis(text: Column, n: int) -> Column:
 
 
 def strip_code_fence(content: Column) -> Column:
-    opened = F.regexp_replace(strip(content), r"^(?:```json)?(?:```)?", "")
-    return strip(F.regexp_replace(opened, r"```$", ""))
+    """Drop an opening fence (with or without ``json``) and a closing one."""
+    text = strip(content)
+    opened = F.when(F.startswith(text, F.lit("```")), F.regexp_replace(text, r"^(?:```json)?(?:```)?", "")).otherwise(text)
+    closed = F.when(F.endswith(opened, F.lit("```")), F.left(opened, F.length(opened) - 3)).otherwise(opened)
+    return strip(closed)
 
 
 def valid_visitor_id(visitor: Column) -> Column:

@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from storyloom import schemas
-from storyloom.functions.answers import parse_strict, recover_summary, strict_json, summary_block
+from storyloom.functions.answers import parse_exact, parse_strict, recover_summary, summary_block
 from storyloom.functions.dates import iso_text
 from storyloom.functions.text import classify_title, non_empty, snippet, strip_code_fence, truncate_ellipsis
 from storyloom.operators import rank
@@ -197,14 +198,17 @@ def save_summary(summaries: DataFrame, stories: DataFrame, articles: DataFrame,
 
 
 def parse_assignments(responses: DataFrame) -> DataFrame:
-    """Rows of all answers; an answer that cannot be read gives one row with ``error``."""
-    parsed = responses.select("id", F.posexplode_outer(parse_strict(F.col("content"), schemas.ASSIGNMENTS)["assignments"]).alias("place", "a"),
-                              strict_json(strip_code_fence(F.col("content"))).isNull().alias("error"))
+    """Rows of all answers; an answer that cannot be read gives one row with ``error``.
+
+    Each answer is parsed once; its text is gone before the rows unfold.
+    """
+    parsed = responses.select("id", parse_strict(F.col("content"), schemas.ASSIGNMENTS).alias("answer"))
+    listed = parsed.select("id", F.col("answer").isNull().alias("error"), F.col("answer.assignments").alias("items"))
+    rows = listed.select("id", "error", F.posexplode_outer("items").alias("place", "a")).filter(F.col("a").isNotNull() | F.col("error"))
     number = lambda c: F.col(f"a.{c}").try_cast("double")
     importance = number("importance_score")
-    rows = parsed.filter(F.col("a").isNotNull() | F.coalesce("error", F.lit(True)))
     return rows.select(
-        "id", "place", F.coalesce("error", F.lit(True)).alias("error"), F.col("a.article_id").try_cast("long").alias("article_id"), F.col("a.decision").alias("decision"),
+        "id", "place", "error", F.col("a.article_id").try_cast("long").alias("article_id"), F.col("a.decision").alias("decision"),
         F.col("a.event_id").try_cast("long").alias("event_id"), F.col("a.event_name").alias("event_name"),
         F.when(F.col("a").isNotNull(), F.when(importance.isNull() | (importance == 0), F.lit(0.5)).otherwise(importance)).alias("importance_score"),
         F.when(F.col("a").isNotNull(), F.coalesce(number("confidence"), F.lit(0.0))).alias("confidence"), F.col("a.reasoning").alias("reasoning"),
@@ -225,28 +229,26 @@ def parse_merge_pairs(responses: DataFrame) -> DataFrame:
 def parse_recluster_diff(responses: DataFrame) -> DataFrame:
     """Proposals of all answers: (id, kind, payload, rationale)."""
     diff = responses.select("id", parse_strict(F.col("content"), schemas.RECLUSTER_DIFF).alias("d"))
-    event = lambda: _json(F.col("x").alias("event_id"))
-    null = F.lit(None).cast("string")
+    whole = lambda x: F.to_json(x)
+    event = lambda x: _json(x.alias("event_id"))
+    null = lambda x: F.lit(None).cast("string")
     kinds = [
-        ("merge", "merge_candidates", lambda: F.to_json("x"), lambda: F.col("x.reason")),
-        ("split", "split_candidates", lambda: F.to_json("x"), lambda: F.concat(F.lit("split: "), F.coalesce("x.suggested_new_name", F.lit("None")))),
-        ("cool", "cooling_events", event, lambda: null),
-        ("revive", "reviving_events", event, lambda: null),
-        ("new", "new_events", lambda: F.to_json("x"), lambda: F.col("x.name")),
+        ("merge", "merge_candidates", whole, lambda x: x["reason"]),
+        ("split", "split_candidates", whole, lambda x: F.concat(F.lit("split: "), F.coalesce(x["suggested_new_name"], F.lit("None")))),
+        ("cool", "cooling_events", event, null),
+        ("revive", "reviving_events", event, null),
+        ("new", "new_events", whole, lambda x: x["name"]),
     ]
-    # One array of tagged proposals per answer: the answers are read once, not once per kind.
-    tagged = []
-    for kind, field, payload, rationale in kinds:
-        tagged.append(_tag(diff, kind, field, payload, rationale))
-    result = tagged[0]
-    for part in tagged[1:]:
-        result = result.unionByName(part)
-    return result
 
+    def tag(kind, field, payload, rationale):
+        listed = F.coalesce(F.col(f"d.{field}"), F.array().cast(schemas.RECLUSTER_DIFF[field].dataType))
+        return F.transform(listed, lambda x, i: F.struct(
+            i.alias("place"), F.lit(kind).alias("kind"), payload(x).alias("payload"), rationale(x).alias("rationale")
+        ))
 
-def _tag(diff: DataFrame, kind: str, field: str, payload, rationale) -> DataFrame:
-    rows = diff.select("id", F.posexplode(F.col("d")[field]).alias("place", "x"))
-    return rows.select("id", "place", F.lit(kind).alias("kind"), payload().alias("payload"), rationale().alias("rationale"))
+    # One list per answer, so the answers are read and parsed once.
+    tagged = [tag(*kind) for kind in kinds]
+    return diff.select("id", F.explode(F.concat(*tagged)).alias("p")).select("id", "p.place", "p.kind", "p.payload", "p.rationale")
 
 
 def write_proposals(proposals: DataFrame, parsed: DataFrame, now) -> DataFrame:
@@ -285,7 +287,7 @@ def parse_summaries(responses: DataFrame) -> DataFrame:
 
     Only answers that are not clean JSON pass through the Python recovery.
     """
-    cleaned = strip_code_fence(F.col("content"))
-    staged = responses.withColumn("_clean", strict_json(cleaned))
-    broken = F.when(F.col("_clean").isNull(), F.col("content"))
-    return staged.select("id", F.coalesce("_clean", recover_summary(broken)).alias("summary_json"))
+    cleaned = responses.select("id", strip_code_fence(F.col("content")).alias("text"))
+    judged = cleaned.withColumn("ok", parse_exact(F.col("text"), T.VariantType()).isNotNull())
+    recovered = recover_summary(F.when(~F.col("ok"), F.col("text")))
+    return judged.select("id", F.when(F.col("ok"), F.col("text")).otherwise(recovered).alias("summary_json"))
