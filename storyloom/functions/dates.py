@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from storyloom.functions.text import let
+
 _ISO = r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?(?:Z|[+-]\d{2}:\d{2})?)?$"
 _ISO_ZONED = r"(?:Z|[+-]\d{2}:\d{2})$"
 _ISO_DATE_ONLY = r"^\d{4}-\d{2}-\d{2}$"
@@ -26,8 +28,12 @@ def normalize_timestamp(c: Column) -> Column:
     The weekday of a mail-style date is dropped first: Spark's parser has no
     pattern letter for it.
     """
-    mail = F.regexp_replace(c, r"^[A-Za-z]{3},\s*", "")
-    return F.coalesce(_iso(c), *[F.try_to_timestamp(mail, F.lit(f)) for f in _MAIL_FORMATS])
+
+    def read(raw: Column) -> Column:
+        mail = F.regexp_replace(raw, r"^[A-Za-z]{3},\s*", "")
+        return F.coalesce(_iso(raw), *[F.try_to_timestamp(mail, F.lit(f)) for f in _MAIL_FORMATS])
+
+    return let(c, read)
 
 
 def timestamp_from_parts(parts: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
@@ -118,12 +119,21 @@ def required_literal(pattern: str) -> str:
     return max(re.sub(r"[?*+]", "\0", gaps).split("\0"), key=len)
 
 
-def _any_match(text: Column, kind: str) -> Column:
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once.
+
+    Spark copies an expression to every place that uses it when a filter moves
+    below the projection that made it; a lambda variable is not copied.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _any_match(text: Column, folded: Column, kind: str) -> Column:
     """Does any pattern of the type match?
 
     Patterns bound to the start are one regex that gives up at once elsewhere.
-    The others are tried only where a plain substring search finds the words
-    they need, which for most texts is nowhere.
+    The others are tried only where a plain substring search in the folded
+    text finds the words they need, which for most texts is nowhere.
     """
     bound = [p[1:] for p in PATTERNS[kind] if p.startswith("^")]
     free = [p for p in PATTERNS[kind] if not p.startswith("^")]
@@ -131,7 +141,6 @@ def _any_match(text: Column, kind: str) -> Column:
     if bound:
         tests.append(text.rlike(f"{_FLAGS}^(?:{'|'.join(f'(?:{p})' for p in bound)})"))
     if free:
-        folded = F.lower(F.upper(text))
         hints = [F.contains(folded, F.lit(word)) for word in sorted({required_literal(p) for p in free})]
         regex = text.rlike(_FLAGS + "|".join(f"(?:{p})" for p in free))
         tests.append(reduce(or_, hints) & regex)
@@ -140,10 +149,15 @@ def _any_match(text: Column, kind: str) -> Column:
 
 def _first_type(text: Column, order: list[str]) -> Column:
     """First matching type, null when none matches."""
-    found = F.when(_any_match(text, order[0]), F.lit(order[0]))
-    for kind in order[1:]:
-        found = found.when(_any_match(text, kind), F.lit(kind))
-    return found
+
+    def decide(pair: Column) -> Column:
+        whole, folded = pair["whole"], pair["folded"]
+        found = F.when(_any_match(whole, folded, order[0]), F.lit(order[0]))
+        for kind in order[1:]:
+            found = found.when(_any_match(whole, folded, kind), F.lit(kind))
+        return found
+
+    return let(text, lambda whole: let(F.struct(whole.alias("whole"), F.lower(F.upper(whole)).alias("folded")), decide))
 
 
 # Every character Unicode counts as white space.

@@ -191,7 +191,7 @@ def gate_entries(entries: DataFrame, articles: DataFrame, failures: DataFrame, n
         .when(F.col("published_date").isNull(), "no_date")
         .when(text.is_promo(F.col("title")), "promo")
     )
-    gated = rows.withColumn("gate", gate).drop("_failed", "_stored", "cutoff")
+    gated = cut_lineage(rows.withColumn("gate", gate).drop("_failed", "_stored", "cutoff"))
     last = gated.filter(F.col("gate").isNull()).groupBy("link_key").agg(F.max("pos").alias("_last"))
     duplicate = F.when(F.col("gate").isNull() & (F.col("pos") < F.col("_last")), "duplicate")
     return gated.join(last, "link_key", "left").withColumn("gate", F.coalesce("gate", duplicate)).drop("_last")
@@ -202,7 +202,7 @@ def ingest_articles(
     cap: int = DEFAULTS.max_entries_per_feed, min_words: int = DEFAULTS.min_words,
 ) -> Ingest:
     """The whole chain; ``articles`` of the result are the new rows only."""
-    gated = cut_lineage(gate_entries(entries, articles, failures, now, cap))
+    gated = gate_entries(entries, articles, failures, now, cap)
     candidates = gated.withColumn("raw_description", pick_description(gated))
     documents = scrape_error_gate(scrapes).select(
         F.col("url").alias("scraped_url"), "text", F.col("html").alias("_html"), "word_count", "scrape_error"
