@@ -138,11 +138,6 @@ def _(t):
     return t.raw("pages").select("page_id", F.length(html.sanitize_html(F.col("html"))).alias("html_chars"))
 
 
-@query("extract_main_content")
-def _(t):
-    return ingest.read_pages(t.raw("pages")).select("url", "title", "text", "word_count", "scrape_error")
-
-
 # --- sources -----------------------------------------------------------------
 
 
@@ -259,6 +254,17 @@ _ERROR = f"""nullif(concat_ws(' | ', nullif(error, ''), CASE WHEN coalesce(text,
  THEN 'extracted text too short (<50 words) or empty: ' || CAST({_WC} AS VARCHAR) || ' words' END), '')"""
 
 
+_PAGE = r"""
+cut AS (SELECT url, trim(regexp_replace(regexp_extract(html, '<title>(.*?)</title>', 1, 's'), '\s+', ' ', 'g')) AS title, regexp_extract(html, '<article>(.*)</article>', 1, 's') AS body FROM pages),
+flat AS (SELECT url, title, replace(replace(replace(replace(regexp_replace(regexp_replace(body, '</?(p|div|section|li|ul|ol|h[1-6]|br|tr|table|blockquote|pre)(\s[^>]*)?/?>', chr(10), 'g'), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS body FROM cut),
+page AS (SELECT url, replace(replace(replace(replace(title, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS title, regexp_replace(regexp_replace(regexp_replace(body, '\s*\n\s*', chr(10), 'g'), '^\s+|\s+$', '', 'g'), '[ \t]{2,}', ' ', 'g') AS text, CAST(NULL AS VARCHAR) AS error FROM flat)"""
+
+
+@query("extract_main_content", f"WITH {_PAGE} SELECT url, title, text, {_WC} AS word_count, {_ERROR} AS scrape_error FROM page")
+def _(t):
+    return ingest.read_pages(t.raw("pages")).select("url", "title", "text", "word_count", "scrape_error")
+
+
 @query("scrape_error_gate", f"SELECT url, {_WC} AS word_count, {_ERROR} AS scrape_error FROM scrapes")
 def _(t):
     return ingest.scrape_error_gate(t.scrapes).select("url", "word_count", "scrape_error")

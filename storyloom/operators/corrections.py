@@ -16,7 +16,7 @@ from storyloom.operators.ids import with_new_ids
 from storyloom.operators.lifecycle import reset_expiry
 from storyloom.operators.merging import accept_in_order, merge_stories
 from storyloom.operators.rollups import grouped, now_col, same_source_stories, story_article_counts
-from storyloom.operators.updates import change_rows, delete_rows, feedback_rows, left_by_story, lookup
+from storyloom.operators.updates import change_rows, delete_rows, feedback_rows, left_by_story, lookup, not_stored
 from storyloom.session import cut_lineage
 from storyloom.settings import DEFAULTS
 
@@ -278,9 +278,10 @@ def append_chat_turns(messages: DataFrame, stories: DataFrame, turns: DataFrame,
 
 def mark_read(reads: DataFrame, articles: DataFrame, requests: DataFrame) -> DataFrame:
     """Add missing reads of known articles; the first read time stays."""
-    wanted = requests.join(articles.select(F.col("id").alias("article_id")), "article_id", "left_semi")
-    fresh = wanted.groupBy("visitor_id", "article_id").agg(F.min_by("at", "pos").alias("read_at"))
-    return reads.unionByName(fresh.join(reads.select("visitor_id", "article_id"), ["visitor_id", "article_id"], "left_anti").select("visitor_id", "article_id", "read_at"), allowMissingColumns=True)
+    wanted = requests.groupBy("visitor_id", "article_id").agg(F.min_by("at", "pos").alias("read_at"))
+    known = lookup(wanted, "article_id", articles, "id").filter("has_article_id").drop("has_article_id")
+    fresh = not_stored(known.select("visitor_id", "article_id", "read_at"), reads, ["visitor_id", "article_id"])
+    return reads.unionByName(fresh, allowMissingColumns=True)
 
 
 def mark_unread(reads: DataFrame, requests: DataFrame) -> DataFrame:
@@ -291,7 +292,9 @@ def mark_all_read(reads: DataFrame, articles: DataFrame, requests: DataFrame, no
     """Reads to add so that every article of the asked stories is read: the marked ids."""
     asked = requests.select("visitor_id", "event_id").distinct()
     wanted = grouped(articles).select("event_id", F.col("id").alias("article_id")).join(asked, "event_id")
-    missing = wanted.join(reads.select("visitor_id", "article_id"), ["visitor_id", "article_id"], "left_anti")
+    # Reads of other visitors than those who ask do not take part.
+    theirs = reads.join(asked.select("visitor_id").distinct(), "visitor_id", "left_semi")
+    missing = wanted.join(theirs.select("visitor_id", "article_id"), ["visitor_id", "article_id"], "left_anti")
     return missing.select("visitor_id", "article_id", "event_id", now_col(now).alias("read_at"))
 
 

@@ -24,18 +24,16 @@ CENTROIDS_PER_TASK = 20_000
 VECTORS_PER_TASK = 100_000
 
 
-def story_centroids(articles: DataFrame, embeddings: DataFrame) -> DataFrame:
+def story_centroids(articles: DataFrame, embeddings: DataFrame, width: int = 64) -> DataFrame:
     """Element-wise mean of the article vectors of every story.
 
-    Averages are per (story, element) with partial sums, so a hot story is
-    summed where its articles lie; only its few elements meet in one row.
+    One average per element, all in one aggregate with partial sums: a hot
+    story is summed where its articles lie, and no vector is unfolded to rows.
     """
     vectors = embeddings.select(F.col("vec_id").alias("id"), "embedding")
-    elements = grouped(articles).select("id", "event_id").join(vectors, "id").select("event_id", F.posexplode("embedding").alias("place", "value"))
-    means = elements.groupBy("event_id", "place").agg(F.avg("value").alias("value"))
-    return means.groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct("place", "value"))).alias("_e")).select(
-        "event_id", F.transform("_e", lambda e: e["value"]).alias("centroid")
-    )
+    placed = grouped(articles).select("id", "event_id").join(vectors, "id")
+    means = placed.groupBy("event_id").agg(*[F.avg(F.get("embedding", i)).alias(f"e{i}") for i in range(width)])
+    return means.select("event_id", F.array(*[f"e{i}" for i in range(width)]).alias("centroid"))
 
 
 def _unit(rows: pd.Series) -> np.ndarray:

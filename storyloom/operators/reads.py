@@ -9,7 +9,7 @@ from storyloom.functions.scores import story_score
 from storyloom.functions.text import strip
 from storyloom.operators import rank
 from storyloom.operators.lifecycle import reap_expired, stories_with_articles
-from storyloom.operators.rollups import ago, grouped, now_col, story_article_counts, with_is_read
+from storyloom.operators.rollups import ago, grouped, left_join_sliced, now_col, story_article_counts, with_is_read
 from storyloom.settings import DEFAULTS
 
 
@@ -24,7 +24,7 @@ def story_rollup(articles: DataFrame, reads: DataFrame, visits: DataFrame, visit
         visits.filter(F.col("visitor_id") == F.lit(visitor)).groupBy("event_id")
         .agg(F.max("last_visited_at").alias("last_visited_at"))
     )
-    rows = with_is_read(rows, reads, visitor).join(seen, "event_id", "left")
+    rows = left_join_sliced(with_is_read(rows, reads, visitor), seen, "event_id", "id")
     fresh = F.col("last_visited_at").isNull() | (F.col("fetched_at") > F.col("last_visited_at"))
     # First per (story, feed): the distinct feed count becomes a plain count,
     # and a hot story is spread over its feeds before it meets one reducer.

@@ -43,6 +43,17 @@ def delete_rows(table: DataFrame, gone: DataFrame, key: str = "id", gone_key: st
     return table.join(gone.select(F.col(gone_key).alias(key)).distinct(), key, "left_anti")
 
 
+def not_stored(fresh: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of a batch whose key the stored table does not have.
+
+    The big table is cut to the keys of the batch first, which Spark can do by
+    broadcasting them; the anti-join then meets two small sides.
+    """
+    asked = fresh.select(*keys).distinct()
+    present = table.select(*keys).join(asked, keys, "left_semi").distinct()
+    return fresh.join(present, keys, "left_anti")
+
+
 def left_by_story(articles: DataFrame, per_story: DataFrame) -> DataFrame:
     """Left-join one row per ``event_id`` to articles, of which many may have no story.
 

@@ -9,6 +9,7 @@ from storyloom.functions import dates, text
 from storyloom.functions.html import html_to_text, sanitize_html
 from storyloom.operators.ingest import has_link, pick_description
 from storyloom.operators.rank import first_per
+from storyloom.operators.rollups import left_join_sliced
 from storyloom.settings import DEFAULTS
 
 
@@ -35,7 +36,8 @@ def entry_counts(entries: DataFrame, k: int = 5) -> DataFrame:
     first = first_per(marked.filter("valid").select("feed_id", "pos"), ["feed_id"], [F.asc("pos")], k)
     stops = first.groupBy("feed_id").agg(F.max("pos").alias("_stop"), F.count("*").alias("_n")).filter(F.col("_n") == k).drop("_n")
     looked_at = F.col("_stop").isNull() | (F.col("pos") <= F.col("_stop"))
-    return marked.select("feed_id", "pos", "has_link", "has_date").join(stops, "feed_id", "left").groupBy("feed_id").agg(
+    rows = left_join_sliced(marked.select("feed_id", "pos", "has_link", "has_date"), stops, "feed_id", "pos")
+    return rows.groupBy("feed_id").agg(
         F.count("*").alias("entries_seen"),
         F.count_if(looked_at & F.col("has_link")).alias("entries_with_link"),
         F.count_if(looked_at & F.col("has_date")).alias("entries_with_date"),

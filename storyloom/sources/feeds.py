@@ -62,8 +62,9 @@ def land_feed_documents(entries: DataFrame, path: str, row_tag: str = "item") ->
 def seed_feeds(feeds: DataFrame, urls: DataFrame, now, interval_minutes: int = DEFAULTS.fetch_interval_minutes) -> DataFrame:
     """Add the addresses that are not listed yet, named after their host."""
     from storyloom.operators.ids import with_new_ids
+    from storyloom.operators.updates import not_stored
 
-    missing = urls.select("url").distinct().join(feeds.select("url"), "url", "left_anti")
+    missing = not_stored(urls.select("url").distinct(), feeds, ["url"])
     fresh = with_new_ids(missing, "url", feeds).select(
         "id", "url", host_name(F.col("url")).alias("name"), F.lit(interval_minutes).alias("fetch_interval_minutes"),
         F.lit(None).cast("timestamp").alias("last_fetched_at"), now_col(now).alias("created_at"), F.lit(False).alias("is_paused"),

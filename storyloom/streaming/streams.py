@@ -13,6 +13,7 @@ from pyspark.sql.utils import AnalysisException
 
 from storyloom.functions.text import is_promo
 from storyloom.operators.ingest import entry_date, has_link
+from storyloom.operators.updates import not_stored
 from storyloom.session import shared_dir
 from storyloom.settings import DEFAULTS
 from storyloom.sources.tables import run_dir
@@ -87,13 +88,9 @@ def append_new(path: str, keys: list[str], known: DataFrame | None = None):
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates(keys)
-        earlier = stored_before(spark, path, batch_id, batch.schema).select(*keys).distinct()
-        fresh = fresh.join(earlier, keys, "left_anti")
+        fresh = not_stored(batch.dropDuplicates(keys), stored_before(spark, path, batch_id, batch.schema), keys)
         if known is not None:
-            asked = fresh.select(*keys)
-            # The table of record is cut to the keys of the batch before it meets them.
-            fresh = fresh.join(known.select(*keys).join(asked, keys, "left_semi").distinct(), keys, "left_anti")
+            fresh = not_stored(fresh, known, keys)
         fresh.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return write
