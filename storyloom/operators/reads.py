@@ -9,22 +9,18 @@ from storyloom.functions.scores import story_score
 from storyloom.functions.text import strip
 from storyloom.operators import rank
 from storyloom.operators.lifecycle import reap_expired, stories_with_articles
-from storyloom.operators.rollups import ago, grouped, left_join_sliced, now_col, story_article_counts, with_is_read
+from storyloom.operators.rollups import ago, grouped, last_visits, left_join_sliced, now_col, story_article_counts, with_is_read
 from storyloom.settings import DEFAULTS
 
 
 def story_rollup(articles: DataFrame, reads: DataFrame, visits: DataFrame, visitor) -> DataFrame:
     """All per-story aggregates of one visitor in one pass over the articles.
 
-    One visitor's reads and visits are the small sides: Spark broadcasts them
-    when their measured size allows and shuffles on the key otherwise.
+    One visitor's reads and visits are broadcast when a count shows they are
+    few; otherwise the joins shuffle, with the story key cut into slices.
     """
     rows = grouped(articles).select("id", "event_id", "feed_source_id", "importance_score", "fetched_at")
-    seen = (
-        visits.filter(F.col("visitor_id") == F.lit(visitor)).groupBy("event_id")
-        .agg(F.max("last_visited_at").alias("last_visited_at"))
-    )
-    rows = left_join_sliced(with_is_read(rows, reads, visitor), seen, "event_id", "id")
+    rows = left_join_sliced(with_is_read(rows, reads, visitor), last_visits(visits, visitor), "event_id", "id")
     fresh = F.col("last_visited_at").isNull() | (F.col("fetched_at") > F.col("last_visited_at"))
     # First per (story, feed): the distinct feed count becomes a plain count,
     # and a hot story is spread over its feeds before it meets one reducer.

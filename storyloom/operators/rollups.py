@@ -23,6 +23,19 @@ def later(now, **parts: int) -> Column:
     return now_col(now) + F.make_interval(**{k: F.lit(v) for k, v in parts.items()})
 
 
+#: Rows up to which one visitor's marks are broadcast: two or three numbers each, so some 20 MB.
+BROADCAST_ROWS = 500_000
+
+
+def broadcast_if_small(side: DataFrame, measured: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast ``side`` when the rows it is made of were counted and are few; else leave it to a shuffle join.
+
+    Spark cannot tell how few rows a visitor filter leaves and would shuffle
+    the articles.  The count stops one row past the bound.
+    """
+    return F.broadcast(side) if measured.limit(max_rows + 1).count() <= max_rows else side
+
+
 #: Slices a hot key is cut into where its rows meet one small row per key.
 SLICES = 32
 
@@ -104,15 +117,22 @@ def story_unread_all_visitors(articles: DataFrame, reads: DataFrame) -> DataFram
 
 def story_new_since_visit(articles: DataFrame, visits: DataFrame, visitor) -> DataFrame:
     """Articles fetched after the visitor's last visit; all of them when never visited."""
-    seen = visits.filter(F.col("visitor_id") == F.lit(visitor)).groupBy("event_id").agg(F.max("last_visited_at").alias("last_visited_at"))
+    seen = last_visits(visits, visitor)
     fresh = F.col("last_visited_at").isNull() | (F.col("fetched_at") > F.col("last_visited_at"))
     rows = left_join_sliced(grouped(articles).select("id", "event_id", "fetched_at"), seen, "event_id", "id")
     return rows.groupBy("event_id").agg(F.count_if(fresh).alias("new_since_visit"))
 
 
 def with_is_read(articles: DataFrame, reads: DataFrame, visitor) -> DataFrame:
-    mine = _distinct_reads(reads, visitor).select(F.col("article_id").alias("id"), F.lit(True).alias("_read"))
-    return articles.join(mine, "id", "left").withColumn("is_read", F.coalesce("_read", F.lit(False))).drop("_read")
+    mine = reads.filter(F.col("visitor_id") == F.lit(visitor)).select(F.col("article_id").alias("id"))
+    marks = broadcast_if_small(mine.distinct().withColumn("_read", F.lit(True)), mine)
+    return articles.join(marks, "id", "left").withColumn("is_read", F.coalesce("_read", F.lit(False))).drop("_read")
+
+
+def last_visits(visits: DataFrame, visitor) -> DataFrame:
+    """(event_id, last_visited_at) of one visitor; the bound allows for its copies per slice."""
+    mine = visits.filter(F.col("visitor_id") == F.lit(visitor)).select("event_id", "last_visited_at")
+    return broadcast_if_small(mine.groupBy("event_id").agg(F.max("last_visited_at").alias("last_visited_at")), mine, BROADCAST_ROWS // SLICES)
 
 
 def inbox_counts(articles: DataFrame, reads: DataFrame, visitor) -> DataFrame:
