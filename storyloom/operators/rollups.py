@@ -23,15 +23,15 @@ def later(now, **parts: int) -> Column:
     return now_col(now) + F.make_interval(**{k: F.lit(v) for k, v in parts.items()})
 
 
-#: Rows up to which one visitor's marks are broadcast: two or three numbers each, so some 20 MB.
+#: Rows up to which a side of a few short columns is broadcast: some tens of megabytes.
 BROADCAST_ROWS = 500_000
 
 
 def broadcast_if_small(side: DataFrame, measured: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast ``side`` when the rows it is made of were counted and are few; else leave it to a shuffle join.
 
-    Spark cannot tell how few rows a visitor filter leaves and would shuffle
-    the articles.  The count stops one row past the bound.
+    Spark cannot tell how few rows a filter or a batch leaves and would shuffle
+    the articles to meet them.  The count stops one row past the bound.
     """
     return F.broadcast(side) if measured.limit(max_rows + 1).count() <= max_rows else side
 

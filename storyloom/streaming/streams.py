@@ -88,10 +88,15 @@ def append_new(path: str, keys: list[str], known: DataFrame | None = None):
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = not_stored(batch.dropDuplicates(keys), stored_before(spark, path, batch_id, batch.schema), keys)
-        if known is not None:
-            fresh = not_stored(fresh, known, keys)
-        fresh.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        # Kept for the lookups below; without it each would run the stream's state again.
+        arrived = batch.dropDuplicates(keys).persist()
+        try:
+            fresh = not_stored(arrived, stored_before(spark, path, batch_id, batch.schema), keys)
+            if known is not None:
+                fresh = not_stored(fresh, known, keys)
+            fresh.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        finally:
+            arrived.unpersist()
 
     return write
 
