@@ -211,12 +211,11 @@ FROM documents d JOIN articles a ON a.id = d.doc_id
 """
 
 VIEWS["scrapes"] = f"""
-SELECT l.link AS url, 'Scraped ' || CAST(d.doc_id AS {{S}}) AS title,
+SELECT CASE WHEN d.doc_id % 23 = 12 THEN l.link || '?moved' ELSE l.link END AS url, 'Scraped ' || CAST(d.doc_id AS {{S}}) AS title,
  CASE WHEN d.doc_id % 19 = 1 THEN CAST(NULL AS {{S}}) WHEN d.doc_id % 19 = 2 THEN 'too short to count' ELSE d.text END AS text,
  CASE WHEN d.doc_id % 13 = 3 THEN '<script>only()</script>' ELSE '<div class="c" onclick="x()"><!-- note --><p title="t">' || {_DOC_WORDS} || '</p></div>' END AS html,
  CASE WHEN d.doc_id % 17 = 0 THEN 'HTTP 503' ELSE CAST(NULL AS {{S}}) END AS error
 FROM documents d JOIN (SELECT link, max(pos) AS pos FROM feed_entries WHERE link IS NOT NULL GROUP BY link) l ON l.pos = d.doc_id
-WHERE d.doc_id % 23 <> 12
 """
 
 VIEWS["moves"] = f"""

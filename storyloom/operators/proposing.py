@@ -79,10 +79,6 @@ def nearest_story(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
     )
 
 
-def _labelled(articles: DataFrame) -> Column:
-    return F.coalesce("importance_score", F.lit(0.5))
-
-
 def propose_assignments(articles: DataFrame, stories: DataFrame, embeddings: DataFrame, threshold: float = 0.6, exception_articles: int = 3) -> DataFrame:
     """Decisions for ungrouped articles: the nearest open story above the threshold, else none.
 
@@ -94,7 +90,7 @@ def propose_assignments(articles: DataFrame, stories: DataFrame, embeddings: Dat
     vectors = cut_lineage(waiting.select("id").join(embeddings.select(F.col("vec_id").alias("id"), "embedding"), "id"))
     nearest = nearest_story(vectors, centroids)
     kind = classify_article(F.col("title"), F.col("rss_description"), F.col("scraped_text_content"))
-    facts = waiting.select("id", is_non_event_type(kind).alias("_soft"), _labelled(articles).alias("importance_score"))
+    facts = waiting.select("id", is_non_event_type(kind).alias("_soft"), F.coalesce("importance_score", F.lit(0.5)).alias("importance_score"))
     sized = nearest.join(story_article_counts(articles), "event_id")
     joined = facts.join(sized, "id", "left")
     fits = F.coalesce((F.col("cosine") >= threshold) & (~F.col("_soft") | (F.col("article_count") >= exception_articles)), F.lit(False))

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from storyloom.settings import DEFAULTS
 
-NEWEST = (F.desc_nulls_last, "published_date"), (F.desc, "id")
-
 
 def newest_first() -> list[Column]:
     return [F.desc_nulls_last("published_date"), F.desc("id")]

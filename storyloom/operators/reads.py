@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storyloom.functions.scores import story_score
-from storyloom.functions.text import strip
 from storyloom.operators import rank
 from storyloom.operators.lifecycle import reap_expired, stories_with_articles
-from storyloom.operators.rollups import ago, grouped, last_visits, left_join_sliced, now_col, story_article_counts, with_is_read
+from storyloom.operators.rollups import ago, grouped, last_visits, left_join_sliced, now_col, with_is_read
 from storyloom.settings import DEFAULTS
 
 

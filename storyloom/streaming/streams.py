@@ -91,6 +91,8 @@ def append_new(path: str, keys: list[str], known: DataFrame | None = None):
         # Kept for the lookups below; without it each would run the stream's state again.
         arrived = batch.dropDuplicates(keys).persist()
         try:
+            if arrived.isEmpty():
+                return
             fresh = not_stored(arrived, stored_before(spark, path, batch_id, batch.schema), keys)
             if known is not None:
                 fresh = not_stored(fresh, known, keys)
