@@ -1,8 +1,9 @@
 """Tables of record and request tables, derived from the raw test tables.
 
 Each view is one SQL text that runs unchanged on Spark and on DuckDB but for
-three placeholders: ``{S}`` (string type), ``{WC}`` (word count of ``d.text``)
-and ``{G}`` (the flag that makes ``regexp_replace`` global).  On Spark a view
+four placeholders: ``{S}`` (string type), ``{WC}`` (word count of ``d.text``),
+``{G}`` (the flag that makes ``regexp_replace`` global) and ``{D}`` (the
+documents where no text is read).  On Spark a view
 becomes a DataFrame; in an oracle it is inlined as a CTE.
 """
 
@@ -16,7 +17,7 @@ RAW_TABLES = ("documents", "labels", "pages", "events", "embeddings", "conversat
 
 NOW = "TIMESTAMP '2024-01-31 00:00:00'"
 
-_N = "(SELECT count(*) FROM documents)"
+_N = "(SELECT count(*) FROM {D})"
 _LINE = "substr(split_part(d.text, chr(10), 1), 1, 60)"
 _WORDS = "regexp_replace({x}, '[^A-Za-z0-9 ]', ' '{G})"
 
@@ -63,8 +64,8 @@ SELECT s.id,
  m.last_article_at,
  CASE WHEN s.id % 5 = 0 THEN TIMESTAMP '2023-07-01 00:00:00' + CAST((s.id % 1000) * 7 % 213 AS INT) * INTERVAL '1' DAY ELSE CAST(NULL AS TIMESTAMP) END AS archived_at,
  m.last_article_at + INTERVAL '48' HOUR AS expires_at
-FROM (SELECT DISTINCT CAST(floor(sqrt(doc_id)) AS BIGINT) AS id FROM documents
-      UNION SELECT 1000000 + doc_id AS id FROM documents WHERE doc_id % 50 = 0) s
+FROM (SELECT DISTINCT CAST(floor(sqrt(doc_id)) AS BIGINT) AS id FROM {D}
+      UNION SELECT 1000000 + doc_id AS id FROM {D} WHERE doc_id % 50 = 0) s
 LEFT JOIN (SELECT event_id, max(published_date) AS last_article_at FROM articles GROUP BY event_id) m ON m.event_id = s.id
 """
 
@@ -90,7 +91,7 @@ SELECT DISTINCT CAST(substr(source, 4) AS BIGINT) AS id, 'http://' || source ||
  60 AS fetch_interval_minutes,
  CASE WHEN CAST(substr(source, 4) AS BIGINT) % 4 = 0 THEN CAST(NULL AS TIMESTAMP)
   ELSE TIMESTAMP '2024-01-30 22:00:00' + CAST(CAST(substr(source, 4) AS BIGINT) * 15 AS INT) * INTERVAL '1' MINUTE END AS last_fetched_at,
- CAST(substr(source, 4) AS BIGINT) % 5 = 0 AS is_paused FROM documents
+ CAST(substr(source, 4) AS BIGINT) % 5 = 0 AS is_paused FROM {D}
 """
 
 VIEWS["event_chat_messages"] = """
@@ -144,7 +145,7 @@ SELECT d.doc_id AS pos,
   ELSE 'topic ' || CAST(d.doc_id % 30 AS {{S}}) END AS event_name,
  CASE WHEN d.doc_id % 6 = 0 THEN 0.0e0 WHEN d.doc_id % 10 = 0 THEN CAST(NULL AS DOUBLE) ELSE (d.doc_id % 9) / 10.0e0 END AS importance_score,
  CASE WHEN d.doc_id % 8 = 0 THEN CAST(NULL AS DOUBLE) ELSE (d.doc_id % 11) / 10.0e0 END AS confidence
-FROM documents d
+FROM {{D}} d
 """
 
 VIEWS["merge_pairs"] = """
@@ -224,7 +225,7 @@ SELECT d.doc_id AS pos, a.id AS article_id,
  CASE WHEN d.doc_id % 10 = 6 THEN CAST(NULL AS BIGINT) WHEN d.doc_id % 47 = 0 THEN 777777 ELSE CAST(floor(sqrt((d.doc_id * 29) % {_N})) AS BIGINT) END AS to_event_id,
  CASE WHEN d.doc_id % 10 = 6 THEN ' Moved ' || CAST(d.doc_id AS {{S}}) ELSE CAST(NULL AS {{S}}) END AS new_name,
  CASE WHEN d.doc_id % 5 = 0 THEN 'editor' ELSE CAST(NULL AS {{S}}) END AS note
-FROM (SELECT doc_id, (doc_id * 15) % {_N} AS target FROM documents) d JOIN articles a ON a.id = d.target
+FROM (SELECT doc_id, (doc_id * 15) % {_N} AS target FROM {{D}}) d JOIN articles a ON a.id = d.target
 """
 
 VIEWS["removals"] = """
@@ -282,8 +283,8 @@ VIEWS["story_requests"] = f"""
 SELECT DISTINCT e.user_id AS visitor_id, CAST(floor(sqrt((e.event_id * 7) % {_N})) AS BIGINT) AS event_id FROM events e WHERE e.event_type = 'purchase'
 """
 
-_SPARK = {"S": "STRING", "WC": r"regexp_count(d.text, r'[\p{L}\p{N}_]+')", "G": ""}
-_DUCK = {"S": "VARCHAR", "WC": r"len(regexp_extract_all(d.text, '[\p{L}\p{N}_]+'))", "G": ", 'g'"}
+_SPARK = {"D": "documents_as_read", "S": "STRING", "WC": r"regexp_count(d.text, r'[\p{L}\p{N}_]+')", "G": ""}
+_DUCK = {"D": "documents", "S": "VARCHAR", "WC": r"len(regexp_extract_all(d.text, '[\p{L}\p{N}_]+'))", "G": ", 'g'"}
 
 
 def _needs(sql: str) -> list[str]:
@@ -341,6 +342,10 @@ _LAYOUT = {
 _TEXT_KEYS = {"documents": "doc_id", "pages": "page_id"}
 
 
+def _as_read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.schema(_LAYOUT[name]).parquet(f"{sf_dir}/{name}.parquet")
+
+
 def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A raw table.
 
@@ -348,7 +353,7 @@ def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     file is one row group) is spread by its key, or one core would do all the
     text work.  Data of any size has more splits and is left where it is.
     """
-    table = spark.read.schema(_LAYOUT[name]).parquet(f"{sf_dir}/{name}.parquet")
+    table = _as_read(spark, sf_dir, name)
     if name in _TEXT_KEYS:
         cores = spark.sparkContext.defaultParallelism
         if table.rdd.getNumPartitions() < cores:
@@ -359,6 +364,7 @@ def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def register_raw(spark: SparkSession, sf_dir: str) -> None:
     for table in RAW_TABLES:
         raw(spark, sf_dir, table).createOrReplaceTempView(table)
+    _as_read(spark, sf_dir, "documents").createOrReplaceTempView("documents_as_read")
 
 
 def view(spark: SparkSession, name: str) -> DataFrame:
