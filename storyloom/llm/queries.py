@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from storyloom.llm import quality_rules, simhash
+from storyloom.llm import bpe, quality_rules, secret_scan, simhash
 from storyloom.llm.common import read_table
 from storyloom.session import apply_session_conf
 
@@ -16,6 +16,8 @@ def _over(table: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[S
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scan": _over("documents", secret_scan.op1),
+    "op6_bpe": _over("documents", bpe.op6),
     "op7_simhash_near_dedup": _over("documents", simhash.op7),
     "op8_quality_rules": _over("documents", quality_rules.op8),
 }
