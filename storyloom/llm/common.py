@@ -47,14 +47,15 @@ def mapped_texts(docs: DataFrame, keep: list[str], columns: dict[str, T.DataType
     ``start()`` runs once a task and returns the function: an iterator of texts in, one tuple in the
     order of ``columns`` out for each.  Only ``keep`` and ``text`` are read, whatever else ``docs`` has.
     """
-    chosen = docs.select(*[F.col(c) for c in keep], F.col("text").cast("string").alias("__text"))
+    source = "text" if "text" in keep else "__text"
+    chosen = docs.select(*keep) if "text" in keep else docs.select(*keep, F.col("text").alias(source))
     schema = T.StructType([T.StructField(c, chosen.schema[c].dataType) for c in keep] + [T.StructField(c, t) for c, t in columns.items()])
     kinds = [_arrow_type(t) for t in columns.values()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = start()
         for batch in batches:
-            rows = list(each(texts_of(batch.column("__text"))))
+            rows = list(each(texts_of(batch.column(source))))
             cells = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
             made = [pa.array(c, type=k) for c, k in zip(cells, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + made, names=[*keep, *columns])

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from storyloom.llm import bpe, quality_rules, secret_scan, simhash
+from storyloom.llm import bpe, mixing, quality_rules, secret_scan, simhash, toxicity
 from storyloom.llm.common import read_table
 from storyloom.session import apply_session_conf
 
@@ -15,8 +15,20 @@ def _over(table: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[S
     return lambda spark, sf_dir: operator(read_table(apply_session_conf(spark), sf_dir, table))
 
 
+def _labelled(operator: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """A query over documents that learns from labels."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        apply_session_conf(spark)
+        return operator(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+    return run
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": _over("documents", secret_scan.op1),
+    "op3_mixing": _labelled(mixing.op3),
+    "op4_toxicity": _labelled(toxicity.op4),
     "op6_bpe": _over("documents", bpe.op6),
     "op7_simhash_near_dedup": _over("documents", simhash.op7),
     "op8_quality_rules": _over("documents", quality_rules.op8),
