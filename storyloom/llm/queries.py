@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from storyloom.llm import bpe, mixing, quality_rules, secret_scan, simhash, toxicity
+from storyloom.llm import bpe, mixing, neighbours, quality_rules, secret_scan, simhash, toxicity
 from storyloom.llm.common import read_table
 from storyloom.session import apply_session_conf
 
@@ -27,6 +27,7 @@ def _labelled(operator: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": _over("documents", secret_scan.op1),
+    "op2_nearest_neighbours": _over("embeddings", neighbours.op2),
     "op3_mixing": _labelled(mixing.op3),
     "op4_toxicity": _labelled(toxicity.op4),
     "op6_bpe": _over("documents", bpe.op6),
@@ -34,4 +35,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": _over("documents", quality_rules.op8),
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_nearest_neighbours": neighbours.ORACLE,
+}
