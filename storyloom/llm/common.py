@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -9,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from storyloom.session import cut_lineage
+from storyloom.session import cut_lineage, shared_dir
 
-__all__ = ["ARROW", "ASCII_SPACE", "cut_lineage", "mapped_texts", "read_table", "texts_of", "words_of"]
+__all__ = ["ARROW", "ASCII_SPACE", "cut_lineage", "mapped_texts", "read_table", "texts_of", "words_of", "written"]
 
 #: What separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
@@ -61,3 +62,13 @@ def mapped_texts(docs: DataFrame, keep: list[str], columns: dict[str, T.DataType
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + made, names=[*keep, *columns])
 
     return chosen.mapInArrow(run, schema)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read again: computed once, and lineage ends there.
+
+    The folder is the session's; it goes with the rest of the session's shared folder.
+    """
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

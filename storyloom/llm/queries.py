@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from storyloom.llm import bpe, mixing, neighbours, quality_rules, secret_scan, simhash, toxicity
+from storyloom.llm import bpe, mixing, neighbours, quality_rules, secret_scan, simhash, substrings, toxicity
 from storyloom.llm.common import read_table
 from storyloom.session import apply_session_conf
 
@@ -30,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_nearest_neighbours": _over("embeddings", neighbours.op2),
     "op3_mixing": _labelled(mixing.op3),
     "op4_toxicity": _labelled(toxicity.op4),
+    "op5_substring_dedup": _over("documents", substrings.op5),
     "op6_bpe": _over("documents", bpe.op6),
     "op7_simhash_near_dedup": _over("documents", simhash.op7),
     "op8_quality_rules": _over("documents", quality_rules.op8),
