@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from storyloom.llm import bpe, mixing, neighbours, quality_rules, secret_scan, simhash, substrings, toxicity
+from storyloom.llm import bpe, line_crf, mixing, neighbours, quality_rules, secret_scan, simhash, substrings, surrogates, toxicity
 from storyloom.llm.common import read_table
 from storyloom.session import apply_session_conf
 
@@ -34,6 +34,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_bpe": _over("documents", bpe.op6),
     "op7_simhash_near_dedup": _over("documents", simhash.op7),
     "op8_quality_rules": _over("documents", quality_rules.op8),
+    "op9_pii_surrogates": _over("documents", surrogates.op9),
+    "op10_quality_classifier": _labelled(line_crf.op10),
 }
 
 ORACLES: dict[str, str] = {
