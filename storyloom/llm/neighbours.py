@@ -115,18 +115,22 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, block_rows: int =
     # New names, as a frame grouped beside another of the same columns would lose them.
     right = rows.select(F.col("vec_id").alias("r_id"), F.col("v").alias("r"), F.col("dim").alias("r_dim"), deal(row_blocks, 2).alias("r_block"), blocks(query_blocks).alias("q_block"))
 
+    def framed(query_id: list[int], rb: int, near: list[tuple[list, list]]) -> pd.DataFrame:
+        lists = {name: pd.Series([x[n] for x in near], dtype=object) for n, name in enumerate(("d", "id"))}
+        return pd.DataFrame({"query_id": np.array(query_id, np.int64), "rb": np.full(len(query_id), rb, np.int32), **lists})
+
     def one_tile(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(r):
-            return pd.DataFrame({"query_id": [], "rb": [], "d": [], "id": []})
+            return framed([], 0, [])
         pairs = (q["vec_id"], q["v"]), (r["r_id"], r["r"])
         found = [x for x in tile(*[(ids.to_numpy(), np.stack(v.to_numpy())) for ids, v in pairs], k) if x[1]]
-        return pd.DataFrame({"query_id": [x[0] for x in found], "rb": int(r["r_block"].iloc[0]), "d": [x[1] for x in found], "id": [x[2] for x in found]})
+        return framed([x[0] for x in found], int(r["r_block"].iloc[0]), [x[1:] for x in found])
 
     lists = left.groupBy("qb", "rb", "dim").cogroup(right.groupBy("q_block", "r_block", "r_dim")).applyInPandas(one_tile, "query_id long, rb int, d array<double>, id array<long>")
 
     def merge(f: pd.DataFrame) -> pd.DataFrame:
         near = merged((pair for d, i in zip(f["d"], f["id"], strict=True) for pair in zip(d, i, strict=True)), k)
-        return pd.DataFrame({"query_id": [int(f["query_id"].iloc[0])], "rb": [int(f["rb"].iloc[0])], "d": [[d for d, _ in near]], "id": [[i for _, i in near]]})
+        return framed([int(f["query_id"].iloc[0])], int(f["rb"].iloc[0]), [([d for d, _ in near], [i for _, i in near])])
 
     while row_blocks > 1:
         group = F.floor(F.col("rb") / merge_fan).cast("int")
