@@ -4,7 +4,8 @@ A softmax classifier, learnt from the labelled table, gives every document a pos
 its words count towards each domain by that share.  Nonnegative rates per document, one for all at the
 start, are then fitted so that the expected words of each domain meet its target: projected gradient on
 the least squares of the domain totals.  The residuals are weighted by the inverse of the domains'
-second moments, so all directions converge alike and a step of one is safe.
+second moments over the documents above zero, so all directions converge alike; should such a step
+not help, the moments of all documents give one that never overshoots.
 
 A step needs the domain totals alone, one small sum over the cluster.  A rate is a fold of its
 document's posterior over the steps so far, so no iteration writes anything and a lost executor costs
@@ -118,10 +119,17 @@ def fit_rates(members: DataFrame, shares: dict[str, float], total: float | None
     """
     n = len(DOMAINS)
     p = [F.element_at("posterior", d + 1) for d in range(n)]
-    words = F.col("n_words")
-    sums = [F.sum(words * x) for x in p] + [F.sum(words * x * y) for x in p for y in p]
-    first = np.array([x or 0.0 for x in members.agg(*[s.alias(f"s{k}") for k, s in enumerate(sums)]).first()], float)
-    before, second = first[:n], first[n:].reshape(n, n)
+
+    def totals(steps: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
+        """Expected words of each domain at these steps, and the second moments of documents not at zero."""
+        rated = members.select("n_words", "posterior", rate_after(steps).alias("rate"))
+        words, counts = F.col("n_words") * F.col("rate"), F.when(F.col("rate") > 0, F.col("n_words")).otherwise(0)
+        sums = [F.sum(words * x) for x in p] + [F.sum(counts * x * y) for x in p for y in p]
+        row = np.array([x or 0.0 for x in rated.agg(*[s.alias(f"s{k}") for k, s in enumerate(sums)]).first()], float)
+        return row[:n], row[n:].reshape(n, n)
+
+    now, second = totals([])
+    before = now
     share = np.array([shares[d] for d in DOMAINS])
     share = share / share.sum()
     leading = int(share.argmax())
@@ -129,14 +137,18 @@ def fit_rates(members: DataFrame, shares: dict[str, float], total: float | None
         total = headroom * before[leading] / share[leading]
     target = total * share
     steps: list[list[float]] = []
-    now = before
-    if before.sum() > 0:
-        inverse = np.linalg.pinv(second, rcond=1e-12)
-        while np.abs(now - target).max() > tolerance * total and len(steps) < max_steps:
-            steps.append((inverse @ (now - target)).tolist())
-            rate = rate_after(steps)
-            row = members.select("n_words", "posterior", rate.alias("rate")).agg(*[F.sum(words * F.col("rate") * x).alias(f"s{d}") for d, x in enumerate(p)]).first()
-            now = np.array(list(row), float)
+    safe = np.linalg.pinv(second, rcond=1e-12)
+    miss = lambda x: float((x - target) @ safe @ (x - target))
+    while before.sum() > 0 and np.abs(now - target).max() > tolerance * total and len(steps) < max_steps:
+        # The moments of the documents still above zero go further; all documents' never overshoot.
+        for inverse in (np.linalg.pinv(second, rcond=1e-12), safe):
+            step = (inverse @ (now - target)).tolist()
+            then, moments = totals([*steps, step])
+            if miss(then) < miss(now):
+                break
+        else:
+            break
+        steps, now, second = [*steps, step], then, moments
     return Rates(steps, before, target, now)
 
 
