@@ -91,8 +91,10 @@ def links(prints: DataFrame) -> DataFrame:
             prints.select("fp", F.explode(F.array_compact(flips)).alias("at"))
             .select(F.col("fp").alias("a"), F.lit(True).alias("flipped"), "at.seg", "at.key"))
     )
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2
-    return probes.join(table, ["seg", "key"]).where(near & (F.col("flipped") | (F.col("a") < F.col("b")))).select("a", "b")
+    apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
+    # A flip that leaves nothing to differ in the segment itself has found a pair that is met there without one.
+    near = F.when(F.col("flipped"), apart == 2).otherwise((apart <= 2) & (F.col("a") < F.col("b")))
+    return probes.join(table, ["seg", "key"]).where(near).select("a", "b")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
