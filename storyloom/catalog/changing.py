@@ -35,13 +35,13 @@ def _(t):
 
 
 @query("purge_empty", """
-SELECT id FROM stories WHERE id NOT IN (SELECT s.id FROM stories s WHERE s.created_at < {NOW} - INTERVAL '30' SECOND AND NOT EXISTS (SELECT 1 FROM articles a WHERE a.event_id = s.id) ORDER BY s.created_at, s.id LIMIT 200)""")
+SELECT id FROM stories WHERE id NOT IN (SELECT s.id FROM stories s WHERE s.created_at < {NOW} - INTERVAL '30' SECOND AND NOT EXISTS (SELECT 1 FROM articles a WHERE a.event_id = s.id))""")
 def _(t):
     return lifecycle.purge_empty(t.stories, t.articles, NOW).select("id")
 
 
 @query("purge_ancient", """
-SELECT id FROM stories WHERE id NOT IN (SELECT id FROM stories WHERE status = 'archived' AND archived_at < {NOW} - INTERVAL '180' DAY ORDER BY archived_at, id LIMIT 200)""")
+SELECT id FROM stories WHERE id NOT IN (SELECT id FROM stories WHERE status = 'archived' AND archived_at < {NOW} - INTERVAL '180' DAY)""")
 def _(t):
     return lifecycle.purge_ancient(t.stories, NOW).select("id")
 
@@ -52,8 +52,8 @@ def _(t):
 
 
 _TICK = f"""{_REAPED},
-hollow AS (SELECT s.id FROM reaped s WHERE s.created_at < {{NOW}} - INTERVAL '30' SECOND AND NOT EXISTS (SELECT 1 FROM articles a WHERE a.event_id = s.id) ORDER BY s.created_at, s.id LIMIT 200),
-ancient AS (SELECT id FROM reaped WHERE id NOT IN (SELECT id FROM hollow) AND status = 'archived' AND archived_at < {{NOW}} - INTERVAL '180' DAY ORDER BY archived_at, id LIMIT 200)"""
+hollow AS (SELECT s.id FROM reaped s WHERE s.created_at < {{NOW}} - INTERVAL '30' SECOND AND NOT EXISTS (SELECT 1 FROM articles a WHERE a.event_id = s.id)),
+ancient AS (SELECT id FROM reaped WHERE id NOT IN (SELECT id FROM hollow) AND status = 'archived' AND archived_at < {{NOW}} - INTERVAL '180' DAY)"""
 
 
 @query("lifecycle_tick_stories", f"WITH {_TICK} SELECT id, status, last_article_at, archived_at, expires_at FROM reaped WHERE id NOT IN (SELECT id FROM hollow) AND id NOT IN (SELECT id FROM ancient)")

@@ -196,7 +196,7 @@ def _article_lines(chars: int, typed: bool) -> str:
 
 
 _WINDOW = f"""win AS (SELECT status AS section, id FROM stories WHERE status IN ('active', 'cooling') OR (status = 'archived' AND archived_at >= {{NOW}} - INTERVAL '30' DAY)
- UNION ALL SELECT 'unassigned', id FROM (SELECT id FROM articles WHERE event_id IS NULL AND published_date >= {{NOW}} - INTERVAL '14' DAY ORDER BY {_NEWEST} LIMIT 50) u)"""
+ UNION ALL SELECT 'unassigned', id FROM (SELECT id FROM articles WHERE event_id IS NULL AND published_date >= {{NOW}} - INTERVAL '14' DAY) u)"""
 
 
 @query("group_payload", f"WITH {_TITLES} {_STORY_LINES} WHERE s.status IN ('active', 'cooling') UNION ALL {_article_lines(500, True)} WHERE a.event_id IS NULL")

@@ -283,7 +283,7 @@ VIEWS["story_requests"] = f"""
 SELECT DISTINCT e.user_id AS visitor_id, CAST(floor(sqrt((e.event_id * 7) % {_N})) AS BIGINT) AS event_id FROM events e WHERE e.event_type = 'purchase'
 """
 
-_SPARK = {"D": "documents_as_read", "S": "STRING", "WC": r"regexp_count(d.text, r'[\p{L}\p{N}_]+')", "G": ""}
+_SPARK = {"D": "documents", "S": "STRING", "WC": r"regexp_count(d.text, r'[\p{L}\p{N}_]+')", "G": ""}
 _DUCK = {"D": "documents", "S": "VARCHAR", "WC": r"len(regexp_extract_all(d.text, '[\p{L}\p{N}_]+'))", "G": ", 'g'"}
 
 
@@ -338,33 +338,14 @@ _LAYOUT = {
 }
 
 
-#: Tables whose rows are long texts, with the key that spreads them.
-_TEXT_KEYS = {"documents": "doc_id", "pages": "page_id"}
-
-
-def _as_read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.schema(_LAYOUT[name]).parquet(f"{sf_dir}/{name}.parquet")
-
-
 def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A raw table.
-
-    A text table that comes in fewer splits than there are cores (a small test
-    file is one row group) is spread by its key, or one core would do all the
-    text work.  Data of any size has more splits and is left where it is.
-    """
-    table = _as_read(spark, sf_dir, name)
-    if name in _TEXT_KEYS:
-        cores = spark.sparkContext.defaultParallelism
-        if table.rdd.getNumPartitions() < cores:
-            table = table.repartition(cores, _TEXT_KEYS[name])
-    return table
+    """A raw table as it lies."""
+    return spark.read.schema(_LAYOUT[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def register_raw(spark: SparkSession, sf_dir: str) -> None:
     for table in RAW_TABLES:
         raw(spark, sf_dir, table).createOrReplaceTempView(table)
-    _as_read(spark, sf_dir, "documents").createOrReplaceTempView("documents_as_read")
 
 
 def view(spark: SparkSession, name: str) -> DataFrame:

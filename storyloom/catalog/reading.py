@@ -262,7 +262,7 @@ def _(t):
 
 
 @query("empty_stories", """
-SELECT s.id, s.created_at FROM stories s WHERE s.created_at < {NOW} - INTERVAL '30' SECOND AND NOT EXISTS (SELECT 1 FROM articles a WHERE a.event_id = s.id) ORDER BY s.created_at, s.id LIMIT 200""")
+SELECT s.id, s.created_at FROM stories s WHERE s.created_at < {NOW} - INTERVAL '30' SECOND AND NOT EXISTS (SELECT 1 FROM articles a WHERE a.event_id = s.id)""")
 def _(t):
     return reads.empty_stories(t.stories, t.articles, NOW).select("id", "created_at")
 

@@ -67,7 +67,9 @@ class Tick:
     counts: DataFrame
 
 
-def lifecycle_tick(stories: DataFrame, articles: DataFrame, proposals: DataFrame, now) -> Tick:
+def lifecycle_tick(
+    stories: DataFrame, articles: DataFrame, proposals: DataFrame, now, empty_limit: int | None = DEFAULTS.purge_empty_batch, archived_limit: int | None = DEFAULTS.purge_archived_batch
+) -> Tick:
     """Expire, purge empty, purge ancient; every story gets one outcome.
 
     The deletions are found once and kept as one small (id, outcome) table.
@@ -75,9 +77,9 @@ def lifecycle_tick(stories: DataFrame, articles: DataFrame, proposals: DataFrame
     from storyloom.operators.reads import empty_stories
 
     reaped = reap_expired(stories, now)
-    empty = cut_lineage(empty_stories(reaped, articles, now).select("id", F.lit("purged_empty").alias("outcome")))
+    empty = cut_lineage(empty_stories(reaped, articles, now, limit=empty_limit).select("id", F.lit("purged_empty").alias("outcome")))
     rest = reaped.join(empty, "id", "left_anti")
-    ancient = ancient_stories(rest, now).select("id", F.lit("purged").alias("outcome"))
+    ancient = ancient_stories(rest, now, limit=archived_limit).select("id", F.lit("purged").alias("outcome"))
     removed = empty.unionByName(ancient)
     expired = stories.filter(is_expired(now)).select("id", F.lit("reaped").alias("outcome"))
     counts = removed.unionByName(expired).groupBy("outcome").agg(F.count("*").alias("n"))

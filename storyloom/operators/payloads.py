@@ -72,8 +72,9 @@ def recluster_window(
     return kept.unionByName(fresh.select(F.lit("unassigned").alias("section"), "id"))
 
 
-def recluster_payload(articles: DataFrame, stories: DataFrame, now) -> DataFrame:
-    window = recluster_window(articles, stories, now)
+def recluster_payload(articles: DataFrame, stories: DataFrame, now, **bounds) -> DataFrame:
+    """Lines for the recluster pass; ``bounds`` are those of ``recluster_window``."""
+    window = recluster_window(articles, stories, now, **bounds)
     chosen = stories.join(window.filter(F.col("section") != "unassigned").select("id"), "id", "left_semi")
     fresh = articles.join(window.filter(F.col("section") == "unassigned").select("id"), "id", "left_semi")
     return story_payload(chosen, articles).unionByName(article_payload(fresh, RECLUSTER_SNIPPET, typed=False))

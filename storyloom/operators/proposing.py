@@ -10,6 +10,8 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,16 +26,17 @@ CENTROIDS_PER_TASK = 20_000
 VECTORS_PER_TASK = 100_000
 
 
-def story_centroids(articles: DataFrame, embeddings: DataFrame, width: int = 64) -> DataFrame:
-    """Element-wise mean of the article vectors of every story.
+def story_centroids(articles: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """Element-wise mean of the article vectors of every story, whatever their length.
 
-    One average per element, all in one aggregate with partial sums: a hot
-    story is summed where its articles lie, and no vector is unfolded to rows.
+    One aggregate with partial sums: a hot story is summed where its articles
+    lie, and no vector is unfolded to rows.  Vectors of different lengths in
+    one story are an error.
     """
     vectors = embeddings.select(F.col("vec_id").alias("id"), "embedding")
     placed = grouped(articles).select("id", "event_id").join(vectors, "id")
-    means = placed.groupBy("event_id").agg(*[F.avg(F.get("embedding", i)).alias(f"e{i}") for i in range(width)])
-    return means.select("event_id", F.array(*[f"e{i}" for i in range(width)]).alias("centroid"))
+    means = placed.groupBy("event_id").agg(Summarizer.mean(array_to_vector(F.col("embedding").cast("array<double>"))).alias("mean"))
+    return means.select("event_id", vector_to_array("mean").alias("centroid"))
 
 
 def _unit(rows: pd.Series) -> np.ndarray:
@@ -154,8 +157,9 @@ def propose_duplicates(stories: DataFrame, articles: DataFrame, embeddings: Data
         F.col("a.id").alias("older_id"), F.col("b.id").alias("newer_id"),
         (F.size(F.array_intersect("ta", "tb")) / F.size(F.array_union("ta", "tb"))).alias("overlap"),
     ).filter(F.col("overlap") >= min_confidence).distinct()
-    pairs = same.unionByName(candidates)
-    centroids = story_centroids(articles, embeddings)
+    pairs = cut_lineage(same.unionByName(candidates))
+    named = pairs.select(F.col("older_id").alias("event_id")).unionByName(pairs.select(F.col("newer_id").alias("event_id"))).distinct()
+    centroids = story_centroids(grouped(articles).join(named, "event_id", "left_semi"), embeddings)
     scored = (
         pairs.join(centroids.select(F.col("event_id").alias("older_id"), F.col("centroid").alias("_a")), "older_id", "left")
         .join(centroids.select(F.col("event_id").alias("newer_id"), F.col("centroid").alias("_b")), "newer_id", "left")

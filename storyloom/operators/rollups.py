@@ -23,33 +23,19 @@ def later(now, **parts: int) -> Column:
     return now_col(now) + F.make_interval(**{k: F.lit(v) for k, v in parts.items()})
 
 
-#: Rows up to which a side of a few short columns is broadcast: some tens of megabytes.
-BROADCAST_ROWS = 500_000
-
-
-def broadcast_if_small(side: DataFrame, measured: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``side`` when the rows it is made of were counted and are few; else leave it to a shuffle join.
-
-    Spark cannot tell how few rows a filter or a batch leaves and would shuffle
-    the articles to meet them.  The count stops one row past the bound.
-    """
-    return F.broadcast(side) if measured.limit(max_rows + 1).count() <= max_rows else side
-
-
-#: Slices a hot key is cut into where its rows meet one small row per key.
-SLICES = 32
-
-
-def left_join_sliced(rows: DataFrame, per_key: DataFrame, key: str, spread: str) -> DataFrame:
+def left_join_sliced(rows: DataFrame, per_key: DataFrame, key: str, spread: str, slices: int | None = None) -> DataFrame:
     """Left-join one row per ``key`` to rows that are aggregated by that key next.
 
     Spark does not split a skewed join partition when the following aggregate
     relies on its partitioning, so one key with a third of all rows would be
     one task.  Here the key is cut into slices by ``spread`` and the small side
     repeated per slice; the aggregate then combines before its own shuffle.
+    There are as many slices as shuffle partitions unless given, so a hot key
+    can fill them all.
     """
-    sliced = rows.withColumn("_slice", F.pmod(F.xxhash64(spread), F.lit(SLICES)))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SLICES - 1).cast("long")))
+    slices = slices or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sliced = rows.withColumn("_slice", F.pmod(F.xxhash64(spread), F.lit(slices)))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long")))
     return sliced.join(per_key.withColumn("_slice", every), [key, "_slice"], "left").drop("_slice")
 
 
@@ -125,14 +111,14 @@ def story_new_since_visit(articles: DataFrame, visits: DataFrame, visitor) -> Da
 
 def with_is_read(articles: DataFrame, reads: DataFrame, visitor) -> DataFrame:
     mine = reads.filter(F.col("visitor_id") == F.lit(visitor)).select(F.col("article_id").alias("id"))
-    marks = broadcast_if_small(mine.distinct().withColumn("_read", F.lit(True)), mine)
+    marks = mine.distinct().withColumn("_read", F.lit(True))
     return articles.join(marks, "id", "left").withColumn("is_read", F.coalesce("_read", F.lit(False))).drop("_read")
 
 
 def last_visits(visits: DataFrame, visitor) -> DataFrame:
-    """(event_id, last_visited_at) of one visitor; the bound allows for its copies per slice."""
+    """(event_id, last_visited_at) of one visitor."""
     mine = visits.filter(F.col("visitor_id") == F.lit(visitor)).select("event_id", "last_visited_at")
-    return broadcast_if_small(mine.groupBy("event_id").agg(F.max("last_visited_at").alias("last_visited_at")), mine, BROADCAST_ROWS // SLICES)
+    return mine.groupBy("event_id").agg(F.max("last_visited_at").alias("last_visited_at"))
 
 
 def inbox_counts(articles: DataFrame, reads: DataFrame, visitor) -> DataFrame:

@@ -1,9 +1,8 @@
 """Helpers of the table-to-table operators.
 
 Operators read keys and dates, derive a narrow table of changes, and join that
-table to the wide one once.  Keys and changes of a batch are counted; when they
-are few they are broadcast and the wide table is read or rewritten without a
-shuffle, and beyond the bound the same join shuffles.
+table to the wide one once.  Which side is broadcast is left to adaptive
+execution, which knows the bytes a batch's keys and changes came to.
 """
 
 from __future__ import annotations
@@ -11,28 +10,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.operators.rollups import broadcast_if_small
-
 
 def lookup(rows: DataFrame, key: str, table: DataFrame, table_key: str, requests: DataFrame | None = None, **columns: str) -> DataFrame:
     """Left-join columns of ``table`` and say in ``has_<key>`` whether there was a row.
 
     The table is first cut to the keys asked for.  The keys are read from ``requests``, so a chain of
-    lookups does not repeat the earlier ones.
+    lookups does not repeat the earlier ones.  Rows without a key match nothing and are spread by a
+    hash of the row, so that they do not meet in one task.
     """
     source = rows if requests is None else requests
     keys = source.select(F.col(key).alias(table_key)).filter(F.col(table_key).isNotNull())
-    asked = broadcast_if_small(keys.distinct(), keys)
     picked = [F.col(column).alias(name) for name, column in columns.items()]
-    found = table.select(F.col(table_key), *picked).join(asked, table_key, "left_semi").withColumnRenamed(table_key, "_found")
-    joined = rows.join(found, F.col(key) == F.col("_found"), "left")
-    return joined.withColumn(f"has_{key}", F.col("_found").isNotNull()).drop("_found")
+    found = table.select(F.col(table_key), *picked).join(keys.distinct(), table_key, "left_semi").withColumnRenamed(table_key, "_found")
+    spread = rows.withColumn("_spread", F.when(F.col(key).isNull(), F.xxhash64(*rows.columns)).otherwise(F.lit(0).cast("long")))
+    same = (F.col(key) == F.col("_found")) & (F.col("_spread") == F.col("_zero"))
+    joined = spread.join(found.withColumn("_zero", F.lit(0).cast("long")), same, "left")
+    return joined.withColumn(f"has_{key}", F.col("_found").isNotNull()).drop("_found", "_spread", "_zero")
 
 
 def change_rows(table: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
     """Replace the columns of ``changes`` in the rows of ``table`` it names (unique key)."""
     names = [c for c in changes.columns if c != key]
-    packed = broadcast_if_small(changes.select(key, F.struct(*names).alias("_new")), changes.select(key))
+    packed = changes.select(key, F.struct(*names).alias("_new"))
     joined = table.join(packed, key, "left")
 
     def value(name: str) -> Column:
@@ -52,8 +51,7 @@ def not_stored(fresh: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame
     The big table is cut to the keys of the batch first; the anti-join then
     meets two small sides.
     """
-    asked = broadcast_if_small(fresh.select(*keys).distinct(), fresh.select(*keys))
-    present = table.select(*keys).join(asked, keys, "left_semi").distinct()
+    present = table.select(*keys).join(fresh.select(*keys).distinct(), keys, "left_semi").distinct()
     return fresh.join(present, keys, "left_anti")
 
 
@@ -64,8 +62,7 @@ def left_by_story(articles: DataFrame, per_story: DataFrame) -> DataFrame:
     below zero: it matches nothing and does not pile up with the others.
     """
     key = F.when(F.col("event_id").isNull(), -1 - F.col("id")).otherwise(F.col("event_id"))
-    side = broadcast_if_small(per_story.withColumnRenamed("event_id", "_story"), per_story.select("event_id"))
-    return articles.withColumn("_story", key).join(side, "_story", "left").drop("_story")
+    return articles.withColumn("_story", key).join(per_story.withColumnRenamed("event_id", "_story"), "_story", "left").drop("_story")
 
 
 def feedback_rows(rows: DataFrame, kind, now: Column, article: Column | None = None, original: Column | None = None, corrected: Column | None = None, note: Column | None = None) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Defaults of every tunable rule.  Operators take them as arguments."""
+"""Defaults of every tunable rule.  Operators take them as arguments; a batch of None is everything."""
 
 from dataclasses import dataclass
 
@@ -16,9 +16,9 @@ class Tunables:
     revive_window_days: int = 30
     revive_recent_days: int = 7
     purge_archived_after_days: int = 180
-    purge_archived_batch: int = 200
+    purge_archived_batch: int | None = None
     purge_empty_floor_seconds: int = 30
-    purge_empty_batch: int = 200
+    purge_empty_batch: int | None = None
     # score
     score_log_base: float = 2.0
     score_half_life_hours: float = 8.0
@@ -32,9 +32,9 @@ class Tunables:
     require_distinct_sources: bool = True
     dedup_confidence: float = 0.7
     recluster_days: int = 14
-    recluster_limit: int = 50
+    recluster_limit: int | None = None
     cooling_after_days: int = 3
-    regroup_batch: int = 100
+    regroup_batch: int | None = None
 
 
 DEFAULTS = Tunables()
