@@ -328,9 +328,10 @@ _CLEAN = f"clean AS (SELECT id, CASE WHEN json_valid({_fenced('content')}) THEN
 
 @query("parse_assignments", f"""WITH {_CLEAN.format('assignment_responses')},
 items AS (SELECT id, unnest(CAST(json_extract(j, '$.assignments') AS JSON[])) AS a, generate_subscripts(CAST(json_extract(j, '$.assignments') AS JSON[]), 1) - 1 AS place FROM clean WHERE j IS NOT NULL)
-SELECT id, place, false AS error, CAST(json_extract_string(a, '$.article_id') AS BIGINT) AS article_id, json_extract_string(a, '$.decision') AS decision, CAST(json_extract_string(a, '$.event_id') AS BIGINT) AS event_id,
+SELECT id, place, false AS error, CAST(CAST(json_extract_string(a, '$.article_id') AS DOUBLE) AS BIGINT) AS article_id, json_extract_string(a, '$.decision') AS decision, CAST(json_extract_string(a, '$.event_id') AS BIGINT) AS event_id,
  json_extract_string(a, '$.event_name') AS event_name, coalesce(nullif(CAST(json_extract_string(a, '$.importance_score') AS DOUBLE), 0), 0.5) AS importance_score, coalesce(CAST(json_extract_string(a, '$.confidence') AS DOUBLE), 0) AS confidence,
- json_extract_string(a, '$.reasoning') AS reasoning FROM items
+ json_extract_string(a, '$.reasoning') AS reasoning FROM items WHERE json_type(a) = 'OBJECT'
+UNION ALL SELECT id, place, true, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM items WHERE json_type(a) <> 'OBJECT'
 UNION ALL SELECT id, NULL, true, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM clean WHERE j IS NULL""")
 def _(t):
     return payloads.parse_assignments(t.assignment_responses)
@@ -340,7 +341,8 @@ def _(t):
 items AS (SELECT id, json_extract(j, '$.merge_pairs[0]') AS p FROM clean WHERE j IS NOT NULL),
 typed AS (SELECT id, try_cast(json_extract_string(p, '$.older_id') AS BIGINT) AS older_id, try_cast(json_extract_string(p, '$.newer_id') AS BIGINT) AS newer_id,
  coalesce(try_cast(json_extract_string(p, '$.confidence') AS DOUBLE), CASE WHEN json_extract_string(p, '$.confidence') IS NULL THEN 0 END) AS confidence, json_extract_string(p, '$.reason') AS reason FROM items)
-SELECT id, 0 AS place, older_id, newer_id, confidence, reason, older_id IS NOT NULL AND newer_id IS NOT NULL AND confidence IS NOT NULL AS readable FROM typed""")
+SELECT id, 0 AS place, older_id, newer_id, confidence, reason, older_id IS NOT NULL AND newer_id IS NOT NULL AND confidence IS NOT NULL AS readable FROM typed
+UNION ALL SELECT id, NULL, NULL, NULL, NULL, '', false FROM clean WHERE j IS NULL""")
 def _(t):
     return payloads.parse_merge_pairs(t.merge_responses)
 
@@ -352,12 +354,17 @@ exploded AS (SELECT id, kind, CAST(x AS VARCHAR) AS x, place FROM (
  UNION ALL SELECT id, 'cool', unnest(CAST(json_extract(j, '$.cooling_events') AS JSON[])), generate_subscripts(CAST(json_extract(j, '$.cooling_events') AS JSON[]), 1) - 1 FROM clean
  UNION ALL SELECT id, 'revive', unnest(CAST(json_extract(j, '$.reviving_events') AS JSON[])), generate_subscripts(CAST(json_extract(j, '$.reviving_events') AS JSON[]), 1) - 1 FROM clean
  UNION ALL SELECT id, 'new', unnest(CAST(json_extract(j, '$.new_events') AS JSON[])), generate_subscripts(CAST(json_extract(j, '$.new_events') AS JSON[]), 1) - 1 FROM clean) e),
-proposed AS (SELECT id, place, kind, CASE WHEN kind IN ('cool', 'revive') THEN '{{"event_id":' || x || '}}' ELSE x END AS payload,
- CASE kind WHEN 'merge' THEN json_extract_string(x, '$.reason') WHEN 'split' THEN 'split: ' || json_extract_string(x, '$.suggested_new_name') WHEN 'new' THEN json_extract_string(x, '$.name') END AS rationale FROM exploded)"""
-_DIFF = _DIFF.replace("'{{\"event_id\":'", "'{\"event_id\":'").replace("|| '}}' ELSE x", "|| '}' ELSE x")
+named AS (SELECT *, CASE WHEN kind IN ('cool', 'revive') THEN CAST(try_cast(json_extract_string(x, '$') AS DOUBLE) AS BIGINT) END AS story FROM exploded),
+read AS (SELECT id, place, CASE WHEN kind IN ('cool', 'revive') AND story IS NULL THEN 'error' ELSE kind END AS kind,
+ CASE WHEN kind NOT IN ('cool', 'revive') THEN x WHEN story IS NULL THEN json_extract_string(x, '$') ELSE '{{"event_id":' || story || '}}' END AS payload,
+ CASE kind WHEN 'merge' THEN json_extract_string(x, '$.reason') WHEN 'split' THEN 'split: ' || json_extract_string(x, '$.suggested_new_name') WHEN 'new' THEN json_extract_string(x, '$.name')
+  WHEN 'cool' THEN CASE WHEN story IS NULL THEN 'unreadable element of cooling_events' END END AS rationale FROM named
+ UNION ALL SELECT r.id, NULL, 'error', r.content, 'unreadable answer' FROM recluster_responses r JOIN clean c ON c.id = r.id WHERE c.j IS NULL),
+proposed AS (SELECT * FROM read WHERE kind <> 'error')"""
+_DIFF = _DIFF.replace("'{{\"event_id\":'", "'{\"event_id\":'").replace("|| '}}' END AS payload", "|| '}' END AS payload")
 
 
-@query("parse_recluster_diff", f"WITH {_DIFF} SELECT id, place, kind, payload, rationale FROM proposed")
+@query("parse_recluster_diff", f"WITH {_DIFF} SELECT id, place, kind, payload, rationale FROM read")
 def _(t):
     return payloads.parse_recluster_diff(t.recluster_responses)
 

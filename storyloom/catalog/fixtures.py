@@ -162,13 +162,13 @@ SELECT ((s.id * 104729) % 10007) * 10000000 + 5000000 + s.id AS pos, CAST(s.id A
 _DOC_WORDS = _WORDS.format(x="d.text", G="{G}")
 VIEWS["assignment_responses"] = f"""
 SELECT r.id, CASE WHEN r.id % 19 = 7 THEN '' WHEN r.id % 7 = 3 THEN substr(r.body, 1, length(r.body) - 2)
-  WHEN r.id % 11 = 4 THEN r.body || ' Hope this helps.' ELSE r.body END AS content
+  WHEN r.id % 11 = 4 THEN r.body || ' Hope this helps.' WHEN r.id % 23 = 8 THEN replace(r.body, '"', chr(39)) ELSE r.body END AS content
 FROM (SELECT d.doc_id AS id,
  CASE d.doc_id % 5 WHEN 1 THEN '  ```json' || chr(10) WHEN 2 THEN '```' ELSE '' END
- || '{{{{"assignments":[{{{{"article_id":' || CAST(d.doc_id AS {{S}}) || ',"decision":"' || CASE WHEN d.doc_id % 3 = 0 THEN 'existing' ELSE 'new' END
+ || '{{{{"assignments":[{{{{"article_id":' || CAST(d.doc_id AS {{S}}) || CASE d.doc_id % 17 WHEN 9 THEN '.0' ELSE '' END || ',"decision":"' || CASE WHEN d.doc_id % 3 = 0 THEN 'existing' ELSE 'new' END
  || '","event_id":' || CASE WHEN d.doc_id % 3 = 0 THEN CAST(d.doc_id % 30 AS {{S}}) ELSE 'null' END || ',"event_name":"Topic ' || CAST(d.doc_id % 9 AS {{S}})
  || '","importance_score":' || CASE d.doc_id % 4 WHEN 0 THEN '0.0' WHEN 1 THEN 'null' ELSE '0.8' END || ',"confidence":0.9,"reasoning":"' || {_DOC_WORDS}
- || '"}}}},{{{{"article_id":' || CAST(d.doc_id + 1 AS {{S}}) || ',"decision":"uncategorized"}}}}]}}}}'
+ || '"}}}},{{{{"article_id":' || CAST(d.doc_id + 1 AS {{S}}) || ',"decision":"uncategorized"}}}}' || CASE d.doc_id % 13 WHEN 6 THEN ',"bad",7' ELSE '' END || ']}}}}'
  || CASE d.doc_id % 5 WHEN 1 THEN chr(10) || '```  ' WHEN 2 THEN '```' ELSE '' END AS body
  FROM documents d) r
 """
@@ -182,8 +182,8 @@ SELECT s.id, '{{"merge_pairs":[{{"older_id":' || CASE WHEN s.id % 6 = 0 THEN '"a
 VIEWS["recluster_responses"] = """
 SELECT s.id, '{{"merge_candidates":[{{"event_a_id":' || CAST(s.id AS {S}) || ',"event_b_id":' || CAST(s.id + 1 AS {S}) || ',"reason":"close"}}],'
  || CASE WHEN s.id % 3 = 0 THEN '' ELSE '"split_candidates":[{{"event_id":' || CAST(s.id AS {S}) || ',"suggested_new_name":"Part of ' || CAST(s.id AS {S}) || '","anchor_article_ids":[1,2]}}],' END
- || '"cooling_events":[' || CAST(s.id AS {S}) || ',' || CAST(s.id + 5 AS {S}) || '],"reviving_events":[' || CASE WHEN s.id % 5 = 0 THEN CAST(s.id AS {S}) ELSE '' END
- || '],"new_events":[{{"name":"Fresh ' || CAST(s.id AS {S}) || '","anchor_article_ids":[' || CAST(s.id AS {S}) || ']}}]}}' AS content FROM stories s
+ || '"cooling_events":[' || CAST(s.id AS {S}) || ',' || CAST(s.id + 5 AS {S}) || CASE s.id % 7 WHEN 4 THEN ',"8",9.0,"x"' ELSE '' END || '],"reviving_events":[' || CASE WHEN s.id % 5 = 0 THEN CAST(s.id AS {S}) ELSE '' END
+ || '],"new_events":[{{"name":"Fresh ' || CAST(s.id AS {S}) || '","anchor_article_ids":[' || CAST(s.id AS {S}) || ']}}]}}' || CASE s.id % 13 WHEN 5 THEN ' and so on' ELSE '' END AS content FROM stories s
 """
 
 VIEWS["summary_responses"] = """

@@ -14,13 +14,17 @@ from storyloom.functions.text import non_empty, strip, strip_code_fence
 REQUIRED_SUMMARY_KEYS = ("timeline_narrative", "cross_source_synthesis", "progressive_summary")
 
 
+#: What Spark's reader allows beyond JSON.
+_STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+
+
 def parse_exact(content: Column, schema: T.DataType) -> Column:
     """The text parsed when it is exactly one JSON value, else null.
 
     Spark's JSON reader accepts trailing junk after the first value; inside an
     array it does not, so the text is read as the only element of one.
     """
-    as_array = F.from_json(F.concat(F.lit("["), content, F.lit("]")), T.ArrayType(schema))
+    as_array = F.from_json(F.concat(F.lit("["), content, F.lit("]")), T.ArrayType(schema), _STRICT)
     return F.when(F.size(as_array) == 1, F.try_element_at(as_array, F.lit(1)))
 
 
@@ -29,6 +33,27 @@ def parse_strict(content: Column, schema: T.StructType) -> Column:
     return parse_exact(strip_code_fence(content), schema)
 
 
+def answer_lists(content: Column, fields: list[str]) -> Column:
+    """The named lists of an answer, each as the text it was written as; null when the answer can't be read."""
+    return parse_strict(content, T.StructType([T.StructField(f, T.StringType()) for f in fields]))
+
+
+def elements(listed: Column) -> Column:
+    """The elements of a list's text, each as text of its own; null when it is no list."""
+    return parse_exact(listed, T.ArrayType(T.StringType()))
+
+
+def as_object(element: Column, schema: T.StructType) -> Column:
+    """An element as a struct, null when it is no object."""
+    return F.when(element.startswith("{"), parse_exact(element, schema))
+
+
+def as_id(text: Column) -> Column:
+    """A whole number, written with or without quotes or a zero fraction."""
+    number = text.try_cast("double")
+    return F.coalesce(text.try_cast("long"), F.when(number == F.floor(number), number.try_cast("long")))
+
+
 def zero_as(value: Column, default: float) -> Column:
     """A missing or zero number takes the default."""
     return F.when(value.isNull() | (value == 0), F.lit(default)).otherwise(value)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from storyloom import schemas
-from storyloom.functions.answers import parse_exact, parse_strict, recover_summary, summary_block
+from storyloom.functions.answers import answer_lists, as_id, as_object, elements, parse_exact, recover_summary, summary_block
 from storyloom.functions.dates import iso_text
 from storyloom.functions.text import classify_title, non_empty, snippet, strip_code_fence, truncate_ellipsis
 from storyloom.operators import rank
@@ -198,29 +198,36 @@ def save_summary(summaries: DataFrame, stories: DataFrame, articles: DataFrame,
 # --- reading answers ---------------------------------------------------------
 
 
-def parse_assignments(responses: DataFrame) -> DataFrame:
-    """Rows of all answers; an answer that cannot be read gives one row with ``error``.
+def _items(responses: DataFrame, field: str) -> DataFrame:
+    """(id, place, item) of one list of all answers.
 
-    Each answer is parsed once; its text is gone before the rows unfold.
+    An answer or a list that can't be read gives one row without place and item; an answer without the
+    list gives none.
     """
-    parsed = responses.select("id", parse_strict(F.col("content"), schemas.ASSIGNMENTS).alias("answer"))
-    listed = parsed.select("id", F.col("answer").isNull().alias("error"), F.col("answer.assignments").alias("items"))
-    rows = listed.select("id", "error", F.posexplode_outer("items").alias("place", "a")).filter(F.col("a").isNotNull() | F.col("error"))
+    parsed = responses.select("id", answer_lists(F.col("content"), [field])[field].alias("listed"), answer_lists(F.col("content"), [field]).isNull().alias("lost"))
+    read = parsed.select("id", "lost", F.col("listed").isNotNull().alias("given"), elements(F.col("listed")).alias("items"))
+    rows = read.select("id", F.posexplode_outer("items").alias("place", "item"), (F.col("lost") | (F.col("given") & F.col("items").isNull())).alias("lost"))
+    return rows.filter(F.col("lost") | F.col("place").isNotNull()).drop("lost")
+
+
+def parse_assignments(responses: DataFrame) -> DataFrame:
+    """Rows of all answers; an answer or an element that can't be read gives one row with ``error``."""
+    rows = _items(responses, "assignments").select("id", "place", as_object(F.col("item"), schemas.ASSIGNMENT).alias("a"))
     number = lambda c: F.col(f"a.{c}").try_cast("double")
     importance = number("importance_score")
     return rows.select(
-        "id", "place", "error", F.col("a.article_id").try_cast("long").alias("article_id"), F.col("a.decision").alias("decision"),
-        F.col("a.event_id").try_cast("long").alias("event_id"), F.col("a.event_name").alias("event_name"),
+        "id", "place", F.col("a").isNull().alias("error"), as_id(F.col("a.article_id")).alias("article_id"), F.col("a.decision").alias("decision"),
+        as_id(F.col("a.event_id")).alias("event_id"), F.col("a.event_name").alias("event_name"),
         F.when(F.col("a").isNotNull(), F.when(importance.isNull() | (importance == 0), F.lit(0.5)).otherwise(importance)).alias("importance_score"),
         F.when(F.col("a").isNotNull(), F.coalesce(number("confidence"), F.lit(0.0))).alias("confidence"), F.col("a.reasoning").alias("reasoning"),
     )
 
 
 def parse_merge_pairs(responses: DataFrame) -> DataFrame:
-    """Pairs of all answers; ``readable`` is false where an id or the confidence is no number."""
-    rows = responses.select("id", F.posexplode(parse_strict(F.col("content"), schemas.MERGE_PAIRS)["merge_pairs"]).alias("place", "p"))
-    older, newer = F.col("p.older_id").try_cast("long"), F.col("p.newer_id").try_cast("long")
-    confidence = F.coalesce(F.col("p.confidence").try_cast("double"), F.when(F.col("p.confidence").isNull(), F.lit(0.0)))
+    """Pairs of all answers; ``readable`` is false where the answer, the element, an id or the confidence can't be read."""
+    rows = _items(responses, "merge_pairs").select("id", "place", as_object(F.col("item"), schemas.MERGE_PAIR).alias("p"))
+    older, newer = as_id(F.col("p.older_id")), as_id(F.col("p.newer_id"))
+    confidence = F.coalesce(F.col("p.confidence").try_cast("double"), F.when(F.col("p").isNotNull() & F.col("p.confidence").isNull(), F.lit(0.0)))
     return rows.select(
         "id", "place", older.alias("older_id"), newer.alias("newer_id"), confidence.alias("confidence"), F.coalesce("p.reason", F.lit("")).alias("reason"),
         (older.isNotNull() & newer.isNotNull() & confidence.isNotNull()).alias("readable"),
@@ -228,34 +235,43 @@ def parse_merge_pairs(responses: DataFrame) -> DataFrame:
 
 
 def parse_recluster_diff(responses: DataFrame) -> DataFrame:
-    """Proposals of all answers: (id, kind, payload, rationale)."""
-    diff = responses.select("id", parse_strict(F.col("content"), schemas.RECLUSTER_DIFF).alias("d"))
-    whole = lambda x: F.to_json(x)
-    event = lambda x: _json(x.alias("event_id"))
+    """Proposals of all answers: (id, place, kind, payload, rationale).
+
+    The payload is the element as it was written; a bare story id becomes an object.  What can't be
+    read, an answer, a list or an element, is a row of kind ``error`` with its text as payload.
+    """
+    text = lambda field: lambda x: F.get_json_object(x, f"$.{field}")
     null = lambda x: F.lit(None).cast("string")
     kinds = [
-        ("merge", "merge_candidates", whole, lambda x: x["reason"]),
-        ("split", "split_candidates", whole, lambda x: F.concat(F.lit("split: "), F.coalesce(x["suggested_new_name"], F.lit("None")))),
-        ("cool", "cooling_events", event, null),
-        ("revive", "reviving_events", event, null),
-        ("new", "new_events", whole, lambda x: x["name"]),
+        ("merge", "merge_candidates", False, text("reason")),
+        ("split", "split_candidates", False, lambda x: F.concat(F.lit("split: "), F.coalesce(text("suggested_new_name")(x), F.lit("None")))),
+        ("cool", "cooling_events", True, null),
+        ("revive", "reviving_events", True, null),
+        ("new", "new_events", False, text("name")),
     ]
+    proposal = lambda place, kind, payload, rationale: F.struct(place.cast("int").alias("place"), kind.alias("kind"), payload.alias("payload"), rationale.alias("rationale"))
+    lists = responses.select("id", "content", answer_lists(F.col("content"), [field for _, field, _, _ in kinds]).alias("d"))
+
+    def tagged(kind: str, field: str, bare: bool, rationale) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            payload = _json(as_id(x).alias("event_id")) if bare else x
+            good = as_id(x).isNotNull() if bare else x.startswith("{") & parse_exact(x, T.VariantType()).isNotNull()
+            bad = proposal(i, F.lit("error"), x, F.lit(f"unreadable element of {field}"))
+            return F.when(F.coalesce(good, F.lit(False)), proposal(i, F.lit(kind), payload, rationale(x))).otherwise(bad)
 
-    def tag(kind, field, payload, rationale):
-        listed = F.coalesce(F.col(f"d.{field}"), F.array().cast(schemas.RECLUSTER_DIFF[field].dataType))
-        return F.transform(listed, lambda x, i: F.struct(
-            i.alias("place"), F.lit(kind).alias("kind"), payload(x).alias("payload"), rationale(x).alias("rationale")
-        ))
+        listed = F.col(f"d.{field}")
+        lost = F.when(listed.isNotNull(), F.array(proposal(F.lit(None), F.lit("error"), listed, F.lit(f"unreadable {field}")))).otherwise(F.array())
+        return F.coalesce(F.transform(elements(listed), one), lost)
 
-    # One list per answer, so the answers are read and parsed once.
-    tagged = [tag(*kind) for kind in kinds]
-    return diff.select("id", F.explode(F.concat(*tagged)).alias("p")).select("id", "p.place", "p.kind", "p.payload", "p.rationale")
+    whole = F.array(proposal(F.lit(None), F.lit("error"), F.col("content"), F.lit("unreadable answer")))
+    every = F.when(F.col("d").isNull(), whole).otherwise(F.concat(*[tagged(*kind) for kind in kinds]))
+    return lists.select("id", F.explode(every).alias("p")).select("id", "p.place", "p.kind", "p.payload", "p.rationale")
 
 
 def write_proposals(proposals: DataFrame, parsed: DataFrame, now) -> DataFrame:
     from storyloom.operators.ids import with_new_ids
 
-    keyed = parsed.withColumn("_key", F.concat_ws(":", "id", "kind", "place")).drop("id", "place")
+    keyed = parsed.filter(F.col("kind") != "error").withColumn("_key", F.concat_ws(":", "id", "kind", "place")).drop("id", "place")
     fresh = with_new_ids(keyed, "_key", proposals).select("id", "kind", "payload", now_col(now).alias("created_at"), F.lit(0).alias("applied"), "rationale")
     return proposals.unionByName(fresh, allowMissingColumns=True)
 

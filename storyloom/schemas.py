@@ -85,19 +85,8 @@ ASSIGNMENTS = _struct(assignments=T.ArrayType(ASSIGNMENT))
 MERGE_PAIR = _struct(
     older_id=T.StringType(), newer_id=T.StringType(), confidence=T.StringType(), reason=T.StringType(),
 )
-MERGE_PAIRS = _struct(merge_pairs=T.ArrayType(MERGE_PAIR))
 
 _IDS = T.ArrayType(T.LongType())
-RECLUSTER_DIFF = _struct(
-    merge_candidates=T.ArrayType(_struct(event_a_id=T.LongType(), event_b_id=T.LongType(), reason=T.StringType())),
-    split_candidates=T.ArrayType(
-        _struct(event_id=T.LongType(), suggested_new_name=T.StringType(), anchor_article_ids=_IDS)
-    ),
-    cooling_events=_IDS,
-    reviving_events=_IDS,
-    new_events=T.ArrayType(_struct(name=T.StringType(), anchor_article_ids=_IDS)),
-)
-
 SUMMARY = _struct(
     key_developments=T.ArrayType(T.StringType()),
     timeline_narrative=T.ArrayType(_struct(date=T.StringType(), text=T.StringType())),
