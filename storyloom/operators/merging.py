@@ -20,32 +20,56 @@ def accept_in_order(pairs: DataFrame) -> DataFrame:
     """Pairs (pos, keep, drop) with ``accepted``, as if taken one by one in order.
 
     A pair is accepted when neither side was dropped by an accepted earlier
-    pair.  Each round settles, all at once, every pair that no open earlier
-    pair can still affect: it looks up per story the first open pair that
-    would drop it and the position at which it was dropped.  Both are one
-    value per story, so a story named by a third of all pairs is only the hot
-    side of a join Spark can split.  Rounds follow the longest chain of pairs
-    that hang on each other, and every round settles at least the first pair.
+    pair.  Each round looks up, per story, the first two open pairs that would
+    drop it.  A pair with no open earlier pair on its sides is accepted; one
+    with a single such pair does the opposite of that pair, and runs of these
+    are followed by doubling to where they begin, so a chain of any length
+    settles in one round of as many steps as its length has bits.  What the
+    accepted ones drop rejects later pairs; only open pairs go on.
     """
-    state = cut_lineage(pairs.select("pos", "keep", "drop").withColumn("accepted", F.when(F.col("keep") == F.col("drop"), F.lit(False))))
-    while not state.filter(F.col("accepted").isNull()).isEmpty():
-        marks = state.groupBy("drop").agg(
-            F.min(F.when(F.col("accepted").isNull(), F.col("pos"))).alias("open"),
-            F.min(F.when(F.col("accepted"), F.col("pos"))).alias("gone"),
+    typed = pairs.select("pos", "keep", "drop")
+    settled = typed.filter("keep = drop").withColumn("accepted", F.lit(False))
+    waiting = cut_lineage(typed.filter("keep <> drop"))
+    while not waiting.isEmpty():
+        first = waiting.groupBy("drop").agg(F.min("pos").alias("first"))
+        second = waiting.join(first, "drop").filter("pos > first").groupBy("drop").agg(F.min("pos").alias("second"))
+        marks = first.join(second, "drop", "left")
+        on_keep = marks.select(F.col("drop").alias("keep"), F.col("first").alias("k1"), F.col("second").alias("k2"))
+        on_drop = marks.select("drop", F.col("first").alias("d1"), F.col("second").alias("d2"))
+        earlier = sum((F.coalesce((F.col(c) < F.col("pos")).cast("int"), F.lit(0)) for c in ("k1", "k2", "d1", "d2")), F.lit(0))
+        cause = F.when(F.col("k1") < F.col("pos"), F.col("k1")).otherwise(F.col("d1"))
+        ranked = cut_lineage(
+            waiting.join(on_keep, "keep", "left").join(on_drop, "drop", "left").select("pos", "keep", "drop", earlier.alias("earlier"), cause.alias("cause"))
         )
-        on_keep = marks.select(F.col("drop").alias("keep"), F.col("open").alias("keep_open"), F.col("gone").alias("keep_gone"))
-        on_drop = marks.select("drop", F.col("open").alias("drop_open"), F.col("gone").alias("drop_gone"))
-        pos = F.col("pos")
-        before = lambda c: F.coalesce(F.col(c) < pos, F.lit(False))
-        verdict = (
-            F.when(F.col("accepted").isNotNull(), F.col("accepted"))
-            .when(before("keep_gone") | before("drop_gone"), F.lit(False))
-            .when(~before("keep_open") & ~before("drop_open"), F.lit(True))
+        begins, opposed = _run_beginnings(ranked.filter("earlier = 1").select("pos", F.col("cause").alias("root"))), F.col("steps") % 2 == 1
+        free = ranked.filter("earlier = 0").select("pos", F.lit(True).alias("accepted"))
+        follow = begins.join(free.select(F.col("pos").alias("root")), "root").select("pos", (~opposed).alias("accepted"))
+        decided = cut_lineage(ranked.join(free.unionByName(follow), "pos").select("pos", "keep", "drop", "accepted"))
+        gone = decided.filter("accepted").select("drop", F.col("pos").alias("at"))
+        left = ranked.join(decided.select("pos"), "pos", "left_anti").select("pos", "keep", "drop")
+        checked = cut_lineage(
+            left.join(gone.select(F.col("drop").alias("keep"), F.col("at").alias("keep_at")), "keep", "left")
+            .join(gone.withColumnRenamed("at", "drop_at"), "drop", "left")
+            .select("pos", "keep", "drop", F.coalesce(F.least("keep_at", "drop_at") < F.col("pos"), F.lit(False)).alias("dropped"))
         )
-        state = cut_lineage(
-            state.join(on_keep, "keep", "left").join(on_drop, "drop", "left").select("pos", "keep", "drop", verdict.alias("accepted"))
+        settled = settled.unionByName(decided).unionByName(checked.filter("dropped").select("pos", "keep", "drop", F.lit(False).alias("accepted")))
+        waiting = checked.filter("not dropped").drop("dropped")
+    return settled
+
+
+def _run_beginnings(causes: DataFrame) -> DataFrame:
+    """(pos, root, steps): each pair that hangs on one other, followed to the pair its run begins with."""
+    runs = cut_lineage(causes.withColumn("steps", F.lit(1).cast("long")))
+    while True:
+        step = runs.select(F.col("pos").alias("root"), F.col("root").alias("further"), F.col("steps").alias("more"))
+        jumped = cut_lineage(
+            runs.join(step, "root", "left").select(
+                "pos", F.coalesce("further", "root").alias("root"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("further").isNotNull().alias("moved")
+            )
         )
-    return state
+        runs = jumped.drop("moved")
+        if jumped.filter("moved").isEmpty():
+            return runs
 
 
 def resolve_chains(accepted: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from storyloom.operators import corrections, grouping, ingest, merging, payloads, proposing, rank, reads, rollups, verdicts
+from storyloom.operators import corrections, grouping, ingest, lifecycle, merging, payloads, proposing, rank, reads, rollups, updates, verdicts
 from storyloom.operators.ids import with_new_ids
 from storyloom.session import shared_dir
 from storyloom.sources import tables
@@ -44,6 +44,17 @@ def test_star_of_pairs_settles_together(spark):
     assert merging.accept_in_order(frame).filter("accepted").count() == 3000
 
 
+def test_a_long_chain_settles_in_few_steps(spark, monkeypatch):
+    cuts = []
+    cut = merging.cut_lineage
+    monkeypatch.setattr(merging, "cut_lineage", lambda df: cuts.append(1) or cut(df))
+    n = 300
+    chain = spark.range(n).select(F.col("id").alias("pos"), F.col("id").alias("keep"), (F.col("id") + 1).alias("drop"))
+    got = {r.pos: r.accepted for r in merging.accept_in_order(chain).collect()}
+    assert [got[i] for i in range(n)] == in_order([(i, i + 1) for i in range(n)])
+    assert len(cuts) <= 16
+
+
 def test_chains_end_at_the_survivor(spark):
     frame = spark.createDataFrame([(i + 1, i) for i in range(20)] + [(101, 100)], "drop long, keep long")
     got = {r["drop"]: r["keep"] for r in merging.resolve_chains(frame).collect()}
@@ -242,6 +253,46 @@ def test_duplicate_names_like_brute_force(spark):
     assert got == want
 
 
+def test_no_batch_stops_a_purge(spark):
+    old = dt.datetime(2023, 1, 1)
+    stories = spark.createDataFrame([(i, "active" if i < 250 else "archived", old, old, dt.datetime(2030, 1, 1)) for i in range(500)], "id long, status string, created_at timestamp, archived_at timestamp, expires_at timestamp")
+    articles = spark.createDataFrame([(i, 250 + i) for i in range(250)], "id long, event_id long")
+    proposals = spark.createDataFrame([], "id long, created_at timestamp")
+    tick = lifecycle.lifecycle_tick(stories, articles, proposals, NOW)
+    assert {r.outcome: r.n for r in tick.counts.collect()} == {"purged_empty": 250, "purged": 250} and tick.stories.count() == 0
+    few = lifecycle.lifecycle_tick(stories, articles, proposals, NOW, empty_limit=200, archived_limit=200)
+    assert {r.outcome: r.n for r in few.counts.collect()} == {"purged_empty": 200, "purged": 200}
+
+
+def test_centroids_are_as_long_as_the_vectors(spark):
+    articles = spark.createDataFrame([(1, 7), (2, 7), (3, None)], "id long, event_id long")
+    vectors = spark.createDataFrame([(i, [float(i + k) for k in range(80)]) for i in (1, 2, 3)], "vec_id long, embedding array<float>")
+    row = proposing.story_centroids(articles, vectors).first()
+    assert np.allclose(row.centroid, [1.5 + k for k in range(80)])
+
+
+def test_lookup_of_missing_keys(spark):
+    rows = spark.createDataFrame([(1, None), (2, 5), (3, 6), (4, None)], "pos long, story long")
+    table = spark.createDataFrame([(5, "five")], "id long, name string")
+    got = {r.pos: (r.name, r.has_story) for r in updates.lookup(rows, "story", table, "id", name="name").collect()}
+    assert got == {1: (None, False), 2: ("five", True), 3: (None, False), 4: (None, False)}
+
+
+def test_answers_lose_nothing(spark):
+    answers = spark.createDataFrame(
+        [(1, '{"assignments":[{"article_id":1},"bad",{"article_id":"2.0"},null,3]}'), (2, "{'assignments':[]}"), (3, '{"assignments":"x"}'), (4, '{"other":1}'), (5, '{"assignments":[]}'), (6, None)],
+        "id long, content string",
+    )
+    got = {(r.id, r.place): (r.error, r.article_id) for r in payloads.parse_assignments(answers).collect()}
+    assert got == {(1, 0): (False, 1), (1, 1): (True, None), (1, 2): (False, 2), (1, 3): (True, None), (1, 4): (True, None), (2, None): (True, None), (3, None): (True, None), (6, None): (True, None)}
+    diffs = spark.createDataFrame([(1, '{"cooling_events":["7",8,9.0,"x",{"a":1}],"merge_candidates":5,"new_events":[{"name":"n"},"m"]}'), (2, "nothing")], "id long, content string")
+    rows = payloads.parse_recluster_diff(diffs).collect()
+    assert sorted((r.id, r.kind, r.payload) for r in rows) == sorted([
+        (1, "cool", '{"event_id":7}'), (1, "cool", '{"event_id":8}'), (1, "cool", '{"event_id":9}'), (1, "error", "x"), (1, "error", '{"a":1}'),
+        (1, "error", "5"), (1, "new", '{"name":"n"}'), (1, "error", "m"), (2, "error", "nothing"),
+    ])
+
+
 def test_snapshots_keep_the_old_version_until_published(spark):
     base = tables.run_dir(shared_dir(spark), "store")
     one = spark.createDataFrame([(1, "a", T0)], "id long, name string, created_at timestamp")
