@@ -18,7 +18,7 @@ RAW_TABLES = ("documents", "labels", "pages", "events", "embeddings", "conversat
 NOW = "TIMESTAMP '2024-01-31 00:00:00'"
 
 _N = "(SELECT count(*) FROM {D})"
-_LINE = "substr(split_part(d.text, chr(10), 1), 1, 60)"
+_LINE = "split_part(d.text, chr(10), 1)"
 _WORDS = "regexp_replace({x}, '[^A-Za-z0-9 ]', ' '{G})"
 
 VIEWS: dict[str, str] = {}
@@ -36,13 +36,13 @@ SELECT d.doc_id AS id,
   WHEN 5 THEN 'Travel ' || {_LINE}
   WHEN 6 THEN 'Save 50 % off today'
   WHEN 7 THEN CAST(NULL AS {{S}})
-  ELSE substr(split_part(d.text, chr(10), 1), 1, 80) END AS title,
+  ELSE {_LINE} END AS title,
  CASE WHEN d.doc_id % 13 = 0 THEN CAST(NULL AS {{S}}) ELSE d.source END AS publisher_name,
  CASE WHEN d.doc_id % 29 = 0 THEN CAST(NULL AS TIMESTAMP)
   ELSE TIMESTAMP '2024-01-01 00:00:00' + CAST((d.doc_id * 7919) % 43200 AS INT) * INTERVAL '1' MINUTE END AS published_date,
  TIMESTAMP '2024-01-01 00:30:00' + CAST((d.doc_id * 7919) % 43200 AS INT) * INTERVAL '1' MINUTE AS fetched_at,
  CASE WHEN d.doc_id % 17 = 0 THEN 'This website uses essential cookies' WHEN d.doc_id % 19 = 0 THEN ''
-  ELSE substr(d.text, 1, 120) END AS rss_description,
+  ELSE {_LINE} END AS rss_description,
  d.text AS scraped_text_content,
  CAST({{WC}} AS INT) AS word_count,
  CASE WHEN d.doc_id % 7 = 0 THEN CAST(NULL AS BIGINT)

@@ -28,8 +28,9 @@ def title_type(expr: str) -> str:
     return f"CASE {_cases(_strip(expr), text.TITLE_ORDER)} ELSE 'news' END"
 
 
-def article_type(title: str, description: str, body: str) -> str:
-    preview = f"regexp_replace(concat_ws(' ', nullif({description}, ''), nullif(left({body}, 500), '')), '\\n$', '')"
+def article_type(title: str, description: str, body: str, chars: int | None = None) -> str:
+    seen = body if chars is None else f"left({body}, {chars})"
+    preview = f"regexp_replace(concat_ws(' ', nullif({description}, ''), nullif({seen}, '')), '\\n$', '')"
     return f"coalesce(CASE {_cases(_strip(title), text.TITLE_ORDER)} END, CASE {_cases(preview, text.BODY_ORDER)} END, 'news')"
 
 
@@ -62,6 +63,12 @@ def _(t):
     return t.articles.select("id", text.classify_title(F.col("title")).alias("content_type"))
 
 
+@query("classify_article_preview", f"SELECT id, {article_type('title', 'rss_description', 'scraped_text_content', text.BODY_PREVIEW_CHARS)} AS content_type FROM articles")
+def _(t):
+    kind = text.classify_article(F.col("title"), F.col("rss_description"), F.col("scraped_text_content"), text.BODY_PREVIEW_CHARS)
+    return t.articles.select("id", kind.alias("content_type"))
+
+
 @query("classify_article", f"SELECT id, {article_type('title', 'rss_description', 'scraped_text_content')} AS content_type FROM articles")
 def _(t):
     kind = text.classify_article(F.col("title"), F.col("rss_description"), F.col("scraped_text_content"))

@@ -11,6 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from storyloom.functions.text import strip
+
 # What a stored article body may keep.
 ALLOWED_TAGS = [
     "p", "br", "b", "strong", "i", "em", "u", "s", "strike", "del",
@@ -195,11 +197,13 @@ def _main_content(html: pd.Series) -> pd.DataFrame:
 
 def html_to_text(html: Column) -> Column:
     """Visible text, pieces trimmed and joined by one blank."""
-    return _plain_text(html)
+    marked = html.rlike("[<&]")  # other cells have nothing to parse and don't go to Python
+    return F.when(marked, _plain_text(F.when(marked, html))).otherwise(strip(html))
 
 
 def sanitize_html(html: Column) -> Column:
-    return F.coalesce(_sanitize(html), F.lit(""))
+    marked = html.rlike("[<&>]")
+    return F.coalesce(F.when(marked, _sanitize(F.when(marked, html))).otherwise(html), F.lit(""))
 
 
 def extract_main_content(html: Column) -> Column:

@@ -184,9 +184,10 @@ def classify_title(title: Column) -> Column:
     return F.coalesce(_first_type(strip(title), TITLE_ORDER), F.lit("news"))
 
 
-def classify_article(title: Column, description: Column, text: Column) -> Column:
-    """Title decides; the body preview is scanned only for titles that say nothing."""
-    preview = F.concat_ws(" ", non_empty(description), non_empty(F.left(text, F.lit(BODY_PREVIEW_CHARS))))
+def classify_article(title: Column, description: Column, text: Column, preview_chars: int | None = None) -> Column:
+    """Title decides; the body, or its first ``preview_chars``, is scanned only for titles that say nothing."""
+    body = text if preview_chars is None else F.left(text, F.lit(preview_chars))
+    preview = F.concat_ws(" ", non_empty(description), non_empty(body))
     return F.coalesce(_first_type(strip(title), TITLE_ORDER), _first_type(preview, BODY_ORDER), F.lit("news"))
 
 

@@ -101,6 +101,13 @@ def scrape_error(hard_words: int = DEFAULTS.hard_error_words) -> Column:
     return text.non_empty(both)
 
 
+def unique_scrapes(scrapes: DataFrame) -> DataFrame:
+    """One document for each address: of several, one without an error, then the longest text."""
+    text_length = F.length(F.coalesce("text", F.lit("")))
+    order = [F.coalesce("error", F.lit("")) != "", text_length.desc(), F.col("text").asc_nulls_last(), F.col("html").asc_nulls_last()]
+    return first_per(scrapes, ["url"], order).drop("rn")
+
+
 def scrape_error_gate(scrapes: DataFrame) -> DataFrame:
     return with_word_count(scrapes).withColumn("scrape_error", scrape_error())
 
@@ -204,7 +211,7 @@ def ingest_articles(
     """The whole chain; ``articles`` of the result are the new rows only."""
     gated = gate_entries(entries, articles, failures, now, cap)
     candidates = gated.withColumn("raw_description", pick_description(gated))
-    documents = scrape_error_gate(scrapes).select(
+    documents = scrape_error_gate(unique_scrapes(scrapes)).select(
         F.col("url").alias("scraped_url"), "text", F.col("html").alias("_html"), "word_count", "scrape_error"
     )
     names = feeds.select(F.col("id").alias("feed_id"), F.coalesce(text.non_empty(F.col("name")), text.host_name(F.col("url"))).alias("publisher_name"))

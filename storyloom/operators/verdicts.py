@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from storyloom.functions import dates, text
 from storyloom.functions.html import html_to_text, sanitize_html
-from storyloom.operators.ingest import has_link, pick_description
+from storyloom.operators.ingest import has_link, pick_description, unique_scrapes
 from storyloom.operators.rank import first_per
 from storyloom.operators.rollups import left_join_sliced
 from storyloom.settings import DEFAULTS
@@ -57,7 +57,7 @@ def passes_all_gates(min_words: int) -> Column:
 
 def check_entries(sampled: DataFrame, scrapes: DataFrame, min_words: int = DEFAULTS.min_words) -> DataFrame:
     """Pass and fail tags of every sampled entry."""
-    documents = scrapes.select(
+    documents = unique_scrapes(scrapes).select(
         F.col("url").alias("link"), F.lit(True).alias("scraped"), F.coalesce("text", F.lit("")).alias("_text"),
         F.col("html").alias("_html"), text.non_empty(F.col("error")).alias("scraper_error"),
     )

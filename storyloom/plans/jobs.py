@@ -1,7 +1,7 @@
 """The recurring jobs, each a chain of operators over the tables of record.
 
 A job reads the current snapshots, builds all its results lazily, writes the
-changed tables as new snapshots, and returns its run report.
+changed tables as new snapshots, publishes them together, and returns its run report.
 """
 
 from __future__ import annotations
@@ -12,12 +12,11 @@ from pyspark.sql import functions as F
 from storyloom.operators import grouping, ingest, lifecycle, merging, payloads, rollups
 from storyloom.operators.ids import with_new_ids
 from storyloom.operators.updates import append_feedback
-from storyloom.sources.tables import load_tables, write_snapshot
+from storyloom.sources.tables import load_tables, write_snapshots
 
 
 def _publish(base: str, **changed: DataFrame) -> None:
-    for name, table in changed.items():
-        write_snapshot(table, base, name)
+    write_snapshots(changed, base)
 
 
 def run_ingest(spark: SparkSession, base: str, entries: DataFrame, scrapes: DataFrame, now) -> DataFrame:

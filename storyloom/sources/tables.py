@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
 from storyloom import schemas
 from storyloom.settings import DEFAULTS
 
-POINTER = "current"
+#: Folder of the store's numbered records.
+POINTER = "published"
 
 
 def load_raw_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
@@ -45,41 +46,76 @@ def evolve_schema(df: DataFrame, target: T.StructType) -> DataFrame:
     return df.select(*columns, *extra)
 
 
-def _current_version(spark: SparkSession, base: str, table: str) -> str | None:
-    """Version named by the newest pointer record, none where the table was never written."""
-    try:
-        records = spark.read.schema("version string, written_at timestamp").json(f"{base}/{table}/{POINTER}")
-    except AnalysisException:
-        return None
-    return records.agg(F.max_by("version", "written_at")).first()[0]
-
+_RECORD = "number long, table string, version string"
 
-def write_snapshot(df: DataFrame, base: str, table: str, version: str | None = None, files_by: list[str] | None = None) -> str:
-    """Write a new version, then publish it by appending one pointer record.
 
-    Readers keep the version they resolved; a job that dies before the
-    pointer record leaves the old version current.  A retry under the same
-    version name replaces its own half-written files.
+def read_if_there(spark: SparkSession, schema: T.StructType | str, path: str, kind: str = "parquet", **options: str) -> DataFrame | None:
+    """Files below ``path``; nothing where there is no such path, and any other failure is raised."""
+    try:
+        return spark.read.format(kind).schema(schema).options(**options).load(path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def _published(spark: SparkSession, base: str) -> tuple[int, dict[str, str]]:
+    """Number of the newest record and the current version of every table."""
+    records = read_if_there(spark, _RECORD, f"{base}/{POINTER}", "json")
+    if records is None:
+        return 0, {}
+    current = records.groupBy("table").agg(F.max("number").alias("number"), F.max_by("version", "number").alias("version")).collect()
+    return max((r.number for r in current), default=0), {r.table: r.version for r in current}
+
+
+def write_snapshots(frames: dict[str, DataFrame], base: str, version: str | None = None, files_by: list[str] | None = None, parent: int | None = None) -> int:
+    """Write new versions of tables, then publish all of them by one record.
+
+    Readers keep the versions they resolved; a job that dies before the record
+    leaves the old versions of all tables current.  Records are numbered, so no
+    clock decides what is newest.  With ``parent``, the number the job read
+    from, the write is refused when another job has published since.  A retry
+    under the same version name replaces its own half-written files.
     """
-    spark = df.sparkSession
+    spark = next(iter(frames.values())).sparkSession
     version = version or uuid.uuid4().hex
-    rows = df.repartition(*[F.col(c) for c in files_by]) if files_by else df
-    rows.write.mode("overwrite").parquet(f"{base}/{table}/version={version}")
-    record = spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("written_at"))
-    record.coalesce(1).write.mode("append").json(f"{base}/{table}/{POINTER}")
-    return version
+    for table, df in frames.items():
+        rows = df.repartition(*[F.col(c) for c in files_by]) if files_by else df
+        rows.write.mode("overwrite").parquet(f"{base}/{table}/version={version}")
+    newest, _ = _published(spark, base)
+    if parent is not None and newest != parent:
+        raise RuntimeError(f"the store was published as {newest} since this job read {parent}")
+    names = F.explode(F.array(*[F.lit(name) for name in frames]))
+    record = spark.range(1).select(F.lit(newest + 1).cast("long").alias("number"), names.alias("table"), F.lit(version).alias("version"))
+    record.coalesce(1).write.mode("append").json(f"{base}/{POINTER}")
+    return newest + 1
+
+
+def write_snapshot(df: DataFrame, base: str, table: str, version: str | None = None, files_by: list[str] | None = None, parent: int | None = None) -> int:
+    """A new version of one table."""
+    return write_snapshots({table: df}, base, version, files_by, parent)
+
+
+def store_number(spark: SparkSession, base: str) -> int:
+    """Number of the newest record, to be given as ``parent``."""
+    return _published(spark, base)[0]
 
 
 def load_tables(spark: SparkSession, base: str, names: list[str] | None = None) -> dict[str, DataFrame]:
-    """Current version of every table, an empty one where none was written."""
+    """Current version of every table, an empty one where none was written.
+
+    A table whose versions lie there without a record is an error, not an empty table.
+    """
+    _, versions = _published(spark, base)
     loaded = {}
     for name in names or list(schemas.TABLES):
-        version = _current_version(spark, base, name)
-        if version is None:
-            loaded[name] = spark.createDataFrame([], schemas.TABLES[name])
-        else:
-            stored = spark.read.parquet(f"{base}/{name}/version={version}")
+        if name in versions:
+            stored = spark.read.parquet(f"{base}/{name}/version={versions[name]}")
             loaded[name] = evolve_schema(stored, schemas.TABLES[name])
+        elif read_if_there(spark, "path string", f"{base}/{name}/version=*", "binaryFile") is not None:
+            raise RuntimeError(f"{base} has versions of {name} and no record of them")
+        else:
+            loaded[name] = spark.createDataFrame([], schemas.TABLES[name])
     return loaded
 
 

@@ -9,14 +9,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from storyloom.functions.text import is_promo
 from storyloom.operators.ingest import entry_date, has_link
 from storyloom.operators.updates import not_stored
 from storyloom.session import shared_dir
 from storyloom.settings import DEFAULTS
-from storyloom.sources.tables import run_dir
+from storyloom.sources.tables import read_if_there, run_dir
 
 
 # --- shapes ------------------------------------------------------------------
@@ -73,10 +72,8 @@ def feed_health(errors: DataFrame, delay: str = "1 hour", width: str = "1 hour")
 
 def stored_before(spark: SparkSession, path: str, batch_id: int, schema) -> DataFrame:
     """What earlier micro-batches stored; a repeated batch does not see its own files."""
-    try:
-        return spark.read.schema(schema).option("basePath", path).parquet(path).filter(F.col("batch") < batch_id).drop("batch")
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
+    stored = read_if_there(spark, schema, path, basePath=path)
+    return spark.createDataFrame([], schema) if stored is None else stored.filter(F.col("batch") < batch_id).drop("batch")
 
 
 def append_new(path: str, keys: list[str], known: DataFrame | None = None):

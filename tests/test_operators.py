@@ -253,6 +253,33 @@ def test_duplicate_names_like_brute_force(spark):
     assert got == want
 
 
+def test_a_store_is_published_as_a_whole(spark):
+    base = tables.run_dir(shared_dir(spark), "store")
+    frame = lambda name: spark.createDataFrame([(1, name)], "id long, name string")
+    first = tables.write_snapshots({"stories": frame("a"), "feed_sources": frame("f")}, base)
+    # A job that dies after its first table has published nothing.
+    frame("b").write.parquet(f"{base}/stories/version=half")
+    loaded = tables.load_tables(spark, base, ["stories", "feed_sources", "articles"])
+    assert (loaded["stories"].first().name, loaded["feed_sources"].first().name, loaded["articles"].count()) == ("a", "f", 0)
+    second = tables.write_snapshots({"stories": frame("c")}, base, parent=first)
+    assert second == first + 1 == tables.store_number(spark, base)
+    with pytest.raises(RuntimeError, match="published"):
+        tables.write_snapshots({"stories": frame("d")}, base, parent=first)
+    assert tables.load_tables(spark, base, ["stories"])["stories"].first().name == "c"
+
+
+def test_versions_without_a_record_are_no_empty_table(spark):
+    base = tables.run_dir(shared_dir(spark), "store")
+    spark.createDataFrame([(1, "a")], "id long, name string").write.parquet(f"{base}/stories/version=v1")
+    with pytest.raises(RuntimeError, match="no record"):
+        tables.load_tables(spark, base, ["stories"])
+
+
+def test_two_scrapes_of_one_address_are_one_document(spark):
+    scrapes = spark.createDataFrame([("u", "long text here", None, None), ("u", "longer text but failed", None, "HTTP 503"), ("u", "short", None, ""), ("v", None, None, None)], "url string, text string, html string, error string")
+    assert sorted((r.url, r.text) for r in ingest.unique_scrapes(scrapes).collect()) == [("u", "long text here"), ("v", None)]
+
+
 def test_no_batch_stops_a_purge(spark):
     old = dt.datetime(2023, 1, 1)
     stories = spark.createDataFrame([(i, "active" if i < 250 else "archived", old, old, dt.datetime(2030, 1, 1)) for i in range(500)], "id long, status string, created_at timestamp, archived_at timestamp, expires_at timestamp")

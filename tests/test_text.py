@@ -67,8 +67,9 @@ def test_body_rules(spark):
         + [(6, "Quake", "", "Opinion: x"), (7, "Quake", "", "The morning"), (8, "Quake", "", "How to x"), (9, "Quake", "", "x" * 501 + " gdpr countries"), (10, "Quake", "", "travel tips\n"), (11, "Quake", "a camera review", "")],
         "i int, t string, d string, b string",
     )
-    got = [r[0] for r in frame.select(text.classify_article(F.col("t"), F.col("d"), F.col("b")), "i").orderBy("i").collect()]
-    assert got == ["cookie-banner"] * 6 + ["news", "news", "advice", "news", "lifestyle", "review"]
+    kinds = lambda *chars: [r[0] for r in frame.select(text.classify_article(F.col("t"), F.col("d"), F.col("b"), *chars), "i").orderBy("i").collect()]
+    assert kinds(500) == ["cookie-banner"] * 6 + ["news", "news", "advice", "news", "lifestyle", "review"]
+    assert kinds() == ["cookie-banner"] * 6 + ["news", "news", "advice", "cookie-banner", "lifestyle", "review"]
 
 
 def test_required_literals_are_in_every_match():
