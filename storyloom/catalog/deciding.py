@@ -158,17 +158,17 @@ def _(t):
     return grouping.summary_targets(_regroup(t))
 
 
-@query("ungrouped", f"SELECT id, published_date FROM articles WHERE event_id IS NULL ORDER BY {_NEWEST}")
+@query("ungrouped", "SELECT id, published_date FROM articles WHERE event_id IS NULL", order=_NEWEST)
 def _(t):
     return grouping.ungrouped(t.articles).select("id", "published_date")
 
 
-@query("ungrouped_batch", f"SELECT id, published_date FROM articles WHERE event_id IS NULL ORDER BY {_NEWEST} LIMIT 100")
+@query("ungrouped_batch", f"SELECT id, published_date FROM articles WHERE event_id IS NULL ORDER BY {_NEWEST} LIMIT 100", order=_NEWEST)
 def _(t):
     return grouping.ungrouped(t.articles, limit=100).select("id", "published_date")
 
 
-@query("assignable_stories", "SELECT id, status, last_article_at FROM stories WHERE status IN ('active', 'cooling')")
+@query("assignable_stories", "SELECT id, status, last_article_at FROM stories WHERE status IN ('active', 'cooling')", order="last_article_at DESC NULLS LAST, id")
 def _(t):
     return grouping.assignable_stories(t.stories).select("id", "status", "last_article_at")
 
@@ -227,7 +227,7 @@ _BLOCK = """'--- Article ---' || chr(10) || 'Title: ' || coalesce(title, 'None')
 _PER_URL = f"QUALIFY row_number() OVER (PARTITION BY event_id, url ORDER BY {_NEWEST}) = 1"
 
 
-@query("summary_payload", f"SELECT event_id, published_date, id, {_BLOCK} AS block FROM articles WHERE event_id IS NOT NULL {_PER_URL}")
+@query("summary_payload", f"SELECT event_id, published_date, id, {_BLOCK} AS block FROM articles WHERE event_id IS NOT NULL {_PER_URL}", order=f"event_id, {_NEWEST}")
 def _(t):
     return payloads.summary_payload(t.articles)
 

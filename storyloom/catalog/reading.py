@@ -121,14 +121,14 @@ def _(t):
     return _counted(t).select("id", "article_count", "score")
 
 
-@query("rank_stories_normal", f"WITH {_COUNTED} SELECT id, article_count, last_article_at, created_at FROM counted ORDER BY article_count DESC, last_article_at DESC NULLS LAST, created_at DESC NULLS LAST, id")
+@query("rank_stories_normal", f"WITH {_COUNTED} SELECT id, article_count, last_article_at, created_at FROM counted", order="article_count DESC, last_article_at DESC NULLS LAST, created_at DESC NULLS LAST, id")
 def _(t):
     return rank.rank_stories_normal(_counted(t).select("id", "article_count", "last_article_at", "created_at"))
 
 
-@query("rank_stories_score", f"WITH {_COUNTED} SELECT id, article_count, last_article_at, round(score, 6) AS score FROM counted ORDER BY score DESC, article_count DESC, id")
+@query("rank_stories_score", f"WITH {_COUNTED} SELECT id, article_count, last_article_at, round(score, 6) AS score, score AS exact_score FROM counted", order="exact_score DESC NULLS LAST, article_count DESC, last_article_at DESC NULLS LAST, id")
 def _(t):
-    return rank.rank_stories_score(_counted(t).select("id", "article_count", "last_article_at", "score"))
+    return rank.rank_stories_score(_counted(t).select("id", "article_count", "last_article_at", "score")).withColumn("exact_score", F.col("score"))
 
 
 @query("partition_top_minor", f"""
@@ -140,7 +140,7 @@ def _(t):
 
 @query("latest_articles", """
 SELECT a.id, a.title, a.event_id, a.published_date, a.fetched_at, r.article_id IS NOT NULL AS is_read FROM
- (SELECT * FROM articles ORDER BY published_date DESC NULLS LAST, id DESC LIMIT 50 OFFSET 100) a LEFT JOIN article_reads r ON r.article_id = a.id AND r.visitor_id = {VISITOR}""")
+ (SELECT * FROM articles ORDER BY published_date DESC NULLS LAST, id DESC LIMIT 50 OFFSET 100) a LEFT JOIN article_reads r ON r.article_id = a.id AND r.visitor_id = {VISITOR}""", order="published_date DESC NULLS LAST, id DESC")
 def _(t):
     page = rank.latest_articles(t.articles, t.article_reads, VISITOR, offset=100, limit=50)
     return page.select("id", "title", "event_id", "published_date", "fetched_at", "is_read")
@@ -148,7 +148,7 @@ def _(t):
 
 @query("latest_articles_ungrouped", """
 SELECT a.id, a.title, a.published_date, r.article_id IS NOT NULL AS is_read FROM
- (SELECT * FROM articles WHERE event_id IS NULL ORDER BY published_date DESC NULLS LAST, id DESC LIMIT 50) a LEFT JOIN article_reads r ON r.article_id = a.id AND r.visitor_id = {VISITOR}""")
+ (SELECT * FROM articles WHERE event_id IS NULL ORDER BY published_date DESC NULLS LAST, id DESC LIMIT 50) a LEFT JOIN article_reads r ON r.article_id = a.id AND r.visitor_id = {VISITOR}""", order="published_date DESC NULLS LAST, id DESC")
 def _(t):
     return rank.latest_articles(t.articles, t.article_reads, VISITOR, ungrouped=True).select("id", "title", "published_date", "is_read")
 
@@ -187,7 +187,7 @@ def _(t):
     return rank.chat_context(t.articles)
 
 
-@query("chat_history", "SELECT event_id, visitor_id, created_at, id, role, content FROM event_chat_messages WHERE role IN ('user', 'assistant')")
+@query("chat_history", "SELECT event_id, visitor_id, created_at, id, role, content FROM event_chat_messages WHERE role IN ('user', 'assistant')", order="event_id, visitor_id, created_at, id")
 def _(t):
     return rank.chat_history(t.event_chat_messages)
 
