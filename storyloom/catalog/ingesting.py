@@ -173,11 +173,16 @@ def _(t):
     return t.spark.read.parquet(path).select("id", "url", "title")
 
 
-@query("read_feed_entries", "SELECT feed_id, trim(title) AS title, link, published, updated, trim(description) AS description FROM feed_entries")
+@query("read_feed_entries", """SELECT feed_id, trim(title) AS title, link, published, updated, CASE WHEN feed_id % 2 = 0 THEN trim(description) END AS description,
+ CASE WHEN feed_id % 2 = 1 THEN trim(description) END AS content FROM feed_entries""")
 def _(t):
+    """Feeds of even number land as RSS, the others as Atom with the description as content."""
     path = tables.run_dir(shared_dir(t.spark), "landing")
-    feed_source.land_feed_documents(t.feed_entries, path)
-    return feed_source.read_feed_entries(t.spark, path).select("feed_id", F.trim("title").alias("title"), "link", "published", "updated", F.trim("description").alias("description"))
+    entries = t.feed_entries.select("feed_id", "title", "link", "published", "updated", "description")
+    feed_source.land_feed_documents(entries.filter("feed_id % 2 = 0"), path)
+    feed_source.land_feed_documents(entries.filter("feed_id % 2 = 1").withColumnRenamed("description", "content"), path, atom=True)
+    read = feed_source.read_feed_entries(t.spark, path)
+    return read.select("feed_id", F.trim("title").alias("title"), "link", "published", "updated", F.trim("description").alias("description"), F.trim("content_value").alias("content"))
 
 
 @query("stream_feed_entries", "SELECT feed_id, link, published FROM feed_entries")

@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from storyloom.functions.text import let
 
 _ISO = r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?(?:Z|[+-]\d{2}:\d{2})?)?$"
+#: Forms that become the one above: digits beyond microseconds go, an offset gets its colon.
+_LONG_FRACTION = r"(\.\d{6})\d+"
+_BARE_OFFSET = r"^(\d{4}-.*[+-]\d{2})(\d{2})$"
 _ISO_ZONED = r"(?:Z|[+-]\d{2}:\d{2})$"
 _ISO_DATE_ONLY = r"^\d{4}-\d{2}-\d{2}$"
-_MAIL_FORMATS = ("d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss z", "d MMM yyyy HH:mm Z", "d MMM yyyy HH:mm z")
+_MAIL_FORMATS = ("d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss z", "d MMM yyyy HH:mm Z", "d MMM yyyy HH:mm z", "d MMM yy HH:mm:ss Z", "d MMM yy HH:mm:ss z")
 
 
 def _iso(c: Column) -> Column:
@@ -31,7 +34,8 @@ def normalize_timestamp(c: Column) -> Column:
 
     def read(raw: Column) -> Column:
         mail = F.regexp_replace(raw, r"^[A-Za-z]{3},\s*", "")
-        return F.coalesce(_iso(raw), *[F.try_to_timestamp(mail, F.lit(f)) for f in _MAIL_FORMATS])
+        even = F.regexp_replace(F.regexp_replace(raw, _LONG_FRACTION, "$1"), _BARE_OFFSET, "$1:$2")
+        return F.coalesce(_iso(F.when(raw.rlike(r"^\d{4}-\d{2}-\d{2}[T ]"), even).otherwise(raw)), *[F.try_to_timestamp(mail, F.lit(f)) for f in _MAIL_FORMATS])
 
     return let(c, read)
 

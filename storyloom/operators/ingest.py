@@ -139,8 +139,17 @@ def record_scrape_failures(failures: DataFrame, bad: DataFrame, now) -> DataFram
     )
 
 
-def join_entries_to_scrapes(entries: DataFrame, scrapes: DataFrame, feeds: DataFrame) -> DataFrame:
+def name_feeds(feeds: DataFrame, titles: DataFrame | None) -> DataFrame:
+    """Feeds without a name take the title of their documents, where ``titles`` (feed_id, feed_title) has one."""
+    if titles is None:
+        return feeds
+    named = feeds.join(titles.select(F.col("feed_id").alias("id"), "feed_title"), "id", "left")
+    return named.withColumn("name", F.coalesce(text.non_empty(F.col("name")), F.col("feed_title"))).select(*feeds.columns)
+
+
+def join_entries_to_scrapes(entries: DataFrame, scrapes: DataFrame, feeds: DataFrame, titles: DataFrame | None = None) -> DataFrame:
     """Scraped documents with their entry; the feed's title and name win."""
+    feeds = name_feeds(feeds, titles)
     names = feeds.select(F.col("id").alias("feed_id"), F.col("name").alias("feed_name"), F.col("url").alias("feed_url"))
     publisher = F.coalesce(text.non_empty(F.col("feed_name")), text.host_name(F.col("feed_url")))
     return (
@@ -206,9 +215,10 @@ def gate_entries(entries: DataFrame, articles: DataFrame, failures: DataFrame, n
 
 def ingest_articles(
     feeds: DataFrame, entries: DataFrame, scrapes: DataFrame, articles: DataFrame, failures: DataFrame, now,
-    cap: int = DEFAULTS.max_entries_per_feed, min_words: int = DEFAULTS.min_words,
+    cap: int = DEFAULTS.max_entries_per_feed, min_words: int = DEFAULTS.min_words, titles: DataFrame | None = None,
 ) -> Ingest:
-    """The whole chain; ``articles`` of the result are the new rows only."""
+    """The whole chain; ``articles`` of the result are the new rows only.  ``titles`` names unnamed feeds."""
+    feeds = name_feeds(feeds, titles)
     gated = gate_entries(entries, articles, failures, now, cap)
     candidates = gated.withColumn("raw_description", pick_description(gated))
     documents = scrape_error_gate(unique_scrapes(scrapes)).select(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -10,52 +10,97 @@ from storyloom.functions.text import host_name
 from storyloom.operators.rollups import now_col
 from storyloom.settings import DEFAULTS
 
-#: What is read from an ``<item>``; anything else in it is ignored.
+_TEXT = T.StringType()
+
+
+def _fields(**kinds: T.DataType) -> list[T.StructField]:
+    return [T.StructField(name, kind) for name, kind in kinds.items()]
+
+
+#: What is read from an RSS or RDF ``<item>``; anything else in it is ignored.
 ITEM = T.StructType([
-    T.StructField("title", T.StringType()),
-    T.StructField("link", T.StringType()),
-    T.StructField("pubDate", T.StringType()),
-    T.StructField("published", T.StringType()),
-    T.StructField("updated", T.StringType()),
-    T.StructField("description", T.StringType()),
-    T.StructField("summary", T.StringType()),
+    *_fields(title=_TEXT, link=_TEXT, pubDate=_TEXT, published=_TEXT, updated=_TEXT, description=_TEXT, summary=_TEXT, created=_TEXT),
+    T.StructField("content:encoded", _TEXT), T.StructField("dc:date", _TEXT),
 ])
+#: What is read from an Atom ``<entry>``; an address is an attribute there, and there may be several.
+ENTRY = T.StructType(_fields(
+    title=_TEXT, link=T.ArrayType(T.StructType(_fields(_href=_TEXT, _rel=_TEXT, _VALUE=_TEXT))), published=_TEXT, updated=_TEXT,
+    created=_TEXT, issued=_TEXT, summary=_TEXT, content=_TEXT,
+))
+#: Landing layout: one folder ``feed_id=<id>`` per feed, so the feed is a partition column.
+_FEED = T.StructField("feed_id", T.LongType())
 
 
-#: Landing layout: one folder ``feed_id=<id>`` per feed, so the feed is a partition column.
-LANDED = T.StructType([*ITEM.fields, T.StructField("feed_id", T.LongType())])
+def _item_columns() -> list:
+    dated = F.coalesce("published", "pubDate", "`dc:date`", "created")
+    return ["title", "link", dated.alias("published"), "updated", "summary", "description", F.col("content:encoded").alias("content_value")]
 
 
-def _as_entries(items: DataFrame, pos) -> DataFrame:
-    absent = F.lit(None).cast("string")
-    return items.select(
-        "feed_id", pos.alias("pos"), "title", "link", F.coalesce("published", "pubDate").alias("published"), "updated",
-        absent.alias("summary_detail"), "summary", "description", absent.alias("content_value"),
-    )
+def _entry_columns() -> list:
+    """The address is that of the link to the page itself, else the first link's."""
+    own = F.try_element_at(F.filter("link", lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate"), F.lit(1))
+    link = F.coalesce(own, F.try_element_at("link", F.lit(1)))
+    dated = F.coalesce("published", "issued", "created")
+    return ["title", F.coalesce(link["_href"], link["_VALUE"]).alias("link"), dated.alias("published"), "updated", "summary", F.lit(None).cast("string").alias("description"), F.col("content").alias("content_value")]
 
 
-def read_feed_entries(spark: SparkSession, path: str, row_tag: str = "item") -> DataFrame:
-    """Entries of landed feed documents, in document order.
+_SHAPES = (("item", ITEM, _item_columns), ("entry", ENTRY, _entry_columns))
 
-    Running ids rise within a task, and a feed document is far smaller than
-    one input split, so they keep the order of its items.
-    """
-    items = spark.read.format("xml").option("rowTag", row_tag).schema(LANDED).load(path)
-    return _as_entries(items, F.monotonically_increasing_id())
 
+def _as_entries(rows: DataFrame) -> DataFrame:
+    """``summary_detail`` is the entry's summary whichever element it came in."""
+    detail = F.coalesce(F.nullif("summary", F.lit("")), F.nullif("description", F.lit("")))
+    return rows.select("feed_id", "pos", "title", "link", "published", "updated", detail.alias("summary_detail"), "summary", "description", "content_value")
 
-def stream_feed_entries(spark: SparkSession, path: str, row_tag: str = "item") -> DataFrame:
-    """The same as a stream over the landing folder; the order of a feed is that of arrival."""
-    items = spark.readStream.format("xml").option("rowTag", row_tag).schema(LANDED).load(path)
-    return _as_entries(items.select("*", "_metadata.file_modification_time"), F.unix_micros("file_modification_time"))
 
+def read_feed_entries(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of landed RSS, RDF and Atom documents.
 
-def land_feed_documents(entries: DataFrame, path: str, row_tag: str = "item") -> None:
-    """Write entries as feed documents in the landing layout."""
-    columns = [f.name for f in ITEM.fields if f.name in entries.columns]
+    ``pos`` counts a feed's entries by the documents' time, then path, then
+    place in the document; it depends on the landed files alone.  A document is
+    far smaller than one input split, so running ids keep the order of its items.
+    """
+    found = None
+    for tag, shape, columns in _SHAPES:
+        items = spark.read.format("xml").option("rowTag", tag).schema(T.StructType([*shape.fields, _FEED])).load(path)
+        rows = items.select(
+            "feed_id", *columns(), F.monotonically_increasing_id().alias("_id"),
+            F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_modification_time").alias("_time"),
+        )
+        found = rows if found is None else found.unionByName(rows)
+    files = found.groupBy("feed_id", "_file").agg(F.min("_time").alias("_time"), F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    earlier = F.sum("_n").over(Window.partitionBy("feed_id").orderBy("_time", "_file")) - F.col("_n")
+    starts = files.select("_file", "_first", earlier.alias("_earlier"))
+    return _as_entries(found.join(starts, "_file").withColumn("pos", F.col("_earlier") + F.col("_id") - F.col("_first")))
+
+
+def read_feed_titles(spark: SparkSession, path: str) -> DataFrame:
+    """(feed_id, feed_title): what the newest document of each feed calls the feed."""
+    shape = T.StructType([T.StructField("title", _TEXT), _FEED])
+    heads = [spark.read.format("xml").option("rowTag", tag).schema(shape).load(path).select("feed_id", "title", F.col("_metadata.file_modification_time").alias("at")) for tag in ("channel", "feed")]
+    named = heads[0].unionByName(heads[1]).filter(F.coalesce(F.trim("title"), F.lit("")) != "")
+    return named.groupBy("feed_id").agg(F.max_by(F.trim("title"), F.struct("at", "title")).alias("feed_title"))
+
+
+def stream_feed_entries(spark: SparkSession, path: str) -> DataFrame:
+    """The same as a stream over the landing folder; the order of a feed is that of its documents' arrival."""
+    found = None
+    for tag, shape, columns in _SHAPES:
+        items = spark.readStream.format("xml").option("rowTag", tag).schema(T.StructType([*shape.fields, _FEED])).load(path)
+        rows = items.select("feed_id", *columns(), F.unix_micros("_metadata.file_modification_time").alias("pos"))
+        found = rows if found is None else found.unionByName(rows)
+    return _as_entries(found)
+
+
+def land_feed_documents(entries: DataFrame, path: str, atom: bool = False) -> None:
+    """Write entries as RSS or Atom documents in the landing layout, beside what lies there."""
+    tag, root, fields = ("entry", "feed", ENTRY.names) if atom else ("item", "channel", ITEM.names)
+    columns = [F.col(f"`{name}`") for name in fields if name in entries.columns and not (atom and name == "link")]
+    if atom:
+        columns.append(F.array(F.struct(F.lit("self").alias("_rel"), F.lit("http://self").alias("_href")), F.struct(F.lit("alternate").alias("_rel"), F.col("link").alias("_href"))).alias("link"))
     (
-        entries.select("feed_id", *columns).write.mode("overwrite").partitionBy("feed_id")
-        .format("xml").option("rowTag", row_tag).option("rootTag", "channel").save(path)
+        entries.select("feed_id", *columns).write.mode("append").partitionBy("feed_id")
+        .format("xml").option("rowTag", tag).option("rootTag", root).save(path)
     )
 
 

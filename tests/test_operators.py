@@ -280,6 +280,31 @@ def test_two_scrapes_of_one_address_are_one_document(spark):
     assert sorted((r.url, r.text) for r in ingest.unique_scrapes(scrapes).collect()) == [("u", "long text here"), ("v", None)]
 
 
+RSS = """<?xml version="1.0"?><rss><channel><title> Daily News </title><item><title>One</title><link>http://a/1</link><pubDate>Mon, 01 Jan 2024 10:00:00 +0000</pubDate><description>&lt;p&gt;d1&lt;/p&gt;</description></item>
+<item><title>Two</title><link>http://a/2</link><dc:date>2024-01-01T11:00:00.1234567+0100</dc:date><content:encoded><![CDATA[<p>c2</p>]]></content:encoded></item></channel></rss>"""
+ATOM = """<?xml version="1.0"?><feed><title>Atom Feed</title><entry><title type="html">Three</title><link rel="self" href="http://b/self"/><link rel="alternate" href="http://b/3"/><published>2024-01-02T00:00:00Z</published><summary type="html">s3</summary></entry>
+<entry><title>Four</title><link href="http://b/4"/><updated>2024-01-03T00:00:00Z</updated><content type="html">c4</content></entry></feed>"""
+
+
+def test_feeds_as_they_come(spark, tmp_path):
+    from storyloom.sources import feeds
+
+    for number, document in ((1, RSS), (2, ATOM)):
+        (tmp_path / f"feed_id={number}").mkdir()
+        (tmp_path / f"feed_id={number}" / "a.xml").write_text(document)
+    rows = feeds.read_feed_entries(spark, str(tmp_path)).orderBy("feed_id", "pos").collect()
+    assert [(r.feed_id, r.pos, r.title, r.link, r.summary_detail, r.content_value) for r in rows] == [
+        (1, 0, "One", "http://a/1", "<p>d1</p>", None), (1, 1, "Two", "http://a/2", None, "<p>c2</p>"),
+        (2, 0, "Three", "http://b/3", "s3", None), (2, 1, "Four", "http://b/4", None, "c4"),
+    ]
+    dated = feeds.read_feed_entries(spark, str(tmp_path)).select("title", ingest.entry_date(feeds.read_feed_entries(spark, str(tmp_path))).cast("string").alias("at"))
+    assert {r.title: r["at"] for r in dated.collect()} == {"One": "2024-01-01 10:00:00", "Two": "2024-01-01 10:00:00.123456", "Three": "2024-01-02 00:00:00", "Four": "2024-01-03 00:00:00"}
+    titles = feeds.read_feed_titles(spark, str(tmp_path))
+    assert {r.feed_id: r.feed_title for r in titles.collect()} == {1: "Daily News", 2: "Atom Feed"}
+    named = ingest.name_feeds(spark.createDataFrame([(1, "http://a", None), (2, "http://b", "Own"), (3, "http://c", "")], "id long, url string, name string"), titles)
+    assert {r.id: r.name for r in named.collect()} == {1: "Daily News", 2: "Own", 3: None}
+
+
 def test_no_batch_stops_a_purge(spark):
     old = dt.datetime(2023, 1, 1)
     stories = spark.createDataFrame([(i, "active" if i < 250 else "archived", old, old, dt.datetime(2030, 1, 1)) for i in range(500)], "id long, status string, created_at timestamp, archived_at timestamp, expires_at timestamp")
