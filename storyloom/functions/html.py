@@ -36,6 +36,8 @@ ALLOWED_PROTOCOLS = ["http", "https", "mailto", "ftp"]
 VOID_TAGS = ["br", "img"]
 HIDDEN_TAGS = {"script", "style", "template", "noscript"}
 CHROME_TAGS = {"nav", "footer", "header", "aside", "form"}
+CONTAINER_TAGS = {"div", "section", "main", "td", "article"}
+EMPTY_TAGS = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 BLOCK_TAGS = {"p", "div", "article", "section", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "br", "tr", "table", "blockquote", "pre"}
 
 _SCHEME = re.compile(r"^\s*([a-zA-Z][a-zA-Z0-9+.-]*)\s*:")
@@ -120,33 +122,57 @@ class _Sanitizer(_Walker):
 
 
 class _MainContent(_Walker):
-    """Title, the text of the article block, and all visible text as fallback."""
+    """Title, the text of the article block, and what may stand in for it.
 
-    skipped = HIDDEN_TAGS | CHROME_TAGS
+    A closing tag also ends what was left open inside its element, and an article ends open chrome, so an
+    unclosed menu or form hides no more than its own element.  Without an article block, the
+    block with the most paragraph text is taken, and without paragraphs all visible text.
+    """
 
-    def __init__(self) -> None:
+    def __init__(self, skipped: set[str] = HIDDEN_TAGS | CHROME_TAGS) -> None:
         super().__init__()
+        self.skipped = skipped
         self.title: list[str] = []
         self.article: list[str] = []
         self.in_title = False
-        self.in_article = 0
+        self.open: list[str] = []
+        #: Text pieces and length of paragraph text by block, the innermost open block last in ``inside``.
+        self.blocks: list[tuple[list[str], list[int]]] = [([], [])]
+        self.inside = [0]
+
+    def _close_from(self, at: int) -> None:
+        for tag in self.open[at:]:
+            if tag in CONTAINER_TAGS:
+                self.inside.pop()
+        del self.open[at:]
+        self.depth = sum(tag in self.skipped for tag in self.open)
 
     def handle_starttag(self, tag, attrs):
-        super().handle_starttag(tag, attrs)
         self.in_title = tag == "title" or (self.in_title and tag not in BLOCK_TAGS)
-        if tag == "article":
-            self.in_article += 1
+        if tag in ("article", "main"):
+            chrome = [n for n, t in enumerate(self.open) if t in CHROME_TAGS]
+            if chrome:
+                self._close_from(chrome[0])
+        if tag == "p" and "p" in self.open:
+            self._close_from(len(self.open) - 1 - self.open[::-1].index("p"))
+        if tag not in EMPTY_TAGS:
+            self.open.append(tag)
+            self.depth += tag in self.skipped
+        if tag in CONTAINER_TAGS:
+            self.blocks.append(([], []))
+            self.inside.append(len(self.blocks) - 1)
         if tag in BLOCK_TAGS:
             self._add("\n")
 
     def handle_endtag(self, tag):
-        super().handle_endtag(tag)
         if tag == "title":
             self.in_title = False
-        if tag == "article" and self.in_article:
-            self.in_article -= 1
-        if tag in BLOCK_TAGS:
+        if tag in BLOCK_TAGS and not self.depth:
             self._add("\n")
+        if tag in self.open:
+            self._close_from(len(self.open) - 1 - self.open[::-1].index(tag))
+            if tag in BLOCK_TAGS:
+                self._add("\n")
 
     def handle_data(self, data):
         if self.in_title:
@@ -157,12 +183,17 @@ class _MainContent(_Walker):
     def _add(self, text: str) -> None:
         if not self.depth:
             self.pieces.append(text)
-            if self.in_article:
+            block, lengths = self.blocks[self.inside[-1]]
+            block.append(text)
+            if "p" in self.open:
+                lengths.append(len(text.strip()))
+            if "article" in self.open:
                 self.article.append(text)
 
     def extract(self, html: str) -> tuple[str | None, str]:
         self.run(html)
-        body = "".join(self.article) or "".join(self.pieces)
+        densest = max(self.blocks, key=lambda b: sum(b[1]))
+        body = "".join(self.article if "".join(self.article).strip() else densest[0] if sum(densest[1]) else self.pieces)
         body = re.sub(r"\s*\n\s*", "\n", body).strip()
         title = " ".join("".join(self.title).split())
         return title or None, re.sub(r"[ \t]{2,}", " ", body)
@@ -177,7 +208,8 @@ def sanitized(html: str) -> str:
 
 
 def main_content_of(html: str) -> tuple[str | None, str]:
-    return _MainContent().extract(html)
+    title, body = _MainContent().extract(html)
+    return (title, body) if body else _MainContent(HIDDEN_TAGS).extract(html)
 
 
 @F.pandas_udf(T.StringType())

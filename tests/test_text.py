@@ -168,3 +168,15 @@ def test_main_content():
     page = "<html><head><title> A  page </title><script>no()</script></head><body><nav>menu</nav><article><h1>Head</h1><p>One   two</p><p>Three</p></article><footer>end</footer></body></html>"
     assert main_content_of(page) == ("A page", "Head\nOne two\nThree")
     assert main_content_of("<p>only <b>this</b></p>") == (None, "only this")
+
+
+def test_main_content_of_broken_and_plain_pages():
+    from storyloom.functions.html import main_content_of
+
+    assert main_content_of("<html><title>T</title><body><form><p>Real story.</p></body></html>") == ("T", "Real story.")
+    assert main_content_of("<body><div><nav><a>Home</a></div><article><p>Real</p><p>story.</p></article></body>")[1] == "Real\nstory."
+    assert main_content_of("<nav>menu<article><p>Real</p></article>")[1] == "Real"
+    menu = "<div><a>Home</a><a>Login</a></div><div class='x'><p>Real story text.</p><p>More of it.</p></div><div><p>ad</p></div>"
+    assert main_content_of(menu)[1] == "Real story text.\nMore of it."
+    assert main_content_of("just text")[1] == "just text"
+    assert main_content_of("")[1] == ""
