@@ -289,20 +289,29 @@ def _(t):
 _ANSWERS = "answers AS (SELECT s.id AS event_id, '{\"progressive_summary\":\"fresh ' || CAST(s.id AS VARCHAR) || '\"}' AS summary_json FROM stories s WHERE s.status = 'active')"
 
 
-def _saved(t, regenerated=False):
-    answers = t.stories.filter(F.col("status") == "active").select(
+def _fresh_answers(t):
+    return t.stories.filter(F.col("status") == "active").select(
         F.col("id").alias("event_id"), F.concat(F.lit('{"progressive_summary":"fresh '), F.col("id").cast("string"), F.lit('"}')).alias("summary_json")
     )
-    return payloads.save_summary(t.event_summaries, t.stories, t.articles, answers, NOW, regenerated)
 
 
-@query("save_summary_summaries", f"""WITH {_ANSWERS} SELECT id, event_id, summary_json, article_count FROM event_summaries
-UNION ALL SELECT {_new_ids('event_summaries', 'n.event_id')}, n.event_id, n.summary_json, (SELECT count(*) FROM articles a WHERE a.event_id = n.event_id) FROM answers n""")
+def _saved(t, regenerated=False):
+    return payloads.save_summary(t.event_summaries, t.stories, t.articles, _fresh_answers(t), NOW, regenerated, model="m1")
+
+
+@query("save_summary_summaries", f"""WITH {_ANSWERS} SELECT id, event_id, summary_json, article_count, NULL AS model_used FROM event_summaries
+UNION ALL SELECT {_new_ids('event_summaries', 'n.event_id')}, n.event_id, n.summary_json, (SELECT count(DISTINCT a.url) FROM articles a WHERE a.event_id = n.event_id), 'm1' FROM answers n""")
+def _(t):
+    return _saved(t)[0].select("id", "event_id", "summary_json", "article_count", "model_used")
+
+
+@query("summary_lineage", f"""WITH {_ANSWERS}, fresh AS (SELECT {_new_ids('event_summaries', 'n.event_id')} AS summary_id, n.event_id FROM answers n)
+SELECT f.summary_id, f.event_id, a.id AS article_id FROM fresh f JOIN (SELECT * FROM articles WHERE event_id IS NOT NULL {_PER_URL}) a ON a.event_id = f.event_id""")
 def _(t):
-    return _saved(t)[0].select("id", "event_id", "summary_json", "article_count")
+    return payloads.summary_lineage(_saved(t)[0], _fresh_answers(t), payloads.summarised_articles(t.articles))
 
 
-@query("save_summary_stories", f"""WITH {_ANSWERS} SELECT s.id, CASE WHEN n.event_id IS NOT NULL THEN {{NOW}} END AS last_summary_at, CASE WHEN n.event_id IS NOT NULL THEN (SELECT count(*) FROM articles a WHERE a.event_id = s.id) END AS summary_article_count,
+@query("save_summary_stories", f"""WITH {_ANSWERS} SELECT s.id, CASE WHEN n.event_id IS NOT NULL THEN {{NOW}} END AS last_summary_at, CASE WHEN n.event_id IS NOT NULL THEN (SELECT count(DISTINCT a.url) FROM articles a WHERE a.event_id = s.id) END AS summary_article_count,
  CASE WHEN n.event_id IS NOT NULL THEN 1 END AS summary_version FROM stories s LEFT JOIN answers n ON n.event_id = s.id""")
 def _(t):
     return _saved(t)[1].select("id", "last_summary_at", "summary_article_count", "summary_version")

@@ -227,7 +227,8 @@ def _(t):
 @query("story_details", """
 WITH newest AS (SELECT event_id, id, generated_at FROM event_summaries QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY generated_at DESC, id DESC) = 1)
 SELECT s.id AS event_id, s.name, CASE WHEN s.status = 'active' AND s.expires_at < {NOW} THEN 'archived' ELSE s.status END AS status, s.last_article_at,
- n.id AS summary_id, n.generated_at AS summary_at, a.id AS article_id, a.title, a.published_date, a.word_count,
+ CAST(NULL AS VARCHAR) AS description, CAST(NULL AS INTEGER) AS summary_version,
+ n.id AS summary_id, n.generated_at AS summary_at, a.id AS article_id, a.title, a.url, a.publisher_name, round(a.importance_score, 6) AS importance_score, a.published_date, a.word_count,
  CASE WHEN a.id IS NOT NULL THEN r.article_id IS NOT NULL END AS is_read
 FROM stories s LEFT JOIN newest n ON n.event_id = s.id LEFT JOIN articles a ON a.event_id = s.id
 LEFT JOIN article_reads r ON r.article_id = a.id AND r.visitor_id = {VISITOR}""")
@@ -235,6 +236,13 @@ def _(t):
     return reads.story_details(t.stories, t.articles, t.article_reads, t.event_summaries, VISITOR, NOW)
 
 
+@query("story_summaries", """
+SELECT event_id, id AS summary_id, generated_at, article_count, summary_json FROM event_summaries WHERE event_id IN (SELECT id FROM stories)
+QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY generated_at DESC, id DESC) = 1""")
+def _(t):
+    return reads.story_summaries(t.stories, t.event_summaries)
+
+
 @query("search_articles", """
 SELECT h.id, h.title, h.published_date, h.event_id, s.name AS event_name, r.article_id IS NOT NULL AS is_read FROM
  (SELECT * FROM articles WHERE title ILIKE '%the%' OR rss_description ILIKE '%the%' ORDER BY published_date DESC NULLS LAST, id DESC LIMIT 20) h

@@ -169,16 +169,27 @@ def source_observations(summaries: DataFrame) -> DataFrame:
 UPDATE_PREFIX = "(Updates based on new articles) "
 
 
-def save_summary(summaries: DataFrame, stories: DataFrame, articles: DataFrame, answers: DataFrame, now, regenerated: bool = False) -> tuple[DataFrame, DataFrame]:
+def summarised_articles(articles: DataFrame) -> DataFrame:
+    """(event_id, article_id) of the articles a full summary is made of: the newest of each address."""
+    return _first_per_url(grouped(articles).select("event_id", "url", "published_date", "id")).select("event_id", F.col("id").alias("article_id"))
+
+
+def save_summary(
+    summaries: DataFrame, stories: DataFrame, articles: DataFrame, answers: DataFrame, now, regenerated: bool = False,
+    used: DataFrame | None = None, model: str | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """Append parsed answers (event_id, summary_json) and stamp their stories: (summaries, stories).
 
     A regenerated summary marks its progressive text as an update where a
-    prior summary existed.
+    prior summary existed.  ``used`` (event_id, article_id) are the articles
+    the answers were made of, those of the full payload unless given; their
+    number is the summary's, and ``summary_lineage`` lists them.
     """
     from storyloom.operators.ids import with_new_ids
     from storyloom.operators.updates import change_rows
 
-    counts = grouped(articles).groupBy("event_id").agg(F.count("*").cast("int").alias("article_count"))
+    used = summarised_articles(articles) if used is None else used
+    counts = used.groupBy("event_id").agg(F.count("*").cast("int").alias("article_count"))
     rows = answers.join(counts, "event_id", "left").withColumn("article_count", F.coalesce("article_count", F.lit(0)))
     if regenerated:
         prior = summaries.filter(F.col("summary_json").isNotNull()).select("event_id", F.lit(True).alias("_prior")).distinct()
@@ -186,7 +197,7 @@ def save_summary(summaries: DataFrame, stories: DataFrame, articles: DataFrame,
         marked = parsed.withField("progressive_summary", F.concat(F.lit(UPDATE_PREFIX), parsed["progressive_summary"]))
         text = F.when(F.col("_prior") & parsed["progressive_summary"].isNotNull(), F.to_json(marked)).otherwise(F.col("summary_json"))
         rows = rows.join(prior, "event_id", "left").withColumn("summary_json", text).drop("_prior")
-    fresh = with_new_ids(rows, "event_id", summaries).select("id", "event_id", "summary_json", now_col(now).alias("generated_at"), "article_count")
+    fresh = with_new_ids(rows, "event_id", summaries).select("id", "event_id", "summary_json", now_col(now).alias("generated_at"), "article_count", F.lit(model).cast("string").alias("model_used"))
     old = stories.select("id", F.col("summary_version") if "summary_version" in stories.columns else F.lit(None).cast("int").alias("summary_version"))
     changes = old.join(rows.select(F.col("event_id").alias("id"), "article_count"), "id").select(
         "id", now_col(now).alias("last_summary_at"), F.col("article_count").alias("summary_article_count"),
@@ -195,6 +206,15 @@ def save_summary(summaries: DataFrame, stories: DataFrame, articles: DataFrame,
     return summaries.unionByName(fresh, allowMissingColumns=True), change_rows(stories, changes)
 
 
+def summary_lineage(saved: DataFrame, answers: DataFrame, used: DataFrame) -> DataFrame:
+    """(summary_id, event_id, article_id) of the summaries just saved.
+
+    The articles of a summary are rows: a story may hold more than fit one record.
+    """
+    newest = saved.join(answers.select("event_id").distinct(), "event_id", "left_semi").groupBy("event_id").agg(F.max("id").alias("summary_id"))
+    return used.join(newest, "event_id").select("summary_id", "event_id", "article_id")
+
+
 # --- reading answers ---------------------------------------------------------
 
 

@@ -79,11 +79,13 @@ def story_details(
     if ids is not None:
         stories = stories.join(ids.select("id"), "id", "left_semi")
     newest = rank.latest_summary(summaries.select("event_id", "generated_at", "id"))
-    head = stories.select(F.col("id").alias("event_id"), "name", "status", "last_article_at").join(
+    optional = {"description": "string", "summary_version": "int"}
+    more = [F.col(c) if c in stories.columns else F.lit(None).cast(kind).alias(c) for c, kind in optional.items()]
+    head = stories.select(F.col("id").alias("event_id"), "name", "status", "last_article_at", *more).join(
         newest.select("event_id", F.col("id").alias("summary_id"), F.col("generated_at").alias("summary_at")), "event_id", "left"
     )
     items = with_is_read(
-        grouped(articles).select("event_id", "id", "title", "published_date", "word_count"), reads, visitor
+        grouped(articles).select("event_id", "id", "title", "url", "publisher_name", "importance_score", "published_date", "word_count"), reads, visitor
     ).withColumnRenamed("id", "article_id")
     # An inner join can split a hot story on the article side; the rest are stories with no articles.
     filled = head.join(items, "event_id")
@@ -93,6 +95,13 @@ def story_details(
     )
 
 
+def story_summaries(stories: DataFrame, summaries: DataFrame) -> DataFrame:
+    """The newest summary of every story with its text, once a story; the page's rows name it by id."""
+    newest = rank.latest_summary(summaries.select("event_id", "generated_at", "id")).select("id")
+    texts = summaries.join(newest, "id", "left_semi").select("event_id", F.col("id").alias("summary_id"), "generated_at", "article_count", "summary_json")
+    return texts.join(stories.select(F.col("id").alias("event_id")), "event_id", "left_semi")
+
+
 def search_articles(articles: DataFrame, stories: DataFrame, reads: DataFrame, keyword: str, visitor, limit: int = 20) -> DataFrame:
     """Case-insensitive search in title and description; ``%`` and ``_`` are wildcards.
 
