@@ -62,8 +62,8 @@ class Vocabulary:
         for token, number in [*ids.items(), *self.special.items()]:
             self.tokens[number] = token.encode()
         signs = _byte_signs()
-        self.inner = np.array([ids[s] for s in signs], np.int64)
-        self.last = np.array([ids[s + end] for s in signs], np.int64)
+        self.inner = np.array([ids[s] for s in signs], np.int32)
+        self.last = np.array([ids[s + end] for s in signs], np.int32)
         merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         made = np.array([ids[a + b] for a, b in merges], np.int64)
         rank_made = dict(zip(made.tolist(), range(len(merges)), strict=True))
@@ -77,7 +77,7 @@ class Vocabulary:
 
     def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair, -1 where no merge takes it."""
-        key = left * self.size + right
+        key = left.astype(np.int64) * self.size + right
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.ranks[at], -1)
 
@@ -102,12 +102,12 @@ class PairIndex:
         self.vocab = vocab
         raw = np.frombuffer(b"".join(words), np.uint8)
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
-        self.symbol = vocab.inner[raw]
+        self.symbol = vocab.inner[raw]  # 32 bits each, as are the links
         self.symbol[ends - 1] = vocab.last[raw[ends - 1]]
         n = len(raw)
-        self.next = np.arange(1, n + 1)
+        self.next = np.arange(1, n + 1, dtype=np.int32)
         self.next[ends - 1] = -1
-        self.before = np.arange(-1, n - 1)
+        self.before = np.arange(-1, n - 1, dtype=np.int32)
         self.before[0] = -1
         self.before[ends[:-1]] = -1
         self.ends = ends
@@ -171,7 +171,7 @@ class PairIndex:
 class Encoder:
     """Encodes runs of texts; words stay known from one run to the next, up to ``cache_words``."""
 
-    def __init__(self, vocab: Vocabulary, cache_words: int = 1_000_000) -> None:
+    def __init__(self, vocab: Vocabulary, cache_words: int = 400_000) -> None:
         self.vocab, self.cache_words = vocab, cache_words
         self.forget()
 
@@ -208,7 +208,7 @@ class Encoder:
                 words.append(number[(piece,)])
             else:
                 words += [number.setdefault(w, len(number)) for w in split_words(piece)]
-        return np.array(words, np.int64)
+        return np.array(words, np.int32)
 
 
 def decode(ids: np.ndarray, vocab: Vocabulary) -> bytes:
@@ -244,7 +244,7 @@ def _mapped(docs: DataFrame, keep: list[str], path: str, columns: dict[str, T.Da
     return mapped_texts(docs, keep, columns, start)
 
 
-def encode(docs: DataFrame, keep: list[str], path: str, chunk_chars: int = 8_000_000, cache_words: int = 1_000_000) -> DataFrame:
+def encode(docs: DataFrame, keep: list[str], path: str, chunk_chars: int = 3_000_000, cache_words: int = 400_000) -> DataFrame:
     """``keep`` columns and ``ids``, the tokens of each text."""
     columns = {"ids": T.ArrayType(T.IntegerType())}
     return _mapped(docs, keep, path, columns, lambda ids, vocab: (ids.astype(np.int32),), chunk_chars, cache_words)
@@ -261,7 +261,7 @@ def decoded(tokens: DataFrame, path: str) -> DataFrame:
     return tokens.withColumn("decoded", to_text("ids"))
 
 
-def digests(docs: DataFrame, path: str, chunk_chars: int = 8_000_000, cache_words: int = 1_000_000) -> DataFrame:
+def digests(docs: DataFrame, path: str, chunk_chars: int = 3_000_000, cache_words: int = 400_000) -> DataFrame:
     """``doc_id``, the number of tokens, and SHA-256 of the ids and of the text decoded from them."""
     columns = {"n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()}
 
