@@ -66,11 +66,13 @@ class Rows:
     """Feature keys of many texts, cut to the keys ``kept``."""
 
     def __init__(self, keys: list[np.ndarray], kept: np.ndarray) -> None:
-        flat = np.concatenate([*keys, np.zeros(0, np.uint32)])
-        row = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-        at = np.minimum(np.searchsorted(kept, flat), max(len(kept) - 1, 0))
-        here = kept[at] == flat if len(kept) else np.zeros(len(flat), bool)
-        self.kept, self.n, self.row, self.at = kept, len(keys), row[here], at[here]
+        self.kept, self.n = kept, len(keys)
+        places = []
+        for own in keys:
+            at = np.minimum(np.searchsorted(kept, own), max(len(kept) - 1, 0))
+            places.append(at[kept[at] == own] if len(kept) else at[:0])
+        self.at = np.concatenate([*places, np.zeros(0, np.int64)])
+        self.row = np.repeat(np.arange(self.n), [len(x) for x in places])
 
     def scores(self, weights: np.ndarray, bias: float) -> np.ndarray:
         return np.bincount(self.row, weights[self.at], self.n) + bias

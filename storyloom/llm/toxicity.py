@@ -64,7 +64,7 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     return Weights(rows.kept, weights[:, None], np.array([bias]))
 
 
-def learn(docs: DataFrame, labels: DataFrame, allowed: Column, max_positive: int = 6_000, max_unlabelled: int = 12_000, prior: float | None = None, fit: Fit = Fit()) -> tuple[Weights, float]:
+def learn(docs: DataFrame, labels: DataFrame, allowed: Column, max_positive: int = 4_000, max_unlabelled: int = 8_000, prior: float | None = None, fit: Fit = Fit()) -> tuple[Weights, float]:
     """A classifier from the rows for which ``allowed`` (over doc_id) holds, and the class prior."""
     known = labels.where(allowed & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("label"))
     if prior is None:
