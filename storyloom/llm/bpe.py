@@ -250,6 +250,12 @@ def encode(docs: DataFrame, keep: list[str], path: str, chunk_chars: int = 3_000
     return _mapped(docs, keep, path, columns, lambda ids, vocab: (ids.astype(np.int32),), chunk_chars, cache_words)
 
 
+def packed(docs: DataFrame, keep: list[str], path: str, chunk_chars: int = 3_000_000, cache_words: int = 400_000) -> DataFrame:
+    """``keep`` columns, ``n_tokens`` and ``ids`` as training readers take them: little-endian unsigned 32-bit numbers."""
+    columns = {"n_tokens": T.LongType(), "ids": T.BinaryType()}
+    return _mapped(docs, keep, path, columns, lambda ids, vocab: (len(ids), ids.astype("<u4").tobytes()), chunk_chars, cache_words)
+
+
 def decoded(tokens: DataFrame, path: str) -> DataFrame:
     """``tokens`` with ``ids`` and, as ``decoded``, their text."""
 

@@ -184,8 +184,9 @@ def test_run_applies_the_stages(spark, small):
     clean = secret_scan.redacted(firsts)
     drawn = {r.doc_id: r.text for r in mixing.drawn(clean, small("labels")).collect()}
     encoder = bpe.Encoder(bpe.vocabulary(bpe.default_path()))
-    got = {r.doc_id: r.ids for r in corpus_pipeline.run(spark, SMALL).collect()}
-    assert got == {i: encoder.encode([t])[0].tolist() for i, t in drawn.items()}
+    got = {r.doc_id: (r.n_tokens, bytes(r.ids)) for r in corpus_pipeline.run(spark, SMALL).collect()}
+    want = {i: encoder.encode([t])[0] for i, t in drawn.items()}
+    assert got == {i: (len(ids), ids.astype("<u4").tobytes()) for i, ids in want.items()}
 
 
 def test_stages_return_documents_columns(spark, edges, edge_labels, tmp_path):
