@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from storyloom.llm import bpe, line_crf, mixing, neighbours, quality_rules, secret_scan, simhash, substrings, surrogates, toxicity
 from storyloom.llm.common import read_table
+from storyloom.llm.oracles import ORACLES
 from storyloom.session import apply_session_conf
 
 
@@ -37,7 +38,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii_surrogates": _over("documents", surrogates.op9),
     "op10_quality_classifier": _labelled(line_crf.op10),
 }
-
-ORACLES: dict[str, str] = {
-    "op2_nearest_neighbours": neighbours.ORACLE,
-}
