@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from storyloom.llm import neighbours
+from storyloom.llm import neighbours, secret_scan
 
 _WORDS = r"SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents"
 
@@ -33,4 +33,42 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   OR word_chars < 2 * n_words OR word_chars > 20 * n_words) AS kept FROM judged
 """.replace("length(regexp_extract_all", "len(regexp_extract_all")
 
-ORACLES = {"op2_nearest_neighbours": neighbours.ORACLE, "op5_substring_dedup": SUBSTRINGS, "op8_quality_rules": RULES}
+
+
+def _places(pattern: str, where: str = "true") -> str:
+    """Rows of doc_id, start, stop and hit of a pattern: what lies before a match is the gaps and matches before it."""
+    p = "'" + pattern.replace("'", "''") + "'"
+    lengths = lambda items: f"coalesce(list_sum(list_transform({items}, lambda x: length(x))), 0)"
+    return f"""SELECT doc_id, CAST(start AS BIGINT) AS start, CAST(start + length(hit) AS BIGINT) AS stop, hit FROM (
+      SELECT doc_id, {lengths('gaps[1:i]')} + {lengths('hits[1:i - 1]')} AS start, hits[i] AS hit FROM (
+        SELECT doc_id, gaps, hits, unnest(range(1, len(hits) + 1)) AS i FROM (
+          SELECT doc_id, string_split_regex(t, {p}) AS gaps, regexp_extract_all(t, {p}) AS hits FROM d) a) b) c WHERE {where}"""
+
+
+_ASSIGN = "'" + secret_scan.ASSIGN.replace("'", "''") + "'"
+_HARMLESS = " OR ".join("regexp_matches(hit, '" + p + "')" for p in secret_scan.ALLOWED)
+_W = secret_scan.WINDOW
+_IS_HEX = "regexp_full_match(hit, '[0-9A-Fa-f]+')"
+
+#: Every window's entropy is counted anew here.
+SECRETS = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+base AS (SELECT doc_id, start, stop, 0 AS rank, 'assign' AS kind FROM ({_places(secret_scan.ASSIGN, f'length(regexp_extract(hit, {_ASSIGN}, 1)) >= 6')}) x
+  UNION ALL SELECT doc_id, start, stop, 1, 'access' FROM ({_places(secret_scan.ACCESS)}) x
+  UNION ALL SELECT doc_id, start, stop, 2, 'hex' FROM ({_places(secret_scan.HEX)}) x),
+candidates AS (SELECT * FROM ({_places(secret_scan.CANDIDATE)}) x WHERE NOT ({_HARMLESS})),
+windows AS (SELECT doc_id, start, hit, k FROM (SELECT doc_id, start, hit, unnest(range(0, length(hit) - {_W - 1})) AS k FROM candidates) x
+  WHERE list_aggregate(string_split(substr(hit, k + 1, {_W}), ''), 'entropy') >= CASE WHEN {_IS_HEX} THEN {secret_scan.BITS['hex']} ELSE {secret_scan.BITS['base64']} END),
+marked AS (SELECT *, CASE WHEN k > {_W} + lag(k) OVER (PARTITION BY doc_id, start ORDER BY k) THEN 1 ELSE 0 END AS opens FROM windows),
+runs AS (SELECT doc_id, start + min(k) AS start, start + max(k) + {_W} AS stop, {_IS_HEX} AS is_hex FROM
+  (SELECT *, sum(opens) OVER (PARTITION BY doc_id, start ORDER BY k) AS run FROM marked) x GROUP BY doc_id, start, hit, run),
+added AS (SELECT doc_id, start, stop, CASE WHEN is_hex THEN 3 ELSE 4 END AS rank, CASE WHEN is_hex THEN 'entropy_hex' ELSE 'entropy_base64' END AS kind FROM runs r
+  WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = r.doc_id AND b.start < r.stop AND r.start < b.stop)),
+own AS (SELECT doc_id, count(*) FILTER (WHERE rank = 0) AS n_assign, count(*) FILTER (WHERE rank = 1) AS n_access, count(*) FILTER (WHERE rank = 2) AS n_hex,
+  string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans FROM base GROUP BY doc_id),
+every AS (SELECT doc_id, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank, stop) AS spans FROM (SELECT * FROM base UNION ALL SELECT * FROM added) x GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(own.spans, '')) AS base_sha256, coalesce(every.spans, '') AS spans
+FROM d LEFT JOIN own ON own.doc_id = d.doc_id LEFT JOIN every ON every.doc_id = d.doc_id
+"""
+
+ORACLES = {"op1_secret_scan": SECRETS, "op2_nearest_neighbours": neighbours.ORACLE, "op5_substring_dedup": SUBSTRINGS, "op8_quality_rules": RULES}
