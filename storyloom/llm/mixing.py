@@ -7,6 +7,11 @@ the least squares of the domain totals.  The residuals are weighted by the inver
 second moments over the documents above zero, so all directions converge alike; should such a step
 not help, the moments of all documents give one that never overshoots.
 
+A draw cannot take a document more than once, so its rates are kept between zero and one inside the fit.
+It starts from all documents and holds the domains' ratios to the leading one, so documents go where a
+domain has too much and none needs a rate above one.  A domain with fewer words than its share keeps
+what it has and is left out of the ratios; it is reported, as is a fit that does not meet them.
+
 A step needs the domain totals alone, one small sum over the cluster.  A rate is a fold of its
 document's posterior over the steps so far, so no iteration writes anything and a lost executor costs
 only its own rows.
@@ -19,6 +24,7 @@ document all posteriors are equal; an empty table gives an empty result; other c
 
 from __future__ import annotations
 
+import warnings
 from typing import NamedTuple
 
 import numpy as np
@@ -92,43 +98,45 @@ class Rates(NamedTuple):
     before: np.ndarray
     target: np.ndarray
     after: np.ndarray
+    most: float | None = None
 
     def column(self, posterior: str = "posterior") -> Column:
         """The rate of a document as an expression over its posterior."""
-        return rate_after(self.steps, posterior)
+        return rate_after(self.steps, posterior, self.most)
 
 
-def rate_after(steps: list[list[float]], posterior: str = "posterior") -> Column:
-    """1, moved by each step against the posterior and kept at zero or above."""
+def rate_after(steps: list[list[float]], posterior: str = "posterior", most: float | None = None) -> Column:
+    """1, moved by each step against the posterior and kept at zero or above, and at ``most`` or below if given."""
     if not steps:
         return F.lit(1.0)
     history = F.array(*[F.array(*[F.lit(float(x)) for x in step]) for step in steps])
 
     def move(rate: Column, step: Column) -> Column:
         towards = sum((F.element_at(posterior, d + 1) * F.element_at(step, d + 1) for d in range(len(steps[0]))), F.lit(0.0))
-        return F.greatest(F.lit(0.0), rate - towards)
+        moved = F.greatest(F.lit(0.0), rate - towards)
+        return moved if most is None else F.least(F.lit(float(most)), moved)
 
     return F.aggregate(history, F.lit(1.0), move)
 
 
+def totals(members: DataFrame, steps: list[list[float]], most: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Expected words of each domain at these steps, and the second moments of documents not at zero."""
+    n = len(DOMAINS)
+    p = [F.element_at("posterior", d + 1) for d in range(n)]
+    rated = members.select("n_words", "posterior", rate_after(steps, most=most).alias("rate"))
+    words, counts = F.col("n_words") * F.col("rate"), F.when(F.col("rate") > 0, F.col("n_words")).otherwise(0)
+    sums = [F.sum(words * x) for x in p] + [F.sum(counts * x * y) for x in p for y in p]
+    row = np.array([x or 0.0 for x in rated.agg(*[s.alias(f"s{k}") for k, s in enumerate(sums)]).first()], float)
+    return row[:n], row[n:].reshape(n, n)
+
+
 def fit_rates(members: DataFrame, shares: dict[str, float], total: float | None = None, headroom: float = 1.0, tolerance: float = 1e-6, max_steps: int = 60) -> Rates:
     """Steps whose rates bring the expected words of each domain to ``shares`` of ``total``.
 
     Without ``total`` it is such that the domain with the largest share keeps ``headroom`` times its
     expected words.  Stops when no domain is off by more than ``tolerance`` of the total.
     """
-    n = len(DOMAINS)
-    p = [F.element_at("posterior", d + 1) for d in range(n)]
-
-    def totals(steps: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
-        """Expected words of each domain at these steps, and the second moments of documents not at zero."""
-        rated = members.select("n_words", "posterior", rate_after(steps).alias("rate"))
-        words, counts = F.col("n_words") * F.col("rate"), F.when(F.col("rate") > 0, F.col("n_words")).otherwise(0)
-        sums = [F.sum(words * x) for x in p] + [F.sum(counts * x * y) for x in p for y in p]
-        row = np.array([x or 0.0 for x in rated.agg(*[s.alias(f"s{k}") for k, s in enumerate(sums)]).first()], float)
-        return row[:n], row[n:].reshape(n, n)
-
-    now, second = totals([])
+    now, second = totals(members, [])
     before = now
     share = np.array([shares[d] for d in DOMAINS])
     share = share / share.sum()
@@ -143,7 +151,7 @@ def fit_rates(members: DataFrame, shares: dict[str, float], total: float | None
         # The moments of the documents still above zero go further; all documents' never overshoot.
         for inverse in (np.linalg.pinv(second, rcond=1e-12), safe):
             step = (inverse @ (now - target)).tolist()
-            then, moments = totals([*steps, step])
+            then, moments = totals(members, [*steps, step])
             if miss(then) < miss(now):
                 break
         else:
@@ -152,6 +160,49 @@ def fit_rates(members: DataFrame, shares: dict[str, float], total: float | None
     return Rates(steps, before, target, now)
 
 
+def fit_draw(members: DataFrame, shares: dict[str, float], tolerance: float = 1e-4, max_steps: int = 60, least_kept: float = 0.9) -> Rates:
+    """Steps whose rates, none above one, bring the domains' expected words to their shares.
+
+    Held are the ratios to the domain with the largest share, of each domain that has, or during the fit
+    comes to have, more words than its share; ``target`` of another is what it has.  No step is taken that
+    leaves the leading domain less than ``least_kept`` of its words: where the posteriors hardly tell the
+    domains apart, the shares are missed rather than its documents dropped.  Either is warned of.
+    """
+    share = np.array([shares[d] for d in DOMAINS])
+    leading = int(share.argmax())
+    ratio = share / share[leading]
+    now, second = totals(members, [], 1.0)
+    before, all_documents = now, second
+    steps: list[list[float]] = []
+    held = np.zeros(len(DOMAINS), bool)
+    missed = False
+    while before.sum() > 0 and len(steps) < max_steps and not missed:
+        held |= now - ratio * now[leading] > tolerance * now.sum()
+        held[leading] = False
+        # Row d takes a posterior to what its document adds to the excess of domain d.
+        over = (np.eye(len(DOMAINS)) - np.outer(ratio, np.eye(len(DOMAINS))[leading]))[held]
+        if not held.any() or np.abs(over @ now).max() <= tolerance * now.sum():
+            break
+        safe = np.linalg.pinv(over @ all_documents @ over.T, rcond=1e-12)
+        for inverse in (np.linalg.pinv(over @ second @ over.T, rcond=1e-12), safe):
+            step = (over.T @ inverse @ over @ now).tolist()
+            then, moments = totals(members, [*steps, step], 1.0)
+            closer = (over @ then) @ safe @ (over @ then) < (over @ now) @ safe @ (over @ now)
+            if closer and then[leading] >= least_kept * before[leading]:
+                steps, now, second = [*steps, step], then, moments
+                break
+        else:
+            missed = True
+    target = np.where(held, ratio * now[leading], now)
+    short = [d for d, x, r in zip(DOMAINS, now, ratio, strict=True) if r * now[leading] - x > tolerance * now.sum()]
+    off = float(np.abs(now - target).max())
+    if short:
+        warnings.warn(f"mixing: too few words for the share of {', '.join(short)}; all of them stay", stacklevel=2)
+    if off > tolerance * now.sum():
+        warnings.warn(f"mixing: shares missed, words {dict(zip(DOMAINS, now.tolist(), strict=True))}, targets {dict(zip(DOMAINS, target.tolist(), strict=True))}", stacklevel=2)
+    return Rates(steps, before, target, now, 1.0)
+
+
 def mix(docs: DataFrame, labels: DataFrame, keep: list[str], shares: dict[str, float] = TARGETS, headroom: float = 1.0) -> tuple[DataFrame, Rates]:
     """``keep`` columns, ``n_words``, ``posterior`` and ``rate`` of every row, and how the fit went."""
     members = cut_lineage(posteriors(docs, keep, learn(docs, labels)))
@@ -159,15 +210,14 @@ def mix(docs: DataFrame, labels: DataFrame, keep: list[str], shares: dict[str, f
     return members.withColumn("rate", rates.column()), rates
 
 
-def drawn(docs: DataFrame, labels: DataFrame, shares: dict[str, float] = TARGETS, headroom: float = 1.1) -> DataFrame:
-    """The rows of ``docs``, all columns, each with probability of its rate, at most one.
+def drawn(docs: DataFrame, labels: DataFrame, shares: dict[str, float] = TARGETS) -> DataFrame:
+    """The rows of ``docs``, all columns, each with probability of its rate, which is at most one.
 
-    The draw is a hash of doc_id and text, the same on every run.  ``headroom`` lifts the rates of the
-    leading domain above one, so that its documents stay.
+    The draw is a hash of doc_id and text, the same on every run.
     """
     model = learn(docs, labels)
     members = cut_lineage(posteriors(docs, [], model))
-    rates = fit_rates(members, shares, headroom=headroom)
+    rates = fit_draw(members, shares)
     chance = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) / float(1 << 40)
     rated = posteriors(docs, docs.columns, model, prefix="__")
     return rated.where(rates.column("__posterior") > chance).select(*docs.columns)
