@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from storyloom.llm import mixing, quality_rules, simhash
+from storyloom.llm import mixing, near_copies, quality_rules
 from storyloom.llm.common import read_table
 
 MIDDLE = "/root/testdata/sf0.01"
@@ -34,10 +34,24 @@ def test_a_short_domain_and_a_miss_are_reported(spark):
 @pytest.mark.filterwarnings("ignore:mixing")
 def test_clean_documents_stay_after_near_dedup(spark):
     docs, labels = (read_table(spark, MIDDLE, name) for name in ("documents", "labels"))
-    entering = simhash.keep_first(quality_rules.keep_good(docs)).localCheckpoint()
+    entering = near_copies.keep_first(quality_rules.keep_good(docs)).localCheckpoint()
     clean = entering.join(labels.where("quality = 1 and toxic = 0"), "doc_id").select("doc_id")
     out = mixing.drawn(entering, labels).select("doc_id").localCheckpoint()
     assert out.join(clean, "doc_id", "left_semi").count() > 0.95 * clean.count() > 0
     members = mixing.posteriors(entering, ["doc_id"], mixing.learn(entering, labels)).join(out, "doc_id", "left_semi")
     words = members.agg(*[F.sum(F.col("n_words") * F.element_at("posterior", d + 1)) for d in range(3)]).first()
     assert abs(words[2] / sum(words) - 0.03 / 0.95) < 0.02
+
+
+def test_near_copies_of_five_words_go_and_no_others(spark, edges, nothing):
+    words = [f"w{n}" for n in range(100)]
+    said = lambda *changed: " ".join("other" if n in changed else w for n, w in enumerate(words))
+    # One word changed is 5 of 96 shingles; four changed, apart, are 20 of 96 and too many.
+    rows = [(1, said()), (2, said(50)), (3, said(99).upper()), (4, said(10, 30, 50, 70)), (5, "short text"), (6, "Short  text"), (7, "short text too"), (7, said(20, 40, 60, 80)), (None, said())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = near_copies.keep_first(docs)
+    assert kept.columns == docs.columns
+    assert {tuple(r) for r in kept.collect()} == {rows[n] for n in (0, 3, 4, 6, 7, 8)}
+    ids = sorted((r.doc_id for r in near_copies.keep_first(edges).collect() if r.doc_id is not None))
+    assert ids == [-3, 1, 4, 5, 6, 7, 9, 11]
+    assert near_copies.keep_first(nothing).count() == 0
