@@ -6,13 +6,13 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from storyloom.session import cut_lineage, shared_dir
 
-__all__ = ["ARROW", "ASCII_SPACE", "cut_lineage", "mapped_texts", "read_table", "texts_of", "words_of", "written"]
+__all__ = ["ARROW", "ASCII_SPACE", "cut_lineage", "mapped_texts", "numbered", "read_table", "texts_of", "words_of", "written"]
 
 #: What separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
@@ -72,3 +72,21 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
+    """``df`` with each row's place in ``order``, from 0: a sort by range over the cluster, no task sees all rows.
+
+    Only the number of rows of each range is added up in one place.
+    """
+    at = f"{name}_at"
+    ranges = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    # The id has the range in its upper bits and the place within it in the lower 33.
+    placed = written(ranges.withColumn(at, F.monotonically_increasing_id()))
+    part = F.shiftright(at, 33)
+    sizes = placed.groupBy(part.alias(f"{name}_range")).agg(F.count("*").alias("n"))
+    before = Window.orderBy(f"{name}_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(f"{name}_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias(f"{name}_start"))
+    # As many rows as there are ranges.
+    joined = placed.withColumn(f"{name}_range", part).join(F.broadcast(starts), f"{name}_range")
+    return joined.withColumn(name, F.col(f"{name}_start") + F.col(at).bitwiseAND((1 << 33) - 1)).drop(at, f"{name}_range", f"{name}_start")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from storyloom.llm import neighbours, secret_scan
+from storyloom.llm import importance, neighbours, secret_scan
 
 _WORDS = r"SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents"
 
@@ -71,4 +71,7 @@ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
 FROM d LEFT JOIN own ON own.doc_id = d.doc_id LEFT JOIN every ON every.doc_id = d.doc_id
 """
 
-ORACLES = {"op1_secret_scan": SECRETS, "op2_nearest_neighbours": neighbours.ORACLE, "op5_substring_dedup": SUBSTRINGS, "op8_quality_rules": RULES}
+ORACLES = {
+    "op1_secret_scan": SECRETS, "op2_nearest_neighbours": neighbours.ORACLE, "op5_substring_dedup": SUBSTRINGS, "op8_quality_rules": RULES,
+    "op11_importance_resampling": importance.ORACLE,
+}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from storyloom.llm import bpe, line_crf, mixing, neighbours, quality_rules, secret_scan, simhash, substrings, surrogates, toxicity
+from storyloom.llm import bpe, importance, line_crf, mixing, neighbours, quality_rules, secret_scan, simhash, substrings, surrogates, toxicity
 from storyloom.llm.common import read_table
 from storyloom.llm.oracles import ORACLES
 from storyloom.session import apply_session_conf
@@ -26,6 +26,11 @@ def _labelled(operator: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable
     return run
 
 
+def _towards_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    apply_session_conf(spark)
+    return importance.op11(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": _over("documents", secret_scan.op1),
     "op2_nearest_neighbours": _over("embeddings", neighbours.op2),
@@ -37,4 +42,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": _over("documents", quality_rules.op8),
     "op9_pii_surrogates": _over("documents", surrogates.op9),
     "op10_quality_classifier": _labelled(line_crf.op10),
+    "op11_importance_resampling": _towards_benchmark,
 }
