@@ -172,14 +172,13 @@ def resampled(docs: DataFrame, target: DataFrame, setting: Setting = Setting())
     may = F.col("n_words") >= setting.least_words
     scored = written(scored)
     placed = numbered(scored.where(may), "place", *order)
-    share = placed.agg(F.floor(F.count("*") * setting.percent / 100).alias("n_drawn"))
-    # One row, on either side of any size.
-    placed = placed.join(F.broadcast(share)).withColumn("rank", F.when(F.col("place") < F.col("n_drawn"), F.col("place") + 1))
-    return placed.drop("place", "n_drawn").unionByName(scored.where(~may).withColumn("rank", F.lit(None).cast("long")))
+    n_drawn = placed.count() * setting.percent // 100
+    placed = placed.withColumn("rank", F.when(F.col("place") < n_drawn, F.col("place") + 1))
+    return placed.drop("place").unionByName(scored.where(~may).withColumn("rank", F.lit(None).cast("long")))
 
 
 def drawn(docs: DataFrame, target: DataFrame, setting: Setting = Setting()) -> DataFrame:
-    """The rows of ``docs``, all columns, that are drawn; of rows with equal doc_id and text all or none stay if all or none are drawn."""
+    """The rows of ``docs``, all columns, that are drawn; of rows with equal doc_id and text all stay if one is drawn."""
     chosen = resampled(docs, target, setting).where("rank is not null").select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__own")).distinct()
     same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.xxhash64("text") == F.col("__own"))
     return docs.join(chosen, same, "left_semi")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from storyloom.llm import importance, neighbours, secret_scan
+from storyloom.llm import importance, neighbours, prefix_trie, secret_scan
 
 _WORDS = r"SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents"
 
@@ -74,4 +74,5 @@ FROM d LEFT JOIN own ON own.doc_id = d.doc_id LEFT JOIN every ON every.doc_id =
 ORACLES = {
     "op1_secret_scan": SECRETS, "op2_nearest_neighbours": neighbours.ORACLE, "op5_substring_dedup": SUBSTRINGS, "op8_quality_rules": RULES,
     "op11_importance_resampling": importance.ORACLE,
+    "op13_prefix_trie": prefix_trie.ORACLE,
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from storyloom.llm import bpe, importance, line_crf, mixing, neighbours, quality_rules, secret_scan, simhash, substrings, surrogates, toxicity
+from storyloom.llm import bpe, importance, jaccard_join, line_crf, mixing, neighbours, prefix_trie, quality_rules, secret_scan, simhash, substrings, surrogates, toxicity
 from storyloom.llm.common import read_table
 from storyloom.llm.oracles import ORACLES
 from storyloom.session import apply_session_conf
@@ -43,4 +43,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii_surrogates": _over("documents", surrogates.op9),
     "op10_quality_classifier": _labelled(line_crf.op10),
     "op11_importance_resampling": _towards_benchmark,
+    "op12_jaccard_join": _over("documents", jaccard_join.op12),
+    "op13_prefix_trie": _over("conversations", prefix_trie.op13),
 }
