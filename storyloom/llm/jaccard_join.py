@@ -37,11 +37,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from storyloom.llm.common import cut_lineage, mapped_texts, written
+from storyloom.llm.common import mapped_texts, written
 from storyloom.llm.simhash import components, shingle_hashes
 
 #: Rounds in which vertices meet one head each, before members of a list meet one another.
-ROUNDS = 4
+ROUNDS = 2
 #: Matches that a prefix may ask for at most.
 MOST_MATCHES = 8
 
@@ -143,43 +143,54 @@ def _reach(setting: Setting, ma: str, mb: str, na: str, nb: str) -> Column:
     return (100 + setting.percent) * F.least(ma, mb) >= setting.percent * (F.col(na) + F.col(nb))
 
 
-def _open(lists: DataFrame) -> DataFrame:
-    """Members of lists, without the lists that lie in one class."""
-    split = lists.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
-    return lists.join(split, "token", "left_semi")
+def _open(lists: DataFrame, setting: Setting) -> DataFrame:
+    """Members of lists that may meet one of another class there: lists of one class close, and a member
+    goes whose shared shingles are too few for even the smallest set on the list."""
+    split = lists.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("n").alias("least")).where("low <> high").select("token", "least")
+    return lists.join(split, "token").where((100 + setting.percent) * F.col("m") >= setting.percent * (F.col("n") + F.col("least"))).drop("least")
 
 
-def class_edges(prefixed: DataFrame, setting: Setting) -> DataFrame:
-    """Links ``a``, ``b`` that join exactly the vertices of each class; not all links of a class."""
+def classes(prefixed: DataFrame, setting: Setting) -> DataFrame:
+    """``v`` and the ``root`` of its class, from what ``prefixes`` gives."""
     sets = prefixed.select("v", "n", "m", "shared")
+    roots = prefixed.select("v", F.col("v").alias("root"))
     lists = prefixed.select(F.explode("prefix").alias("token"), "v", "n", "m", "l", "common", F.col("v").alias("root"), F.lit(False).alias("led"))
-    lists = cut_lineage(_open(lists))
-    edges = met = cut_lineage(prefixed.sparkSession.createDataFrame([], "a long, b long"))
+    lists = written(_open(lists, setting))
+    met = prefixed.sparkSession.createDataFrame([], "a long, b long")
     for _ in range(ROUNDS):
-        fresh = lists.where("not led")
-        heads = fresh.groupBy("token").agg(F.max_by(F.struct("v", "n", "m", "root"), F.struct("common", -F.col("v"))).alias("head"))
-        at = cut_lineage(lists.join(heads, "token").withColumn("led", F.col("led") | (F.col("root") == F.col("head.root"))))
+        heads = lists.where("not led").groupBy("token").agg(F.max_by(F.struct("v", "n", "m", "root"), F.struct("common", -F.col("v"))).alias("head"))
+        at = lists.join(heads, "token")
         stars = at.where("root <> head.root").where(_reach(setting, "m", "head.m", "n", "head.n"))
         counted = stars.groupBy("v", F.col("head.v").alias("head")).agg(F.count("*").alias("times"))
         counted = counted.join(met.select(F.col("a").alias("head"), F.col("b").alias("v")), ["v", "head"], "left_anti")
-        pairs = cut_lineage(counted.groupBy(F.col("v").alias("b")).agg(F.max_by("head", F.struct("times", -F.col("head"))).alias("a")).select("a", "b"))
-        met = cut_lineage(met.unionByName(pairs))
-        found = cut_lineage(verified(pairs, sets, setting))
-        lists = at.drop("head")
-        if found.isEmpty():
+        pairs = written(counted.groupBy(F.col("v").alias("b")).agg(F.max_by("head", F.struct("times", -F.col("head"))).alias("a")).select("a", "b"))
+        met = met.unionByName(pairs)
+        before, roots = roots, _merged(roots, verified(pairs, sets, setting))
+        if roots is before:
             break
-        edges = edges.unionByName(found)
-        roots = components(edges).select(F.col("node").alias("v"), F.col("root").alias("above"))
-        rooted = lists.join(roots, "v", "left").withColumn("root", F.coalesce("above", "v")).drop("above")
-        lists = cut_lineage(_open(rooted))
+        at = at.withColumn("led", F.col("led") | (F.col("root") == F.col("head.root"))).drop("head", "root")
+        lists = written(_open(at.join(roots, "v"), setting))
         if lists.isEmpty():
-            return edges
+            return roots
     side = lambda x: lists.select("token", *(F.col(c).alias(c + x) for c in ("v", "n", "m", "l", "root")))
     across = side("a").join(side("b"), "token").where("va < vb and roota <> rootb").where(_reach(setting, "ma", "mb", "na", "nb"))
     often = across.groupBy(F.col("va").alias("a"), F.col("vb").alias("b")).agg(F.count("*").alias("times"), F.first(F.least("la", "lb")).alias("l")).where("times >= l")
     seen = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    last = cut_lineage(verified(often.select("a", "b").join(seen, ["a", "b"], "left_anti"), sets, setting))
-    return edges.unionByName(last)
+    return _merged(roots, verified(written(often.select("a", "b").join(seen, ["a", "b"], "left_anti")), sets, setting))
+
+
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` with the classes that ``links`` join made one; the same frame where there is none.
+
+    Tables are written rather than checkpointed here: a checkpoint keeps the product of all its joins as
+    its estimated size, and over the rounds that number alone would come to take minutes.
+    """
+    of = lambda x: roots.select(F.col("v").alias(x), F.col("root").alias(f"root_{x}"))
+    edges = written(links.join(of("a"), "a").join(of("b"), "b").select("root_a", "root_b").where("root_a <> root_b"))
+    if edges.isEmpty():
+        return roots
+    above = components(edges, "root_a", "root_b").select(F.col("node").alias("root"), F.col("root").alias("above"))
+    return written(roots.join(above, "root", "left").select("v", F.coalesce("above", "root").alias("root")))
 
 
 def groups(docs: DataFrame, setting: Setting = Setting()) -> DataFrame:
@@ -189,8 +200,7 @@ def groups(docs: DataFrame, setting: Setting = Setting()) -> DataFrame:
     merged = rows.where("n > 0").groupBy("set_id").agg(F.first("n").alias("n"), F.min(F.struct("doc_id", "text_hash")).alias("first"), F.first("lead").alias("lead"), F.first("needed").alias("needed"))
     vertices = written(merged.withColumn("v", F.monotonically_increasing_id()))
     sets = written(whole_sets(docs, written(led(vertices)), setting.size))
-    edges = class_edges(written(prefixes(sets, setting)), setting)
-    roots = components(edges).select(F.col("node").alias("v"), F.col("root").alias("above"))
+    roots = classes(written(prefixes(sets, setting)), setting).withColumnRenamed("root", "above")
     named = vertices.select("set_id", "v").join(roots, "v", "left").select("set_id", F.coalesce("above", "v").alias("root"))
     return rows.select(*keep, "n", "set_id").join(named, "set_id", "left").drop("set_id")
 
