@@ -452,6 +452,19 @@ def _(t):
     return proposing.propose_duplicates(t.stories, t.articles, t.raw("embeddings"))
 
 
-@query("propose_new_clusters")
+_WORDS = r"regexp_extract_all(lower(scraped_text_content), '[\p{L}\p{N}_]+')"
+
+
+@query("propose_new_clusters", rf"""WITH RECURSIVE waiting AS (SELECT id, title, published_date, coalesce(importance_score, 0.5) AS importance_score, {_WORDS} AS w FROM articles WHERE event_id IS NULL),
+cut AS (SELECT DISTINCT id, unnest(list_transform(range(1, greatest(len(w) - 2, 1) + 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS s FROM waiting WHERE len(w) > 0),
+sized AS (SELECT id, count(*) AS n FROM cut GROUP BY id),
+common AS (SELECT a.id AS a, b.id AS b, count(*) AS n FROM cut a JOIN cut b ON a.s = b.s AND a.id <> b.id GROUP BY a.id, b.id),
+links AS (SELECT a, b FROM common c JOIN sized x ON x.id = a JOIN sized y ON y.id = b WHERE 2 * c.n >= x.n + y.n - c.n),
+reach AS (SELECT id, id AS other FROM sized UNION SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.other),
+roots AS (SELECT id, min(other) AS root FROM reach GROUP BY id),
+groups AS (SELECT root, count(*) AS size, arg_min(title, (coalesce(published_date, TIMESTAMP '9999-12-31'), w.id)) FILTER (WHERE coalesce(title, '') <> '') AS name FROM waiting w JOIN roots USING (id) GROUP BY root),
+placed AS (SELECT w.id, w.importance_score, r.root, name, coalesce(size >= 2, false) AS now FROM waiting w LEFT JOIN roots r ON r.id = w.id LEFT JOIN groups g ON g.root = r.root)
+SELECT id AS pos, id AS article_id, CASE WHEN now THEN 'new' ELSE 'uncategorized' END AS decision, CAST(NULL AS BIGINT) AS event_id, CASE WHEN now THEN coalesce(name, 'Untitled story ' || root) END AS event_name,
+ round(importance_score, 6) AS importance_score, 1.0e0 AS confidence, root FROM placed""")
 def _(t):
     return proposing.propose_new_clusters(t.articles)

@@ -1,7 +1,7 @@
 """Deterministic stand-ins for the decisions a model would make.
 
 Similarity is cosine between article vectors and story centroids, token
-overlap between names, and shared minhash bands between texts.
+overlap between names, and exact shingle similarity between texts.
 """
 
 from __future__ import annotations
@@ -18,7 +18,8 @@ from pyspark.sql import types as T
 
 from storyloom.functions.text import classify_article, is_non_event_type, normalize_event_name
 from storyloom.operators.rollups import ago, grouped, story_article_counts
-from storyloom.session import cut_lineage
+from storyloom.operators.similar import alike_texts
+from storyloom.session import cut_lineage, stored
 from storyloom.settings import DEFAULTS
 
 #: Bounds of one comparison task: this many centroids against this many vectors.
@@ -169,52 +170,18 @@ def propose_duplicates(stories: DataFrame, articles: DataFrame, embeddings: Data
     return scored.select("older_id", "newer_id", confidence.alias("confidence")).filter(F.col("confidence") >= min_confidence)
 
 
-# --- texts that share minhash bands ------------------------------------------
+# --- alike texts ---------------------------------------------------------------
 
-SHINGLE_WORDS = 3
-BANDS = 8
-ROWS_PER_BAND = 2
 
-
-def text_bands(texts: DataFrame) -> DataFrame:
-    """(id, band) rows: signatures of the whole text, two minima per band."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    count = F.greatest(F.size("_w") - F.lit(SHINGLE_WORDS - 1), F.lit(1))
-    shingles = F.transform(F.sequence(F.lit(1), count), lambda i: F.xxhash64(F.array_join(F.slice(F.col("_w"), i, SHINGLE_WORDS), " ")))
-    hashed = texts.select("id", words.alias("_w")).select("id", F.array_distinct(shingles).alias("_h"))
-    minima = [F.array_min(F.transform("_h", lambda h, k=k: F.xxhash64(h, F.lit(k)))) for k in range(BANDS * ROWS_PER_BAND)]
-    bands = [F.xxhash64(F.lit(b), *minima[b * ROWS_PER_BAND:(b + 1) * ROWS_PER_BAND]) for b in range(BANDS)]
-    return hashed.select("id", F.explode(F.array(*bands)).alias("band"))
-
-
-def connected(memberships: DataFrame) -> DataFrame:
-    """(id, root) of articles linked through shared bands; ``root`` is the lowest linked id.
-
-    Links run over bands, never between all members of one: each round a band
-    takes the lowest root of its members and the members take it back, then
-    roots jump to their own root.  Until nothing changes.
-    """
-    links = cut_lineage(memberships.select("id", "band").distinct())
-    roots = links.groupBy("id").agg(F.min("id").alias("root"))
-    while True:
-        lowest = links.join(roots, "id").groupBy("band").agg(F.min("root").alias("root"))
-        taken = links.join(lowest, "band").groupBy("id").agg(F.min("root").alias("taken"))
-        step = roots.join(taken, "id").select("id", F.col("root").alias("old"), F.least("root", "taken").alias("root"))
-        jump = step.select(F.col("id").alias("root"), F.col("root").alias("far"))
-        moved = cut_lineage(step.join(jump, "root", "left").select("id", "old", F.coalesce("far", "root").alias("root")))
-        roots = moved.select("id", "root")
-        if moved.filter(F.col("old") != F.col("root")).isEmpty():
-            return roots
-
-
-def propose_new_clusters(articles: DataFrame) -> DataFrame:
+def propose_new_clusters(articles: DataFrame, percent: int = DEFAULTS.alike_percent) -> DataFrame:
     """Decisions for ungrouped articles: alike texts share a proposed name, others none.
 
-    The name is the title of the earliest titled article of the group.
+    Alike means a similarity of ``percent`` hundredths or more of their three-word shingles, and groups
+    are what such links connect.  The name is the title of the earliest titled article of the group.
     """
     waiting = articles.filter(F.col("event_id").isNull())
     texts = waiting.select("id", F.coalesce("scraped_text_content", F.lit("")).alias("text")).filter(F.col("text") != "")
-    roots = connected(text_bands(texts))
+    roots = stored(alike_texts(texts, percent))
     named = waiting.select("id", "title", "published_date").join(roots, "id")
     titled = F.when(F.coalesce("title", F.lit("")) != "", F.struct(F.coalesce("published_date", F.lit("9999-12-31").cast("timestamp")), F.col("id")))
     groups = named.groupBy("root").agg(F.count("*").alias("size"), F.min_by("title", titled).alias("name"))

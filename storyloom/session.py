@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -68,3 +69,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise an iteration's result in the shared checkpoint folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder, read again.
+
+    Like a checkpoint it ends the lineage; unlike one, its estimated size is that of its files and not the
+    product of the sizes of all it was joined from, which over many rounds becomes a number too long to multiply.
+    """
+    path = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

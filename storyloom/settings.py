@@ -33,6 +33,7 @@ class Tunables:
     dedup_confidence: float = 0.7
     recluster_days: int = 14
     recluster_limit: int | None = None
+    alike_percent: int = 50
     cooling_after_days: int = 3
     regroup_batch: int | None = None
 

@@ -13,6 +13,7 @@ from storyloom.operators import corrections, grouping, ingest, lifecycle, mergin
 from storyloom.operators.ids import with_new_ids
 from storyloom.session import shared_dir
 from storyloom.sources import tables
+from storyloom.operators.components import components
 from storyloom.streaming import streams
 
 NOW = "2024-01-31 00:00:00"
@@ -212,8 +213,11 @@ def brute_components(members):
 def test_connected_like_union_find(spark):
     rng = random.Random(5)
     members = [(i, rng.randrange(160)) for i in range(150) for _ in range(1 + i % 2)] + [(1000 + i, 9000 + i // 2 + (i % 2) * 0) for i in range(40)] + [(2000 + i, 5000 + i) for i in range(30)] + [(2000 + i, 5001 + i) for i in range(30)]
-    frame = spark.createDataFrame(members, "id long, band long")
-    assert {r.id: r.root for r in proposing.connected(frame).collect()} == brute_components(members)
+    # Bands are vertices too, above all ids, so that no band is the smallest of its component.
+    frame = spark.createDataFrame([(i, 100_000 + b) for i, b in members], "a long, b long")
+    got = {r.id: r.root for r in components(frame).collect()}
+    assert {i: root for i, root in got.items() if i < 100_000} == brute_components(members)
+    assert components(frame.where("false")).count() == 0
 
 
 def test_alike_texts_share_a_name(spark):
