@@ -6,7 +6,7 @@ from storyloom.catalog import fixtures
 from storyloom.catalog.ingesting import feed_date
 from storyloom.catalog.registry import VISITOR, query
 from storyloom.operators import rollups
-from storyloom.streaming import streams
+from storyloom.streaming import status, streams
 
 _N = "(SELECT count(*) FROM documents)"
 
@@ -34,9 +34,11 @@ def _(t):
     return streams.run_into_files(streams.story_sessions(_assignments(t)), "sessions")
 
 
-@query("stream_story_status", f"WITH {_SESSIONS} SELECT event_id, 'active' AS status, activated_at AS changed_at FROM closed UNION ALL SELECT event_id, 'archived', expires_at FROM closed")
+@query("stream_story_status", f"""WITH {_SESSIONS} SELECT event_id, 'active' AS status, activated_at AS changed_at FROM sessions
+ UNION ALL SELECT event_id, 'archived', expires_at FROM closed""")
 def _(t):
-    return streams.run_into_files(streams.story_status(_assignments(t)), "status").withColumnRenamed("at", "changed_at")
+    said = streams.run_into_files(status.story_status(_assignments(t)), "status")
+    return status.net_changes(said).withColumnRenamed("at", "changed_at")
 
 
 @query("stream_feed_health", """

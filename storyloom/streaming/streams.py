@@ -45,19 +45,6 @@ def story_sessions(assignments: DataFrame, delay: str = "1 hour", hours: int = D
     )
 
 
-def story_status(assignments: DataFrame, delay: str = "1 hour", hours: int = DEFAULTS.ttl_hours) -> DataFrame:
-    """Status changes: ``active`` at the first assignment of a period, ``archived`` at its expiry.
-
-    A later period of the same story is its revival.  Both changes are emitted
-    once the watermark has passed the expiry, so no late article can undo them.
-    """
-    changes = F.array(
-        F.struct(F.lit("active").alias("status"), F.col("activated_at").alias("at")),
-        F.struct(F.lit("archived").alias("status"), F.col("expires_at").alias("at")),
-    )
-    return story_sessions(assignments, delay, hours).select("event_id", F.explode(changes).alias("c")).select("event_id", "c.status", "c.at")
-
-
 def feed_health(errors: DataFrame, delay: str = "1 hour", width: str = "1 hour") -> DataFrame:
     """Scrape errors per feed and hour, emitted when the hour is closed."""
     hour = F.window("failed_at", width)
