@@ -14,10 +14,14 @@ the smaller l.  Nothing is left to chance: every link is found, and no bound on
    Each set lengthens its prefix to the l of least estimated cost: the lists it stands on are read
    (the sum of their lengths), and of those met at least l times, at most that sum over l, each is verified.
 4. Classes, not pairs.  The members of a list first meet one head each, of all the heads on their lists
-   that which they share most lists with; a head is the member with the most common shingles, so the
-   original of a group of edited copies.  What links contracts, and lists within one class close.  After
-   ``ROUNDS`` such rounds, each linear in the vertices, members of different classes on one list meet:
-   pairs met on too few lists, or whose shared shingles can't reach the bound together, are not verified.
+   that which leads most of them; a head is the member with the most common shingles, so the original of
+   a group of edited copies.  What links contracts, and lists within one class close.
+5. Let x and y have been compared with one head h, and lack dx and dy of its shingles.  At most
+   |h| - max(dx, dy) of h are common to both, so if that is too few for their sizes, they link only if they
+   share a shingle that h lacks.  Such extras are few: their lists, for each head, go through the same
+   step of heads, and then members of different classes on them meet.
+6. Members of different classes on one list of step 3 meet where that bound does not hold, or where they were
+   compared with different heads; pairs met on fewer lists than asked for are not verified.
 
 Verification compares whole sets.  Shingles are 64-bit hashes.
 
@@ -40,8 +44,6 @@ from pyspark.sql import types as T
 from storyloom.llm.common import mapped_texts, written
 from storyloom.llm.simhash import components, shingle_hashes
 
-#: Rounds in which vertices meet one head each, before members of a list meet one another.
-ROUNDS = 2
 #: Matches that a prefix may ask for at most.
 MOST_MATCHES = 8
 
@@ -95,11 +97,16 @@ def _common(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
 
 
-def led(vertices: DataFrame) -> DataFrame:
-    """Vertices that share enough of their lead with others to have a link."""
-    tokens = vertices.select("v", F.explode("lead").alias("token"))
-    hits = tokens.join(_common(tokens), "token").groupBy("v").agg(F.count("*").alias("hits"))
-    return vertices.drop("lead").join(hits, "v").where("hits >= needed").drop("hits", "needed")
+def led(rows: DataFrame) -> DataFrame:
+    """The rows whose set shares enough of its lead with other sets to have a link, without the lead.
+
+    A shingle is common if the least and the greatest mark of the sets that hold it differ, so copies of
+    one set, which have one mark, don't make each other's shingles common.
+    """
+    tokens = rows.select("r", F.xxhash64("set_id").alias("mark"), F.explode("lead").alias("token"))
+    common = tokens.groupBy("token").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("low <> high").select("token")
+    hits = tokens.join(common, "token", "left_semi").groupBy("r").agg(F.count("*").alias("hits"))
+    return rows.drop("lead").join(hits, "r").where("hits >= needed").drop("hits", "needed")
 
 
 def whole_sets(docs: DataFrame, vertices: DataFrame, size: int) -> DataFrame:
@@ -130,53 +137,80 @@ def prefixes(sets: DataFrame, setting: Setting) -> DataFrame:
     )
 
 
-def verified(pairs: DataFrame, sets: DataFrame, setting: Setting) -> DataFrame:
-    """Those of ``pairs`` (``a``, ``b``) that link; ``sets`` has ``v``, ``n`` and ``shared``."""
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs`` (``a``, ``b``) with both sizes, their ``overlap``, and the ``extras``: what b shares with others but not with a."""
     one = lambda x: sets.select(F.col("v").alias(x), F.col("n").alias(f"n{x}"), F.col("shared").alias(f"set{x}"))
     both = pairs.join(one("b"), "b").join(one("a"), "a")
-    overlap = F.size(F.array_intersect("seta", "setb"))
-    return both.where((100 + setting.percent) * overlap >= setting.percent * (F.col("na") + F.col("nb"))).select("a", "b")
+    return both.select("a", "b", "na", "nb", F.size(F.array_intersect("seta", "setb")).alias("overlap"), F.array_except("setb", "seta").alias("extras"))
+
+
+def _reaches(setting: Setting, overlap: Column, n: str, other: str) -> Column:
+    """Whether so many common shingles are enough for sets of two sizes."""
+    return (100 + setting.percent) * overlap >= setting.percent * (F.col(n) + F.col(other))
+
+
+def _open(lists: DataFrame, *key: str) -> DataFrame:
+    """Members of the lists that hold more than one class."""
+    split = lists.groupBy(*key).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select(*key)
+    return lists.join(split, list(key), "left_semi")
 
 
-def _reach(setting: Setting, ma: str, mb: str, na: str, nb: str) -> Column:
-    """Whether two sets could link if they had all their shared shingles in common."""
-    return (100 + setting.percent) * F.least(ma, mb) >= setting.percent * (F.col(na) + F.col(nb))
+def _stars(lists: DataFrame, setting: Setting, *key: str) -> DataFrame:
+    """One pair for a member: ``b``, and as ``a`` that head of its lists which leads most of them; classes differ."""
+    heads = lists.groupBy(*key).agg(F.max_by(F.struct("v", "n", "m", "root"), F.struct("common", -F.col("v"))).alias("top"))
+    met = lists.join(heads, list(key)).where("root <> top.root").where(_reaches(setting, F.least("m", "top.m"), "n", "top.n"))
+    counted = met.groupBy("v", F.col("top.v").alias("a")).agg(F.count("*").alias("times"))
+    return written(counted.groupBy(F.col("v").alias("b")).agg(F.max_by("a", F.struct("times", -F.col("a"))).alias("a")).select("a", "b"))
 
 
-def _open(lists: DataFrame, setting: Setting) -> DataFrame:
-    """Members of lists that may meet one of another class there: lists of one class close, and a member
-    goes whose shared shingles are too few for even the smallest set on the list."""
-    split = lists.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("n").alias("least")).where("low <> high").select("token", "least")
-    return lists.join(split, "token").where((100 + setting.percent) * F.col("m") >= setting.percent * (F.col("n") + F.col("least"))).drop("least")
+def _sides(lists: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
+    return tuple(lists.select(*(F.col(c).alias(c if c in ("token", "head") else c + x) for c in columns)) for x in "ab")
 
 
 def classes(prefixed: DataFrame, setting: Setting) -> DataFrame:
     """``v`` and the ``root`` of its class, from what ``prefixes`` gives."""
-    sets = prefixed.select("v", "n", "m", "shared")
+    sets = prefixed.select("v", "n", "shared")
     roots = prefixed.select("v", F.col("v").alias("root"))
-    lists = prefixed.select(F.explode("prefix").alias("token"), "v", "n", "m", "l", "common", F.col("v").alias("root"), F.lit(False).alias("led"))
-    lists = written(_open(lists, setting))
-    met = prefixed.sparkSession.createDataFrame([], "a long, b long")
-    for _ in range(ROUNDS):
-        heads = lists.where("not led").groupBy("token").agg(F.max_by(F.struct("v", "n", "m", "root"), F.struct("common", -F.col("v"))).alias("head"))
-        at = lists.join(heads, "token")
-        stars = at.where("root <> head.root").where(_reach(setting, "m", "head.m", "n", "head.n"))
-        counted = stars.groupBy("v", F.col("head.v").alias("head")).agg(F.count("*").alias("times"))
-        counted = counted.join(met.select(F.col("a").alias("head"), F.col("b").alias("v")), ["v", "head"], "left_anti")
-        pairs = written(counted.groupBy(F.col("v").alias("b")).agg(F.max_by("head", F.struct("times", -F.col("head"))).alias("a")).select("a", "b"))
-        met = met.unionByName(pairs)
-        before, roots = roots, _merged(roots, verified(pairs, sets, setting))
-        if roots is before:
-            break
-        at = at.withColumn("led", F.col("led") | (F.col("root") == F.col("head.root"))).drop("head", "root")
-        lists = written(_open(at.join(roots, "v"), setting))
-        if lists.isEmpty():
-            return roots
-    side = lambda x: lists.select("token", *(F.col(c).alias(c + x) for c in ("v", "n", "m", "l", "root")))
-    across = side("a").join(side("b"), "token").where("va < vb and roota <> rootb").where(_reach(setting, "ma", "mb", "na", "nb"))
-    often = across.groupBy(F.col("va").alias("a"), F.col("vb").alias("b")).agg(F.count("*").alias("times"), F.first(F.least("la", "lb")).alias("l")).where("times >= l")
-    seen = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return _merged(roots, verified(written(often.select("a", "b").join(seen, ["a", "b"], "left_anti")), sets, setting))
+    lists = prefixed.select(F.explode("prefix").alias("token"), "v", "n", "m", "common", F.col("v").alias("root"))
+    first = _stars(lists, setting, "token")
+    against = written(compared(first, sets))
+    linked = against.where(_reaches(setting, F.col("overlap"), "na", "nb"))
+    roots = _merged(roots, linked.select("a", "b"))
+
+    # Every vertex under one head: that which it was compared with, or itself where it is a head or has none.
+    own = against.select(F.col("a").alias("v")).distinct()
+    under = against.select(F.col("b").alias("v"), F.col("a").alias("head"), F.col("na").alias("head_n"), "overlap").join(own, "v", "left_anti")
+    known = prefixed.select("v", "n", "m", "l", "common").join(roots, "v").join(under, "v", "left")
+    known = written(known.select("v", "n", "m", "l", "common", "root", F.coalesce("head", "v").alias("head"), F.coalesce("head_n", "n").alias("head_n"), F.coalesce("overlap", "n").alias("overlap")))
+
+    more = against.select(F.col("b").alias("v"), F.explode("extras").alias("token")).join(known, "v").where("v <> head")
+    more = written(_open(more, "head", "token"))
+    second = _stars(more, setting, "head", "token")
+    again = written(compared(second, sets))
+    before, roots = roots, _merged(roots, again.where(_reaches(setting, F.col("overlap"), "na", "nb")).select("a", "b"))
+    if roots is not before:
+        more, known = more.drop("root").join(roots, "v"), known.drop("root").join(roots, "v")
+
+    enough = _reaches(setting, F.least("ma", "mb"), "na", "nb")
+    apart = (F.col("va") < F.col("vb")) & (F.col("roota") != F.col("rootb"))
+    a, b = _sides(_open(more, "head", "token"), "head", "token", "v", "n", "m", "root")
+    sharing = a.join(b, ["head", "token"]).where(apart & enough).select(F.col("va").alias("a"), F.col("vb").alias("b"))
+
+    lists = written(_open(prefixed.select(F.explode("prefix").alias("token"), "v").join(known.drop("common"), "v"), "token"))
+    least = lists.groupBy("token", "head").agg(F.min("n").alias("least"))
+    within = lists.join(least, ["token", "head"]).where(_reaches(setting, F.col("overlap"), "n", "least")).drop("least")
+    a, b = _sides(_open(within, "token", "head"), "token", "head", "v", "n", "m", "l", "root", "overlap")
+    within = a.join(b, ["token", "head"]).where(apart & enough & _reaches(setting, F.least("overlapa", "overlapb"), "na", "nb"))
+
+    heads = least.select("token", F.col("head").alias("to"))
+    a, b = _sides(lists, "token", "head", "v", "n", "m", "l", "root")
+    between = a.withColumnRenamed("head", "from").join(heads, "token").where(F.col("from") != F.col("to")).withColumnRenamed("to", "head").drop("from").join(b, ["token", "head"]).where(apart & enough)
+    pair = ["va", "vb", "la", "lb"]
+    often = within.select(*pair).unionByName(between.select(*pair)).groupBy(F.col("va").alias("a"), F.col("vb").alias("b")).agg(F.count("*").alias("times"), F.first(F.least("la", "lb")).alias("l"))
+    pairs = often.where("times >= l").select("a", "b").unionByName(sharing).distinct()
+    seen = first.unionByName(second).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    last = compared(written(pairs.join(seen, ["a", "b"], "left_anti")), sets)
+    return _merged(roots, last.where(_reaches(setting, F.col("overlap"), "na", "nb")).select("a", "b"))
 
 
 def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -196,13 +230,17 @@ def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
 def groups(docs: DataFrame, setting: Setting = Setting()) -> DataFrame:
     """``doc_id``, ``text_hash``, ``n`` distinct shingles, and ``root``, the same for the rows of one class and null for an empty set."""
     keep = ["doc_id", "text_hash"]
-    rows = written(sketches(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), keep, setting))
-    merged = rows.where("n > 0").groupBy("set_id").agg(F.first("n").alias("n"), F.min(F.struct("doc_id", "text_hash")).alias("first"), F.first("lead").alias("lead"), F.first("needed").alias("needed"))
-    vertices = written(merged.withColumn("v", F.monotonically_increasing_id()))
-    sets = written(whole_sets(docs, written(led(vertices)), setting.size))
-    roots = classes(written(prefixes(sets, setting)), setting).withColumnRenamed("root", "above")
-    named = vertices.select("set_id", "v").join(roots, "v", "left").select("set_id", F.coalesce("above", "v").alias("root"))
-    return rows.select(*keep, "n", "set_id").join(named, "set_id", "left").drop("set_id")
+    sketched = sketches(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), keep, setting)
+    rows = written(sketched.withColumn("r", F.monotonically_increasing_id()))
+    able = led(rows.where("n > 0").select("r", *keep, "set_id", "n", "lead", "needed"))
+    merged = able.groupBy("set_id").agg(F.first("n").alias("n"), F.min(F.struct("doc_id", "text_hash")).alias("first"), F.min("r").alias("v"))
+    vertices = written(merged)
+    sets = written(whole_sets(docs, vertices, setting.size))
+    roots = classes(written(prefixes(sets, setting)), setting)
+    named = vertices.select("set_id", "v").join(roots, "v").select("set_id", F.col("root").alias("named"))
+    # A set without a link is a class of its own, by its own name.
+    root = F.when(F.col("n") > 0, F.coalesce(F.col("named").cast("string"), F.hex("set_id")))
+    return rows.select(*keep, "n", "set_id").join(named, "set_id", "left").select(*keep, "n", root.alias("root"))
 
 
 def op12(docs: DataFrame, setting: Setting = Setting()) -> DataFrame:
