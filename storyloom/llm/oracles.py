@@ -23,7 +23,7 @@ SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256
 RULES = f"""
 WITH d AS ({_WORDS}), g AS ({_windows(5)}), often AS (SELECT doc_id, h FROM g GROUP BY doc_id, h HAVING count(*) > 1),
 inside AS (SELECT doc_id, count(DISTINCT i) AS n FROM (SELECT doc_id, unnest(range(s, s + 5)) AS i FROM g JOIN often USING (doc_id, h)) x GROUP BY doc_id),
-counted AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, length(t) - length(regexp_extract_all(t, '[\\x20\\x09-\\x0D]')) AS word_chars,
+counted AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, length(t) - len(regexp_extract_all(t, '[\\x20\\x09-\\x0D]')) AS word_chars,
   len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines,
   coalesce(n, 0) AS n_repeat_words, len(list_filter(w, lambda x: regexp_matches(x, '[A-Z]') AND NOT regexp_matches(x, '[a-z]'))) AS capitals,
   len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1])) AS stuttered FROM d LEFT JOIN inside ON inside.doc_id = d.doc_id),
@@ -31,7 +31,7 @@ judged AS (SELECT *, len(lines) - len(list_distinct(lines)) AS n_dup_lines, n_wo
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
  NOT (base_failed OR 10 * n_symbols > 2 * n_words OR 10 * n_dup_lines > 3 * len(lines) OR 10 * capitals > 4 * n_words OR 10 * stuttered > 2 * n_words
   OR word_chars < 2 * n_words OR word_chars > 20 * n_words) AS kept FROM judged
-""".replace("length(regexp_extract_all", "len(regexp_extract_all")
+"""
 
 
 
@@ -47,6 +47,7 @@ def _places(pattern: str, where: str = "true") -> str:
 
 _ASSIGN = "'" + secret_scan.ASSIGN.replace("'", "''") + "'"
 _HARMLESS = " OR ".join("regexp_matches(hit, '" + p + "')" for p in secret_scan.ALLOWED)
+_LETTER_AND_DIGIT = "regexp_matches({0}, '[0-9]') AND regexp_matches({0}, '[A-Za-z]')"
 _W = secret_scan.WINDOW
 _IS_HEX = "regexp_full_match(hit, '[0-9A-Fa-f]+')"
 
@@ -56,14 +57,20 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 base AS (SELECT doc_id, start, stop, 0 AS rank, 'assign' AS kind FROM ({_places(secret_scan.ASSIGN, f'length(regexp_extract(hit, {_ASSIGN}, 1)) >= 6')}) x
   UNION ALL SELECT doc_id, start, stop, 1, 'access' FROM ({_places(secret_scan.ACCESS)}) x
   UNION ALL SELECT doc_id, start, stop, 2, 'hex' FROM ({_places(secret_scan.HEX)}) x),
-candidates AS (SELECT * FROM ({_places(secret_scan.CANDIDATE)}) x WHERE NOT ({_HARMLESS})),
+candidates AS (SELECT * FROM ({_places(secret_scan.CANDIDATE)}) x WHERE {_LETTER_AND_DIGIT.format('hit')}),
 windows AS (SELECT doc_id, start, hit, k FROM (SELECT doc_id, start, hit, unnest(range(0, length(hit) - {_W - 1})) AS k FROM candidates) x
   WHERE list_aggregate(string_split(substr(hit, k + 1, {_W}), ''), 'entropy') >= CASE WHEN {_IS_HEX} THEN {secret_scan.BITS['hex']} ELSE {secret_scan.BITS['base64']} END),
 marked AS (SELECT *, CASE WHEN k > {_W} + lag(k) OVER (PARTITION BY doc_id, start ORDER BY k) THEN 1 ELSE 0 END AS opens FROM windows),
 runs AS (SELECT doc_id, start + min(k) AS start, start + max(k) + {_W} AS stop, {_IS_HEX} AS is_hex FROM
   (SELECT *, sum(opens) OVER (PARTITION BY doc_id, start ORDER BY k) AS run FROM marked) x GROUP BY doc_id, start, hit, run),
-added AS (SELECT doc_id, start, stop, CASE WHEN is_hex THEN 3 ELSE 4 END AS rank, CASE WHEN is_hex THEN 'entropy_hex' ELSE 'entropy_base64' END AS kind FROM runs r
-  WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = r.doc_id AND b.start < r.stop AND r.start < b.stop)),
+segments AS (SELECT doc_id, start + coalesce(list_sum(list_transform(segs[:i - 1], lambda x: length(x) + 1)), 0) AS start, segs[i] AS hit
+  FROM (SELECT doc_id, start, segs, unnest(range(1, len(segs) + 1)) AS i FROM (SELECT doc_id, start, string_split(replace(hit, '=', '/'), '/') AS segs FROM candidates) x) y),
+cover AS (SELECT doc_id, start, stop FROM base UNION ALL SELECT doc_id, start, start + length(hit) FROM segments WHERE length(hit) > 0 AND ({_HARMLESS})),
+free AS (SELECT r.doc_id, r.start, is_hex, p FROM (SELECT doc_id, start, is_hex, unnest(range(start, stop)) AS p FROM runs) r
+  WHERE NOT EXISTS (SELECT 1 FROM cover c WHERE c.doc_id = r.doc_id AND c.start <= p AND p < c.stop)),
+pieces AS (SELECT doc_id, is_hex, min(p) AS start, max(p) + 1 AS stop FROM (SELECT *, p - row_number() OVER (PARTITION BY doc_id, start ORDER BY p) AS island FROM free) x GROUP BY doc_id, start, is_hex, island),
+added AS (SELECT p.doc_id, start, stop, CASE WHEN is_hex THEN 3 ELSE 4 END AS rank, CASE WHEN is_hex THEN 'entropy_hex' ELSE 'entropy_base64' END AS kind
+  FROM pieces p JOIN d ON d.doc_id = p.doc_id WHERE stop - start >= {secret_scan.LEAST} AND {_LETTER_AND_DIGIT.format('substr(t, start + 1, stop - start)')}),
 own AS (SELECT doc_id, count(*) FILTER (WHERE rank = 0) AS n_assign, count(*) FILTER (WHERE rank = 1) AS n_access, count(*) FILTER (WHERE rank = 2) AS n_hex,
   string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans FROM base GROUP BY doc_id),
 every AS (SELECT doc_id, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank, stop) AS spans FROM (SELECT * FROM base UNION ALL SELECT * FROM added) x GROUP BY doc_id)

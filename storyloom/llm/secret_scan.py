@@ -4,7 +4,9 @@ Base kinds are patterns, each taken leftmost without overlap: a named assignment
 hex run.  The method adds spans: candidate strings are runs of the key alphabet; a window slides over
 each, its Shannon entropy kept by incremental counts (one character comes in, one goes out, and only
 their two terms of the sum change); stretches of windows above the threshold of the candidate's
-character class become spans, unless an allow-list pattern or a base span covers the place.
+character class are runs.  From a run go the places of base spans, and the segments of the candidate
+(between slashes and equals signs) that the allow-list knows as harmless; what is left is a span if it has
+a letter, a digit and ``LEAST`` characters.  So neither a key beside a secret nor a harmless word before it hides it.
 
 Positions are code points, ends exclusive.  A match's place is the length of what lies before it: the
 text split at the pattern gives the gaps, the pattern's matches what lies between them.
@@ -29,14 +31,17 @@ CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
 #: Bits a window must reach, by the candidate's character class.
 BITS = {"hex": 3.2, "base64": 3.8}
-# What is known to be harmless, as patterns found in a candidate.
+#: Characters that what is left of a run must have.
+LEAST = 8
+SEGMENT = "[^/=]+"
+_WORD = "(?:[a-z]+|[A-Z][a-z]+|[A-Z]+|[0-9]{1,4})"
+# What is known to be harmless, as patterns found in a segment.
 ALLOWED = (
-    "^[^0-9]*$",  # no digit: words, paths and slugs
     "^[^A-Za-z]*$",  # no letter: numbers, rules and dates
     "(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",  # UUID
     "(?i)example|placeholder|changeme|dummy|x{6}",
     "(?i)0123456789|abcdefghij",
-    r"^(?:[A-Za-z]+|[0-9]{1,4})(?:[-_/=+](?:[A-Za-z]+|[0-9]{1,4}))+$",  # words and short numbers with separators
+    f"^{_WORD}(?:[-_+]{_WORD})*$",  # words and short numbers with separators
 )
 MARK = "[SECRET]"
 
@@ -47,11 +52,11 @@ def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _found(pattern: str) -> str:
-    """SQL for the places of a pattern in ``t``: structs of start, stop (code points) and hit."""
+def _found(pattern: str, t: str = "t") -> str:
+    """SQL for the places of a pattern in a text: structs of start, stop (code points) and hit."""
     p = _quoted(pattern)
-    return f"""CASE WHEN t RLIKE {p} THEN aggregate(
-        zip_with(slice(split(t, {p}, -1), 1, size(regexp_extract_all(t, {p}, 0))), regexp_extract_all(t, {p}, 0), (g, h) -> struct(length(g) AS gap, h AS hit)),
+    return f"""CASE WHEN {t} RLIKE {p} THEN aggregate(
+        zip_with(slice(split({t}, {p}, -1), 1, size(regexp_extract_all({t}, {p}, 0))), regexp_extract_all({t}, {p}, 0), (g, h) -> struct(length(g) AS gap, h AS hit)),
         struct(0 AS at, CAST(array() AS array<struct<start:int,stop:int,hit:string>>) AS done),
         (a, x) -> struct(a.at + x.gap + length(x.hit) AS at,
                          concat(a.done, array(struct(a.at + x.gap AS start, a.at + x.gap + length(x.hit) AS stop, x.hit AS hit))) AS done),
@@ -85,7 +90,7 @@ def _runs(chars: str, bits: str) -> str:
 
 
 def _entropy_spans() -> str:
-    """SQL for the method's spans over ``candidates``, before those on base spans go."""
+    """SQL for the runs over ``candidates``, as spans."""
     is_hex = "c.hit RLIKE '^[0-9A-Fa-f]+$'"
     bits = f"IF({is_hex}, {BITS['hex']}D, {BITS['base64']}D)"
     runs = _runs("regexp_extract_all(c.hit, '.', 0)", bits)
@@ -98,19 +103,36 @@ def spans(docs: DataFrame, keep: list[str]) -> DataFrame:
 
     A span is a struct of start, rank (place of its kind in ``KINDS``) and stop.
     """
-    allowed = " OR ".join(f"c.hit RLIKE {_quoted(p)}" for p in ALLOWED)
     found = docs.select(*[F.col(c) for c in keep], F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t")).selectExpr(
         "*",
         _ranked(f"filter({_found(ASSIGN)}, x -> length(regexp_extract(x.hit, {_quoted(ASSIGN)}, 1)) >= 6)", "0") + " AS assign",
         _ranked(_found(ACCESS), "1") + " AS access",
         _ranked(_found(HEX), "2") + " AS hex",
-        f"filter({_found(CANDIDATE)}, c -> NOT ({allowed})) AS candidates",
+        f"filter({_found(CANDIDATE)}, c -> c.hit RLIKE '[0-9]' AND c.hit RLIKE '[A-Za-z]') AS candidates",
     )
     based = found.selectExpr("* EXCEPT (assign, access, hex)", f"array_sort(CAST(concat(assign, access, hex) AS {_SPAN})) AS base")
-    more = based.selectExpr("* EXCEPT (candidates)", f"filter({_entropy_spans()}, s -> NOT exists(base, b -> b.start < s.stop AND s.start < b.stop)) AS added")
+    covered = based.selectExpr("* EXCEPT (candidates)", f"{_entropy_spans()} AS runs", f"array_sort(concat(transform(base, b -> struct(b.start AS start, b.stop AS stop)), {_harmless()})) AS cover")
+    more = covered.selectExpr("* EXCEPT (runs, cover)", f"""filter(flatten(transform(runs, r -> {_left_of('r')})),
+        s -> s.stop - s.start >= {LEAST} AND substr(t, s.start + 1, s.stop - s.start) RLIKE '[0-9]' AND substr(t, s.start + 1, s.stop - s.start) RLIKE '[A-Za-z]') AS added""")
     return more.selectExpr("* EXCEPT (added)", f"array_sort(CAST(concat(base, added) AS {_SPAN})) AS every")
 
 
+def _harmless() -> str:
+    """SQL for the places of the harmless segments of ``candidates``."""
+    allowed = " OR ".join(f"s.hit RLIKE {_quoted(p)}" for p in ALLOWED)
+    return f"""flatten(transform(candidates, c -> transform(filter({_found(SEGMENT, 'c.hit')}, s -> {allowed}),
+        s -> struct(c.start + s.start AS start, c.start + s.stop AS stop))))"""
+
+
+def _left_of(r: str) -> str:
+    """SQL for the pieces of a run outside ``cover``, which is sorted."""
+    piece = lambda start, stop: f"array(struct({start} AS start, {r}.rank AS rank, {stop} AS stop))"
+    return f"""aggregate(filter(cover, b -> b.start < {r}.stop AND {r}.start < b.stop),
+        struct({r}.start AS at, CAST(array() AS {_SPAN}) AS done),
+        (a, b) -> struct(greatest(a.at, b.stop) AS at, IF(b.start > a.at, concat(a.done, {piece('a.at', 'b.start')}), a.done) AS done),
+        a -> IF(a.at < {r}.stop, concat(a.done, {piece('a.at', r + '.stop')}), a.done))"""
+
+
 def _joined(name: str) -> str:
     kinds = "array(" + ", ".join(f"'{k}'" for k in KINDS) + ")"
     return f"array_join(transform({name}, s -> concat_ws(':', {kinds}[s.rank], s.start, s.stop)), ',')"
