@@ -8,14 +8,16 @@ words cost nothing and no two kept words share a weight by a small table.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from storyloom.llm.common import mapped_texts
+from storyloom.llm.common import mapped_texts, written
 
 _WORDS = re.compile(r"\w+")
 _SYMBOLS = "#*$%&|<>!"
@@ -162,3 +164,49 @@ def sample_keys(docs: DataFrame, chosen: DataFrame, bound: int, beginnings: tupl
 
     found = mapped_texts(texts, ["label"], {"keys": T.BinaryType()}, start).limit(2 * bound)
     return [(r.label, np.frombuffer(r["keys"], np.uint32)) for r in found.toLocalIterator()]
+
+
+def _key_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many of a task's texts have each key, by label."""
+    own: dict[int, list[np.ndarray]] = {0: [], 1: []}
+    for batch in batches:
+        for label, keys in zip(batch.column("label").to_pylist(), batch.column("keys"), strict=True):
+            own[label].append(np.frombuffer(keys.as_buffer(), np.uint32))
+    for label, parts in own.items():
+        keys, n = np.unique(np.concatenate([*parts, np.zeros(0, np.uint32)]), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array([label] * len(keys), pa.int32()), pa.array(n.astype(np.int64))], names=["key", "label", "n"])
+
+
+def telling_sample(docs: DataFrame, chosen: DataFrame, bound: int, least_z: float, min_texts: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Keys that tell two classes of sampled documents apart, and of each text of class 1 and class 0 those of them that it has.
+
+    ``chosen`` has at most ``bound`` rows of doc_id and a label, 0 or 1; of a doc_id with several texts one
+    counts, that of the least keys.  Keys are counted by class in Spark; what reaches the driver is the telling
+    keys, and their places for at most ``bound`` texts, however long these are.
+    """
+    texts = docs.join(F.broadcast(chosen.limit(bound)), "doc_id").select("doc_id", "label", "text")
+
+    def start():
+        return lambda texts: ((keys_of(t).tobytes(),) for t in texts)
+
+    found = mapped_texts(texts, ["doc_id", "label"], {"keys": T.BinaryType()}, start)
+    rows = written(found.groupBy("doc_id", "label").agg(F.min("keys").alias("keys")))
+    size = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    n1, n0 = size.get(1, 0), size.get(0, 0)
+    if not n1 or not n0:
+        return np.zeros(0, np.uint32), [np.zeros(0, np.uint32)] * n1, [np.zeros(0, np.uint32)] * n0
+    one = lambda label: F.sum(F.when(F.col("label") == label, F.col("n")).otherwise(0))
+    counts = rows.select("label", "keys").mapInArrow(_key_counts, "key long, label int, n long").groupBy("key").agg(one(1).alias("a"), one(0).alias("b"))
+    share = (F.col("a") + F.col("b")) / (n1 + n0)
+    error = F.sqrt(F.greatest(share * (1 - share), F.lit(1e-9)) * (1 / n1 + 1 / n0))
+    telling = counts.where(F.col("a") + F.col("b") >= min_texts).where(F.abs(F.col("a") / n1 - F.col("b") / n0) >= least_z * error)
+    kept = np.sort(np.array([r.key for r in telling.select("key").toLocalIterator()], np.uint32))
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = [np.intersect1d(np.frombuffer(k.as_buffer(), np.uint32), kept, assume_unique=True).tobytes() for k in batch.column("keys")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(cells, pa.binary())], names=["doc_id", "label", "keys"])
+
+    told = sorted(((r.label, r.doc_id, r["keys"]) for r in rows.mapInArrow(placed, rows.schema).toLocalIterator()), key=lambda r: r[:2])
+    own = lambda want: [np.frombuffer(keys, np.uint32) for label, _, keys in told if label == want]
+    return kept, own(1), own(0)

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from storyloom.llm import mixing, near_copies, quality_rules
-from storyloom.llm.common import read_table
+from storyloom.llm.common import read_table, written
 
 MIDDLE = "/root/testdata/sf0.01"
 
@@ -34,9 +34,9 @@ def test_a_short_domain_and_a_miss_are_reported(spark):
 @pytest.mark.filterwarnings("ignore:mixing")
 def test_clean_documents_stay_after_near_dedup(spark):
     docs, labels = (read_table(spark, MIDDLE, name) for name in ("documents", "labels"))
-    entering = near_copies.keep_first(quality_rules.keep_good(docs)).localCheckpoint()
+    entering = written(near_copies.keep_first(quality_rules.keep_good(docs)))
     clean = entering.join(labels.where("quality = 1 and toxic = 0"), "doc_id").select("doc_id")
-    out = mixing.drawn(entering, labels).select("doc_id").localCheckpoint()
+    out = written(mixing.drawn(entering, labels).select("doc_id"))
     assert out.join(clean, "doc_id", "left_semi").count() > 0.95 * clean.count() > 0
     members = mixing.posteriors(entering, ["doc_id"], mixing.learn(entering, labels)).join(out, "doc_id", "left_semi")
     words = members.agg(*[F.sum(F.col("n_words") * F.element_at("posterior", d + 1)) for d in range(3)]).first()

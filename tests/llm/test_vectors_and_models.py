@@ -1,5 +1,6 @@
 """Nearest neighbours (2), mixing (3), toxicity (4), quality (10), the pipeline."""
 
+import math
 import zlib
 
 import duckdb
@@ -8,10 +9,11 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from storyloom.llm import bpe, line_crf, mixing, neighbours, quality_rules, secret_scan, simhash, toxicity
+from storyloom.llm import bpe, line_crf, mixing, neighbours, quality_rules, secret_scan, toxicity
 from storyloom.llm.common import read_table
-from storyloom.llm.features import Rows, Weights, keys_of, telling_keys
+from storyloom.llm.features import Rows, Weights, keys_of, telling_keys, telling_sample
 from tests.llm.conftest import SMALL
+from tests.llm.test_similarity_join import plain_classes
 
 
 def brute(rows, every=100, k=10):
@@ -136,19 +138,49 @@ def test_corrected_risk_finds_the_words_of_positives():
     assert np.mean([model.scores(text(False))[0] >= 0 for _ in range(100)]) < 0.05
 
 
+def test_risk_and_its_slope_are_the_written_out_ones():
+    rng = np.random.default_rng(8)
+    score, is_p, prior = rng.normal(size=30) * 2, np.arange(30) < 9, 0.3
+
+    def parts(s):
+        loss = lambda x, y: math.log(1 + math.exp(-x if y else x))
+        mean = lambda rows, y: sum(loss(x, y) for x in rows) / len(rows)
+        return prior * mean(s[:9], True), mean(s[9:], False) - prior * mean(s[:9], False)
+
+    positive, corrected, up, down = toxicity.risk(score, is_p, prior)
+    assert np.allclose((positive, corrected), parts(score))
+    for k in range(30):
+        step = np.zeros(30)
+        step[k] = 1e-6
+        more, less = parts(score + step), parts(score - step)
+        assert np.allclose([up[k], down[k]], [(a - b) / 2e-6 for a, b in zip(more, less)], atol=1e-7)
+
+
+def test_keys_counted_in_spark_are_the_telling_ones(spark, small):
+    docs, labels = small("documents"), small("labels")
+    chosen = labels.where("toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("label"))
+    kept, one, zero = telling_sample(docs.unionByName(docs), chosen, 1000, 2.0, 3)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    groups = [[keys_of(texts[r.doc_id]) for r in sorted(chosen.collect()) if r.label == want] for want in (1, 0)]
+    want = telling_keys(groups, 2.0, 3)
+    assert len(want) and kept.tolist() == want.tolist()
+    for got, group in zip((one, zero), groups, strict=True):
+        assert [g.tolist() for g in got] == [np.intersect1d(keys, want).tolist() for keys in group]
+
+
 def area(score, truth):
     order = np.argsort(np.argsort(score, kind="stable")) + 1
     n = truth.sum()
     return (order[truth == 1].sum() - n * (n + 1) / 2) / (n * (len(truth) - n))
 
 
-@pytest.mark.parametrize(("operator", "column", "folds", "which", "least"), [(toxicity.op4, "toxic", 5, 0, 0.9), (line_crf.op10, "quality", 3, 1, 0.97)])
-def test_scores(operator, column, folds, which, least, spark, edges, edge_labels, nothing):
-    docs, labels = (read_table(spark, "/root/testdata/sf0.01", t) for t in ("documents", "labels"))
+@pytest.mark.parametrize(("operator", "column", "folds", "which", "size", "least"), [(toxicity.op4, "toxic", 5, 0, "sf0.1", 0.94), (line_crf.op10, "quality", 3, 1, "sf0.01", 0.97)])
+def test_scores(operator, column, folds, which, size, least, spark, edges, edge_labels, nothing):
+    docs, labels = (read_table(spark, f"/root/testdata/{size}", t) for t in ("documents", "labels"))
     got = operator(docs, labels).toPandas()
     assert (got.held_out == [zlib.crc32(str(i).encode()) % folds == which for i in got.doc_id]).all()
     assert got.score.between(0, 1).all() and (got.predicted == (got.score >= 0.5)).all() and len(got) == docs.count()
-    told = got.merge(labels.toPandas(), on="doc_id")
+    told = got[got.held_out].merge(labels.toPandas(), on="doc_id")
     assert area(told.score.to_numpy(), told[column].to_numpy()) > least
     for teachers in (edge_labels, edge_labels.where("false")):
         rows = operator(edges, teachers).collect()
@@ -179,7 +211,7 @@ def test_run_applies_the_stages(spark, small):
     """The pipeline's rows are those of its stages' rules applied one after another."""
     docs = small("documents")
     kept = [r for r in docs.collect() if not any(rule.rejects(quality_rules.View(r.text)) for rule in quality_rules.RULES)]
-    groups = {r.doc_id: r.component_id for r in simhash.op7(spark.createDataFrame(kept, docs.schema)).collect()}
+    groups = {doc_id: least for doc_id, _, least in plain_classes([(r.doc_id, r.text) for r in kept], 5, 80)}
     firsts = spark.createDataFrame([r for r in kept if groups[r.doc_id] == r.doc_id], docs.schema)
     clean = secret_scan.redacted(firsts)
     drawn = {r.doc_id: r.text for r in mixing.drawn(clean, small("labels")).collect()}
