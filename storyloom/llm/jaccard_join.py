@@ -14,7 +14,7 @@ the smaller l.  Nothing is left to chance: every link is found, and no bound on
    Each set lengthens its prefix to the l of least estimated cost: the lists it stands on are read
    (the sum of their lengths), and of those met at least l times, at most that sum over l, each is verified.
 4. Classes, not pairs.  The members of a list first meet one head each, of all the heads on their lists
-   that which leads most of them; a head is the member with the most common shingles, so the original of
+   that which leads most places; a head is the member with the most common shingles, so the original of
    a group of edited copies.  What links contracts, and lists within one class close.
 5. Let x and y have been compared with one head h, and lack dx and dy of its shingles.  At most
    |h| - max(dx, dy) of h are common to both, so if that is too few for their sizes, they link only if they
@@ -59,8 +59,8 @@ class Setting(NamedTuple):
         return (self.percent * n + 99) // 100 if isinstance(n, int) else F.ceil(self.percent * n / 100)
 
     def lead_matches(self, n: int) -> int:
-        """Matches asked for in the lead of a set of n; it grows with n, and never beyond what is shared."""
-        return 1 + (100 - self.percent) * n // 100 if n > 1 else n
+        """Matches asked for in the lead of a set of n: a tenth of it, and never beyond what is shared."""
+        return 1 + n // 10 if n > 1 else n
 
     def lead_length(self, n: int) -> int:
         return n - self.least_shared(n) + min(self.lead_matches(n), self.least_shared(n)) if n else 0
@@ -97,16 +97,11 @@ def _common(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
 
 
-def led(rows: DataFrame) -> DataFrame:
-    """The rows whose set shares enough of its lead with other sets to have a link, without the lead.
-
-    A shingle is common if the least and the greatest mark of the sets that hold it differ, so copies of
-    one set, which have one mark, don't make each other's shingles common.
-    """
-    tokens = rows.select("r", F.xxhash64("set_id").alias("mark"), F.explode("lead").alias("token"))
-    common = tokens.groupBy("token").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("low <> high").select("token")
-    hits = tokens.join(common, "token", "left_semi").groupBy("r").agg(F.count("*").alias("hits"))
-    return rows.drop("lead").join(hits, "r").where("hits >= needed").drop("hits", "needed")
+def led(vertices: DataFrame) -> DataFrame:
+    """Vertices that share enough of their lead with others to have a link, without the lead."""
+    tokens = vertices.select("v", F.explode("lead").alias("token"))
+    hits = tokens.join(_common(tokens), "token").groupBy("v").agg(F.count("*").alias("hits"))
+    return vertices.drop("lead").join(hits, "v").where("hits >= needed").drop("hits", "needed")
 
 
 def whole_sets(docs: DataFrame, vertices: DataFrame, size: int) -> DataFrame:
@@ -118,16 +113,19 @@ def whole_sets(docs: DataFrame, vertices: DataFrame, size: int) -> DataFrame:
     wanted = vertices.select("v", "n", F.col("first.doc_id").alias("__doc"), F.col("first.text_hash").alias("__hash"))
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("text_hash") == F.col("__hash"))).select("v", "n", "text")
-    sets = mapped_texts(texts, ["v", "n"], {"own": T.ArrayType(T.LongType())}, start)
-    return sets.groupBy("v").agg(F.first("n").alias("n"), F.first("own").alias("own"))
+    sets = written(mapped_texts(texts, ["v", "n"], {"own": T.ArrayType(T.LongType())}, start))
+    # Rows that are alike in id and text give a set more than once; else nothing needs to move.
+    if sets.count() > sets.agg(F.count_distinct("v")).first()[0]:
+        sets = written(sets.groupBy("v").agg(F.first("n").alias("n"), F.first("own").alias("own")))
+    return sets
 
 
 def prefixes(sets: DataFrame, setting: Setting) -> DataFrame:
     """Sets that can have a link: ``v``, ``n``, their ``m`` ``shared`` shingles, rarest first, matches ``l`` to ask for,
     ``prefix`` (the shared part of it), and ``common``, how many sets hold a shingle of it on average."""
-    tokens = sets.select("v", "n", F.explode("own").alias("token"))
-    known = tokens.join(_common(tokens), "token").groupBy("v", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("x"))
-    able = known.select("v", "n", "x", F.size("x").cast("long").alias("m"), setting.least_shared(F.col("n")).alias("t")).where("m >= t")
+    tokens = sets.select("v", F.explode("own").alias("token"))
+    known = tokens.join(_common(tokens), "token").groupBy("v").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("x"))
+    able = known.join(sets.select("v", "n"), "v").select("v", "n", "x", F.size("x").cast("long").alias("m"), setting.least_shared(F.col("n")).alias("t")).where("m >= t")
     cost = f"""array_min(transform(sequence(1L, least(t, {MOST_MATCHES}L)), l -> struct(
         aggregate(slice(x, 1, CAST(m - t + l AS int)), 0D, (a, e) -> a + e.df - 1) * (1 + n / l) AS cost, l AS l))).l"""
     chosen = able.withColumn("l", F.expr(cost))
@@ -156,11 +154,13 @@ def _open(lists: DataFrame, *key: str) -> DataFrame:
 
 
 def _stars(lists: DataFrame, setting: Setting, *key: str) -> DataFrame:
-    """One pair for a member: ``b``, and as ``a`` that head of its lists which leads most of them; classes differ."""
+    """One pair for a member: ``b``, and as ``a`` that head of its lists which leads most places of all; classes differ."""
     heads = lists.groupBy(*key).agg(F.max_by(F.struct("v", "n", "m", "root"), F.struct("common", -F.col("v"))).alias("top"))
     met = lists.join(heads, list(key)).where("root <> top.root").where(_reaches(setting, F.least("m", "top.m"), "n", "top.n"))
-    counted = met.groupBy("v", F.col("top.v").alias("a")).agg(F.count("*").alias("times"))
-    return written(counted.groupBy(F.col("v").alias("b")).agg(F.max_by("a", F.struct("times", -F.col("a"))).alias("a")).select("a", "b"))
+    counted = written(met.groupBy("v", F.col("top.v").alias("a")).agg(F.count("*").alias("times")))
+    led = counted.groupBy("a").agg(F.sum("times").alias("places"))
+    best = counted.join(led, "a").groupBy(F.col("v").alias("b")).agg(F.max_by("a", F.struct("places", -F.col("a"))).alias("a"))
+    return written(best.select("a", "b"))
 
 
 def _sides(lists: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
@@ -177,11 +177,10 @@ def classes(prefixed: DataFrame, setting: Setting) -> DataFrame:
     linked = against.where(_reaches(setting, F.col("overlap"), "na", "nb"))
     roots = _merged(roots, linked.select("a", "b"))
 
-    # Every vertex under one head: that which it was compared with, or itself where it is a head or has none.
-    own = against.select(F.col("a").alias("v")).distinct()
-    under = against.select(F.col("b").alias("v"), F.col("a").alias("head"), F.col("na").alias("head_n"), "overlap").join(own, "v", "left_anti")
+    # Every vertex under one head: that which it was compared with, or itself where it was compared with none.
+    under = against.select(F.col("b").alias("v"), F.col("a").alias("head"), "overlap")
     known = prefixed.select("v", "n", "m", "l", "common").join(roots, "v").join(under, "v", "left")
-    known = written(known.select("v", "n", "m", "l", "common", "root", F.coalesce("head", "v").alias("head"), F.coalesce("head_n", "n").alias("head_n"), F.coalesce("overlap", "n").alias("overlap")))
+    known = written(known.select("v", "n", "m", "l", "common", "root", F.coalesce("head", "v").alias("head"), F.coalesce("overlap", "n").alias("overlap")))
 
     more = against.select(F.col("b").alias("v"), F.explode("extras").alias("token")).join(known, "v").where("v <> head")
     more = written(_open(more, "head", "token"))
@@ -196,15 +195,19 @@ def classes(prefixed: DataFrame, setting: Setting) -> DataFrame:
     a, b = _sides(_open(more, "head", "token"), "head", "token", "v", "n", "m", "root")
     sharing = a.join(b, ["head", "token"]).where(apart & enough).select(F.col("va").alias("a"), F.col("vb").alias("b"))
 
-    lists = written(_open(prefixed.select(F.explode("prefix").alias("token"), "v").join(known.drop("common"), "v"), "token"))
-    least = lists.groupBy("token", "head").agg(F.min("n").alias("least"))
-    within = lists.join(least, ["token", "head"]).where(_reaches(setting, F.col("overlap"), "n", "least")).drop("least")
+    lists = prefixed.select(F.explode("prefix").alias("token"), "v").join(known.drop("common"), "v")
+    lists = _open(lists, "token")
+    smallest = lists.groupBy("token").agg(F.min("n").alias("least"))
+    lists = written(lists.join(smallest, "token").where(_reaches(setting, F.col("m"), "n", "least")).drop("least"))
+    parts = written(lists.groupBy("token", "head").agg(F.min("n").alias("least"), F.max("m").alias("most")))
+    within = lists.join(parts, ["token", "head"]).where(_reaches(setting, F.col("overlap"), "n", "least")).drop("least", "most")
     a, b = _sides(_open(within, "token", "head"), "token", "head", "v", "n", "m", "l", "root", "overlap")
     within = a.join(b, ["token", "head"]).where(apart & enough & _reaches(setting, F.least("overlapa", "overlapb"), "na", "nb"))
 
-    heads = least.select("token", F.col("head").alias("to"))
     a, b = _sides(lists, "token", "head", "v", "n", "m", "l", "root")
-    between = a.withColumnRenamed("head", "from").join(heads, "token").where(F.col("from") != F.col("to")).withColumnRenamed("to", "head").drop("from").join(b, ["token", "head"]).where(apart & enough)
+    other = parts.withColumnRenamed("head", "to")
+    over = a.join(other, "token").where(F.col("head") != F.col("to")).where(_reaches(setting, F.least("ma", "most"), "na", "least"))
+    between = over.drop("head", "least", "most").withColumnRenamed("to", "head").join(b, ["token", "head"]).where(apart & enough)
     pair = ["va", "vb", "la", "lb"]
     often = within.select(*pair).unionByName(between.select(*pair)).groupBy(F.col("va").alias("a"), F.col("vb").alias("b")).agg(F.count("*").alias("times"), F.first(F.least("la", "lb")).alias("l"))
     pairs = often.where("times >= l").select("a", "b").unionByName(sharing).distinct()
@@ -232,10 +235,11 @@ def groups(docs: DataFrame, setting: Setting = Setting()) -> DataFrame:
     keep = ["doc_id", "text_hash"]
     sketched = sketches(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), keep, setting)
     rows = written(sketched.withColumn("r", F.monotonically_increasing_id()))
-    able = led(rows.where("n > 0").select("r", *keep, "set_id", "n", "lead", "needed"))
-    merged = able.groupBy("set_id").agg(F.first("n").alias("n"), F.min(F.struct("doc_id", "text_hash")).alias("first"), F.min("r").alias("v"))
-    vertices = written(merged)
-    sets = written(whole_sets(docs, vertices, setting.size))
+    first = rows.where("n > 0").groupBy("set_id").agg(F.min(F.struct("doc_id", "text_hash", "r")).alias("first"))
+    firsts = written(first.select("set_id", F.col("first.r").alias("v"), "first"))
+    vertices = firsts.join(rows.select(F.col("r").alias("v"), "n", "lead", "needed"), "v")
+    vertices = written(led(vertices))
+    sets = whole_sets(docs, vertices, setting.size)
     roots = classes(written(prefixes(sets, setting)), setting)
     named = vertices.select("set_id", "v").join(roots, "v").select("set_id", F.col("root").alias("named"))
     # A set without a link is a class of its own, by its own name.
