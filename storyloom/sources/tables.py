@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import uuid
+from typing import NamedTuple
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,36 +62,85 @@ def read_if_there(spark: SparkSession, schema: T.StructType | str, path: str, ki
         raise
 
 
-def _published(spark: SparkSession, base: str) -> tuple[int, dict[str, str]]:
-    """Number of the newest record and the current version of every table."""
+class StoreConflict(RuntimeError):
+    """Another job has published a table since this one read it."""
+
+
+class Published(NamedTuple):
+    """The newest record's number, and of every table its current version and the number it was published by."""
+
+    number: int
+    versions: dict[str, str]
+    since: dict[str, int]
+
+
+def published(spark: SparkSession, base: str) -> Published:
     records = read_if_there(spark, _RECORD, f"{base}/{POINTER}", "json")
     if records is None:
-        return 0, {}
+        return Published(0, {}, {})
     current = records.groupBy("table").agg(F.max("number").alias("number"), F.max_by("version", "number").alias("version")).collect()
-    return max((r.number for r in current), default=0), {r.table: r.version for r in current}
+    return Published(max((r.number for r in current), default=0), {r.table: r.version for r in current}, {r.table: r.number for r in current})
+
+
+def create_file(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file whole, or leave the one that is there: whether it was written.
+
+    The text goes to a hidden file first, which then takes the name in one step that fails where the name is
+    taken: a hard link on a local disk, elsewhere the file system's rename without overwriting.
+    """
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    fs_api = jvm.org.apache.hadoop.fs
+    target = fs_api.Path(path)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    fs = target.getFileSystem(conf)
+    target = fs.makeQualified(target)
+    draft = fs_api.Path(target.getParent(), f".draft-{uuid.uuid4().hex}")
+    out = fs.create(draft, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    try:
+        if target.toUri().getScheme() == "file":
+            local = lambda p: jvm.java.nio.file.Paths.get(p.toUri().getPath(), gateway.new_array(jvm.java.lang.String, 0))
+            jvm.java.nio.file.Files.createLink(local(target), local(draft))
+        else:
+            kind = getattr(fs_api, "Options$Rename")
+            how = gateway.new_array(kind, 1)
+            how[0] = kind.valueOf("NONE")
+            fs_api.FileContext.getFileContext(target.toUri(), conf).rename(draft, target, how)
+        return True
+    except Py4JJavaError as error:
+        if "FileAlreadyExists" in error.java_exception.getClass().getName():
+            return False
+        raise
+    finally:
+        fs.delete(draft, False)
 
 
-def write_snapshots(frames: dict[str, DataFrame], base: str, version: str | None = None, files_by: list[str] | None = None, parent: int | None = None) -> int:
+def write_snapshots(
+    frames: dict[str, DataFrame], base: str, version: str | None = None, files_by: list[str] | None = None, parent: int | None = None, reads: list[str] | None = None
+) -> int:
     """Write new versions of tables, then publish all of them by one record.
 
-    Readers keep the versions they resolved; a job that dies before the record
-    leaves the old versions of all tables current.  Records are numbered, so no
-    clock decides what is newest.  With ``parent``, the number the job read
-    from, the write is refused when another job has published since.  A retry
-    under the same version name replaces its own half-written files.
+    Readers keep the versions they resolved; a job that dies before the record leaves the old versions of
+    all tables current.  A record's file bears its number and is only created where there is none, so of
+    two jobs that publish at once one takes the number and the other looks again.  With ``parent``, the
+    number the job read from, publishing is refused (``StoreConflict``) when one of the tables it writes or
+    ``reads`` was published since; changes of other tables are no conflict.  A retry under the same version
+    name replaces its own half-written files.
     """
     spark = next(iter(frames.values())).sparkSession
     version = version or uuid.uuid4().hex
     for table, df in frames.items():
         rows = df.repartition(*[F.col(c) for c in files_by]) if files_by else df
         rows.write.mode("overwrite").parquet(f"{base}/{table}/version={version}")
-    newest, _ = _published(spark, base)
-    if parent is not None and newest != parent:
-        raise RuntimeError(f"the store was published as {newest} since this job read {parent}")
-    names = F.explode(F.array(*[F.lit(name) for name in frames]))
-    record = spark.range(1).select(F.lit(newest + 1).cast("long").alias("number"), names.alias("table"), F.lit(version).alias("version"))
-    record.coalesce(1).write.mode("append").json(f"{base}/{POINTER}")
-    return newest + 1
+    while True:
+        now = published(spark, base)
+        changed = [t for t in {*frames, *(reads or [])} if parent is not None and now.since.get(t, 0) > parent]
+        if changed:
+            raise StoreConflict(f"the store was published as {now.number} since this job read {parent}: {', '.join(sorted(changed))}")
+        lines = [json.dumps({"number": now.number + 1, "table": name, "version": version}) for name in frames]
+        if create_file(spark, f"{base}/{POINTER}/{now.number + 1:012d}.json", "\n".join(lines) + "\n"):
+            return now.number + 1
 
 
 def write_snapshot(df: DataFrame, base: str, table: str, version: str | None = None, files_by: list[str] | None = None, parent: int | None = None) -> int:
@@ -98,7 +150,7 @@ def write_snapshot(df: DataFrame, base: str, table: str, version: str | None = N
 
 def store_number(spark: SparkSession, base: str) -> int:
     """Number of the newest record, to be given as ``parent``."""
-    return _published(spark, base)[0]
+    return published(spark, base).number
 
 
 def load_tables(spark: SparkSession, base: str, names: list[str] | None = None) -> dict[str, DataFrame]:
@@ -106,7 +158,7 @@ def load_tables(spark: SparkSession, base: str, names: list[str] | None = None)
 
     A table whose versions lie there without a record is an error, not an empty table.
     """
-    _, versions = _published(spark, base)
+    versions = published(spark, base).versions
     loaded = {}
     for name in names or list(schemas.TABLES):
         if name in versions:
