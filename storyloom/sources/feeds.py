@@ -44,7 +44,28 @@ def _entry_columns() -> list:
     return ["title", F.coalesce(link["_href"], link["_VALUE"]).alias("link"), dated.alias("published"), "updated", "summary", F.lit(None).cast("string").alias("description"), F.col("content").alias("content_value")]
 
 
-_SHAPES = (("item", ITEM, _item_columns), ("entry", ENTRY, _entry_columns))
+#: A whole document, whatever its root: items lie in it or in its channel, Atom entries in it.
+_DOCUMENT = T.StructType([
+    T.StructField("item", T.ArrayType(ITEM)), T.StructField("channel", T.StructType([T.StructField("item", T.ArrayType(ITEM))])),
+    T.StructField("entry", T.ArrayType(ENTRY)),
+])
+#: Bits of an entry's place in its document, in the running number of a stream.
+PLACE_BITS = 20
+
+
+def _entries(reader, path: str) -> DataFrame:
+    """Entries of landed documents, each with its document's path and time and its ``place`` in it, from 0.
+
+    A document is read and parsed whole, so places depend on nothing but the document.  One that can't be parsed
+    to its end gives what it has up to there, or nothing.
+    """
+    lines = reader.format("text").option("wholetext", True).schema(T.StructType([T.StructField("value", _TEXT), _FEED])).load(path)
+    documents = lines.select("feed_id", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_modification_time").alias("_time"), F.from_xml("value", _DOCUMENT).alias("d"))
+    kept = ["feed_id", "_file", "_time", "place"]
+    items = F.coalesce("d.item", "d.channel.item")
+    rss = documents.select("feed_id", "_file", "_time", F.posexplode(items).alias("place", "e")).select(*kept, "e.*").select(*kept, *_item_columns())
+    atom = documents.select("feed_id", "_file", "_time", F.posexplode("d.entry").alias("place", "e")).select(*kept, "e.*").select(*kept, *_entry_columns())
+    return rss.unionByName(atom)
 
 
 def _as_entries(rows: DataFrame) -> DataFrame:
@@ -57,21 +78,13 @@ def read_feed_entries(spark: SparkSession, path: str) -> DataFrame:
     """Entries of landed RSS, RDF and Atom documents.
 
     ``pos`` counts a feed's entries by the documents' time, then path, then
-    place in the document; it depends on the landed files alone.  A document is
-    far smaller than one input split, so running ids keep the order of its items.
+    place in the document; it depends on the landed files alone.
     """
-    found = None
-    for tag, shape, columns in _SHAPES:
-        items = spark.read.format("xml").option("rowTag", tag).schema(T.StructType([*shape.fields, _FEED])).load(path)
-        rows = items.select(
-            "feed_id", *columns(), F.monotonically_increasing_id().alias("_id"),
-            F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_modification_time").alias("_time"),
-        )
-        found = rows if found is None else found.unionByName(rows)
-    files = found.groupBy("feed_id", "_file").agg(F.min("_time").alias("_time"), F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    found = _entries(spark.read, path)
+    files = found.groupBy("feed_id", "_file").agg(F.min("_time").alias("_time"), F.count("*").alias("_n"))
     earlier = F.sum("_n").over(Window.partitionBy("feed_id").orderBy("_time", "_file")) - F.col("_n")
-    starts = files.select("_file", "_first", earlier.alias("_earlier"))
-    return _as_entries(found.join(starts, "_file").withColumn("pos", F.col("_earlier") + F.col("_id") - F.col("_first")))
+    starts = files.select("_file", earlier.alias("_earlier"))
+    return _as_entries(found.join(starts, "_file").withColumn("pos", F.col("_earlier") + F.col("place")))
 
 
 def read_feed_titles(spark: SparkSession, path: str) -> DataFrame:
@@ -83,13 +96,13 @@ def read_feed_titles(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stream_feed_entries(spark: SparkSession, path: str) -> DataFrame:
-    """The same as a stream over the landing folder; the order of a feed is that of its documents' arrival."""
-    found = None
-    for tag, shape, columns in _SHAPES:
-        items = spark.readStream.format("xml").option("rowTag", tag).schema(T.StructType([*shape.fields, _FEED])).load(path)
-        rows = items.select("feed_id", *columns(), F.unix_micros("_metadata.file_modification_time").alias("pos"))
-        found = rows if found is None else found.unionByName(rows)
-    return _as_entries(found)
+    """The same as a stream over the landing folder.
+
+    A stream can't count what came before, so ``pos`` is made of the document's time in milliseconds and the
+    place in it: it orders a feed's entries as in batch, but for documents of one feed that landed in one millisecond.
+    """
+    pos = F.shiftleft(F.unix_millis("_time"), PLACE_BITS) + F.col("place")
+    return _as_entries(_entries(spark.readStream, path).withColumn("pos", pos))
 
 
 def land_feed_documents(entries: DataFrame, path: str, atom: bool = False) -> None:
