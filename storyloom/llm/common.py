@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from storyloom.session import cut_lineage, shared_dir
 
-__all__ = ["ARROW", "ASCII_SPACE", "cut_lineage", "mapped_texts", "numbered", "read_table", "texts_of", "words_of", "written"]
+__all__ = ["ARROW", "ASCII_SPACE", "cut_lineage", "mapped_texts", "numbered", "read_table", "small_side", "texts_of", "words_of", "written"]
 
 #: What separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
@@ -64,6 +64,18 @@ def mapped_texts(docs: DataFrame, keep: list[str], columns: dict[str, T.DataType
     return chosen.mapInArrow(run, schema)
 
 
+#: Rows of a few numbers each that a join may send to every executor: some 30 MB.
+BROADCAST_ROWS = 500_000
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """A written table of a few numbers a row, marked for broadcast if it has at most ``BROADCAST_ROWS`` rows.
+
+    Beyond that it is left to a shuffled join.  So texts stay where they are while their keys are few.
+    """
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read again: computed once, and lineage ends there.
 

@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from storyloom.llm.common import mapped_texts, written
+from storyloom.llm.common import mapped_texts, small_side, written
 from storyloom.llm.simhash import components, shingle_hashes
 
 #: Matches that a prefix may ask for at most.
@@ -112,7 +112,7 @@ def whole_sets(docs: DataFrame, vertices: DataFrame, size: int) -> DataFrame:
 
     wanted = vertices.select("v", "n", F.col("first.doc_id").alias("__doc"), F.col("first.text_hash").alias("__hash"))
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("text_hash") == F.col("__hash"))).select("v", "n", "text")
+    texts = rows.join(small_side(wanted), F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("text_hash") == F.col("__hash"))).select("v", "n", "text")
     sets = written(mapped_texts(texts, ["v", "n"], {"own": T.ArrayType(T.LongType())}, start))
     # Rows that are alike in id and text give a set more than once; else nothing needs to move.
     if sets.count() > sets.agg(F.count_distinct("v")).first()[0]:
@@ -237,11 +237,11 @@ def groups(docs: DataFrame, setting: Setting = Setting()) -> DataFrame:
     rows = written(sketched.withColumn("r", F.monotonically_increasing_id()))
     first = rows.where("n > 0").groupBy("set_id").agg(F.min(F.struct("doc_id", "text_hash", "r")).alias("first"))
     firsts = written(first.select("set_id", F.col("first.r").alias("v"), "first"))
-    vertices = firsts.join(rows.select(F.col("r").alias("v"), "n", "lead", "needed"), "v")
-    vertices = written(led(vertices))
+    vertices = rows.select(F.col("r").alias("v"), "n", "lead", "needed").join(small_side(firsts.select("v")), "v", "left_semi")
+    vertices = written(led(vertices).join(firsts, "v"))
     sets = whole_sets(docs, vertices, setting.size)
     roots = classes(written(prefixes(sets, setting)), setting)
-    named = vertices.select("set_id", "v").join(roots, "v").select("set_id", F.col("root").alias("named"))
+    named = firsts.select("set_id", "v").join(roots, "v").select("set_id", F.col("root").alias("named"))
     # A set without a link is a class of its own, by its own name.
     root = F.when(F.col("n") > 0, F.coalesce(F.col("named").cast("string"), F.hex("set_id")))
     return rows.select(*keep, "n", "set_id").join(named, "set_id", "left").select(*keep, "n", root.alias("root"))
