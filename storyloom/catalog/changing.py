@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from storyloom.catalog.registry import NOW, query
-from storyloom.operators import corrections, lifecycle, merging
+from storyloom.operators import corrections, lifecycle, maintained, merging
 
 _S = ["id", "status", "last_article_at", "archived_at", "expires_at"]
 _EXPIRY = "{NOW} + INTERVAL '48' HOUR"
@@ -102,6 +102,16 @@ def _moved(t):
     return corrections.apply_moves(t.articles, t.stories, t.moves, NOW)
 
 
+@query("maintained_rollup", f"""WITH {_MOVES},
+after AS (SELECT a.id, coalesce(p.target, a.event_id) AS event_id, feed_source_id, importance_score FROM articles a LEFT JOIN placed p ON p.article_id = a.id)
+SELECT event_id, count(*) AS article_count, count(DISTINCT feed_source_id) AS feed_count, round(coalesce(avg(importance_score), 0), 6) AS importance_avg FROM after WHERE event_id IS NOT NULL GROUP BY event_id""")
+def _(t):
+    """The roll-up of the tables as they are, brought up to date by the moved articles alone."""
+    asked = t.moves.select(F.col("article_id").alias("id")).distinct()
+    before, after = (rows.join(asked, "id", "left_semi") for rows in (t.articles, _moved(t).articles))
+    return maintained.story_totals(maintained.maintained(maintained.kept_rollup(t.articles), maintained.rollup_changes(before, after)))
+
+
 @query("apply_moves_articles", f"WITH {_MOVES} SELECT a.id, CASE WHEN p.pos IS NULL THEN a.event_id ELSE p.target END AS event_id, CASE WHEN p.pos IS NOT NULL THEN {{NOW}} END AS grouped_at FROM articles a LEFT JOIN placed p ON p.article_id = a.id")
 def _(t):
     return _moved(t).articles.select("id", "event_id", "grouped_at")

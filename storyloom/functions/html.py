@@ -24,6 +24,7 @@ ALLOWED_TAGS = [
     "table", "thead", "tbody", "tr", "th", "td",
     "figure", "figcaption",
 ]
+# The attributes and protocols it may keep.
 ALLOWED_ATTRIBUTES = {
     "*": ["class", "id"],
     "a": ["href", "title", "target", "rel"],

@@ -21,6 +21,7 @@ from storyloom.settings import DEFAULTS
 
 LIVE_SNIPPET = 500
 RECLUSTER_SNIPPET = 300
+# Fixed value: what stands for a missing text.
 NO_CONTENT = "No content available."
 
 

@@ -15,8 +15,8 @@ from storyloom.settings import DEFAULTS
 def story_rollup(articles: DataFrame, reads: DataFrame, visits: DataFrame, visitor) -> DataFrame:
     """All per-story aggregates of one visitor in one pass over the articles.
 
-    One visitor's reads and visits are broadcast when a count shows they are
-    few; otherwise the joins shuffle, with the story key cut into slices.
+    Which side of a join is broadcast is left to adaptive execution; where it
+    shuffles, the story key is cut into slices.
     """
     rows = grouped(articles).select("id", "event_id", "feed_source_id", "importance_score", "fetched_at")
     rows = left_join_sliced(with_is_read(rows, reads, visitor), last_visits(visits, visitor), "event_id", "id")
