@@ -180,3 +180,8 @@ def test_main_content_of_broken_and_plain_pages():
     assert main_content_of(menu)[1] == "Real story text.\nMore of it."
     assert main_content_of("just text")[1] == "just text"
     assert main_content_of("")[1] == ""
+
+
+def test_main_content_of_cut_references():
+    page = "<title>You &amp;&amp and&amp</title><article><h1>and&amp</h1><p>a &lt b &lt;i&gt; &amp;lt; &ampx; &#65; &quot;&copy 1&quot;</p></article>"
+    assert main_content_of(page) == ("You &&amp and&amp", 'and&amp\na &lt b <i> &lt; &ampx; A "&copy 1"')
