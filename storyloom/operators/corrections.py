@@ -15,7 +15,7 @@ from storyloom.functions.text import host_name, non_empty, strip
 from storyloom.operators.ids import with_new_ids
 from storyloom.operators.lifecycle import reset_expiry
 from storyloom.operators.merging import accept_in_order, merge_stories
-from storyloom.operators.rollups import grouped, now_col, same_source_stories, story_article_counts
+from storyloom.operators.rollups import grouped, left_join_sliced, now_col, same_source_stories, story_article_counts
 from storyloom.operators.updates import change_rows, delete_rows, feedback_rows, left_by_story, lookup, not_stored
 from storyloom.session import cut_lineage
 from storyloom.settings import DEFAULTS
@@ -288,13 +288,32 @@ def mark_unread(reads: DataFrame, requests: DataFrame) -> DataFrame:
     return reads.join(requests.select("visitor_id", "article_id").distinct(), ["visitor_id", "article_id"], "left_anti")
 
 
-def mark_all_read(reads: DataFrame, articles: DataFrame, requests: DataFrame, now) -> DataFrame:
-    """Reads to add so that every article of the asked stories is read: the marked ids."""
+#: Articles of a story that meet a request as one row, about.
+READ_BLOCK = 4096
+
+
+def mark_all_read(reads: DataFrame, articles: DataFrame, requests: DataFrame, now, block: int = READ_BLOCK) -> DataFrame:
+    """Reads to add so that every article of the asked stories is read: the marked ids.
+
+    A request stands for all articles of its story, so the pairs come last and are never moved: a story's
+    article ids are dealt by hash into blocks of about ``block``, and requests, with what the visitor has
+    read of a block, meet whole blocks.
+    """
     asked = requests.select("visitor_id", "event_id").distinct()
-    wanted = grouped(articles).select("event_id", F.col("id").alias("article_id")).join(asked, "event_id")
+    members = grouped(articles).select("event_id", F.col("id").alias("article_id"))
+    sizes = members.groupBy("event_id").agg(F.ceil(F.count("*") / block).alias("_blocks"))
+    placed = left_join_sliced(members, sizes, "event_id", "article_id")
+    placed = placed.withColumn("_block", F.pmod(F.xxhash64("article_id"), "_blocks")).drop("_blocks")
+    # A null id is a row like any other, but would not be collected by itself.
+    blocks = placed.groupBy("event_id", "_block").agg(F.collect_list(F.struct("article_id")).alias("_articles"))
     # Reads of other visitors than those who ask do not take part.
     theirs = reads.join(asked.select("visitor_id").distinct(), "visitor_id", "left_semi")
-    missing = wanted.join(theirs.select("visitor_id", "article_id"), ["visitor_id", "article_id"], "left_anti")
+    seen = theirs.select("visitor_id", "article_id").join(placed, "article_id")
+    seen = seen.groupBy("visitor_id", "event_id", "_block").agg(F.collect_set("article_id").alias("_seen"))
+    wanted = asked.join(sizes, "event_id").select("visitor_id", "event_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).alias("_block"))
+    pairs = wanted.join(seen, ["visitor_id", "event_id", "_block"], "left").join(blocks, ["event_id", "_block"])
+    pairs = pairs.select("visitor_id", "event_id", "_seen", F.explode("_articles.article_id").alias("article_id"))
+    missing = pairs.filter(~F.coalesce(F.array_contains("_seen", F.col("article_id")), F.lit(False)))
     return missing.select("visitor_id", "article_id", "event_id", now_col(now).alias("read_at"))
 
 

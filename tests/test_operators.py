@@ -257,6 +257,31 @@ def test_duplicate_names_like_brute_force(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("block", [1, 3, 4096])
+def test_all_read_like_pairs(spark, block):
+    articles = [(n, n % 3) for n in range(40)] + [(7, 1), (8, None), (None, 1), (50, 9)]
+    asked = [(1, 1), (1, 1), (2, 1), (2, 2), (None, 0), (3, None), (4, 77)]
+    seen = [(1, 1), (1, 7), (1, 8), (1, 8), (2, 2), (2, None), (None, 3), (5, 4)]
+    frames = spark.createDataFrame(seen, "visitor_id long, article_id long"), spark.createDataFrame(articles, "id long, event_id long"), spark.createDataFrame(asked, "visitor_id long, event_id long")
+    got = corrections.mark_all_read(*frames, NOW, block).select("visitor_id", "article_id", "event_id")
+    want = [(v, a, e) for v, e in set(asked) for a, story in articles if story == e is not None and (None in (v, a) or (v, a) not in seen)]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_all_read_moves_no_pairs(spark):
+    articles, people = spark.range(300).selectExpr("id", "id % 2 AS event_id"), spark.range(200)
+    reads, asked = people.selectExpr("id AS visitor_id", "id AS article_id"), people.selectExpr("id AS visitor_id", "id % 2 AS event_id")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = corrections.mark_all_read(reads, articles, asked, NOW)
+        assert rows.count() == 200 * 150 - 200
+        after_pairs, _, before_pairs = rows._jdf.queryExecution().sparkPlan().toString().partition("explode(_articles")
+        assert before_pairs and "Join" not in after_pairs
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_a_store_is_published_as_a_whole(spark):
     base = tables.run_dir(shared_dir(spark), "store")
     frame = lambda name: spark.createDataFrame([(1, name)], "id long, name string")
