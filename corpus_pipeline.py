@@ -21,7 +21,10 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def first_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group of near copies: five-word similarity of 0.8 or more."""
+    """One document, that of the smallest doc_id, of each group of near copies: five-word similarity of 0.8 or more.
+
+    Found by SimHash and multi-index hashing first, the rest by the exact join.
+    """
     return near_copies.keep_first(docs)
 
 

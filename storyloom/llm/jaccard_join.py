@@ -33,6 +33,7 @@ an empty result.  Other columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 import numpy as np
@@ -42,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from storyloom.llm.common import mapped_texts, small_side, written
-from storyloom.llm.simhash import components, shingle_hashes
+from storyloom.llm.simhash import components, fingerprint_of, shingle_hashes
 
 #: Matches that a prefix may ask for at most.
 MOST_MATCHES = 8
@@ -76,20 +77,23 @@ def shingle_set(text: str, size: int) -> np.ndarray:
     return np.unique(np.fromiter(shingle_hashes(text, size), np.uint64))
 
 
-def sketches(docs: DataFrame, keep: list[str], setting: Setting) -> DataFrame:
-    """``keep`` columns, ``set_id``, ``n`` distinct shingles, the ``lead`` and how many of it must be ``needed``."""
+def sketches(docs: DataFrame, keep: list[str], setting: Setting, prints: bool = False) -> DataFrame:
+    """``keep`` columns, ``set_id``, ``n`` distinct shingles, the ``lead`` and how many of it must be ``needed``;
+    with ``prints`` also the SimHash fingerprint ``fp`` of all shingles, repeats included."""
 
     def start():
         def each(texts):
             for text in texts:
-                own = shingle_set(text, setting.size)
+                hashes = np.fromiter(shingle_hashes(text, setting.size), np.uint64)
+                own = np.unique(hashes)
                 n = len(own)
-                yield xxhash.xxh3_128_digest(own.tobytes()), n, own[: setting.lead_length(n)].view(np.int64).tolist(), setting.lead_needed(n) if n else 0
+                found = xxhash.xxh3_128_digest(own.tobytes()), n, own[: setting.lead_length(n)].view(np.int64).tolist(), setting.lead_needed(n) if n else 0
+                yield (*found, fingerprint_of(hashes)) if prints else found
 
         return each
 
     columns = {"set_id": T.BinaryType(), "n": T.LongType(), "lead": T.ArrayType(T.LongType()), "needed": T.LongType()}
-    return mapped_texts(docs, keep, columns, start)
+    return mapped_texts(docs, keep, columns | ({"fp": T.LongType()} if prints else {}), start)
 
 
 def _common(tokens: DataFrame) -> DataFrame:
@@ -167,14 +171,18 @@ def _sides(lists: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
     return tuple(lists.select(*(F.col(c).alias(c if c in ("token", "head") else c + x) for c in columns)) for x in "ab")
 
 
-def classes(prefixed: DataFrame, setting: Setting) -> DataFrame:
-    """``v`` and the ``root`` of its class, from what ``prefixes`` gives."""
+def classes(prefixed: DataFrame, setting: Setting, candidates: DataFrame | None = None) -> DataFrame:
+    """``v`` and the ``root`` of its class, from what ``prefixes`` gives.
+
+    ``candidates`` (``a``, ``b``) are pairs found by other means: those that reach the bound link first.
+    """
     sets = prefixed.select("v", "n", "shared")
     roots = prefixed.select("v", F.col("v").alias("root"))
     lists = prefixed.select(F.explode("prefix").alias("token"), "v", "n", "m", "common", F.col("v").alias("root"))
     first = _stars(lists, setting, "token")
     against = written(compared(first, sets))
-    linked = against.where(_reaches(setting, F.col("overlap"), "na", "nb"))
+    linked = against if candidates is None else against.unionByName(compared(candidates, sets))
+    linked = linked.where(_reaches(setting, F.col("overlap"), "na", "nb"))
     roots = _merged(roots, linked.select("a", "b"))
 
     # Every vertex under one head: that which it was compared with, or itself where it was compared with none.
@@ -230,17 +238,21 @@ def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
     return written(roots.join(above, "root", "left").select("v", F.coalesce("above", "root").alias("root")))
 
 
-def groups(docs: DataFrame, setting: Setting = Setting()) -> DataFrame:
-    """``doc_id``, ``text_hash``, ``n`` distinct shingles, and ``root``, the same for the rows of one class and null for an empty set."""
-    keep = ["doc_id", "text_hash"]
-    sketched = sketches(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), keep, setting)
+def groups(docs: DataFrame, setting: Setting = Setting(), search: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``doc_id``, ``text_hash``, ``n`` distinct shingles, and ``root``, the same for the rows of one class and null for an empty set.
+
+    ``search`` may give candidate pairs ``a``, ``b`` of the distinct sets, from their numbers ``v`` and fingerprints ``fp``.
+    """
+    keep, own = ["doc_id", "text_hash"], ["fp"] if search else []
+    sketched = sketches(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), keep, setting, bool(search))
     rows = written(sketched.withColumn("r", F.monotonically_increasing_id()))
-    first = rows.where("n > 0").groupBy("set_id").agg(F.min(F.struct("doc_id", "text_hash", "r")).alias("first"))
+    first = rows.where("n > 0").groupBy("set_id").agg(F.min(F.struct("doc_id", "text_hash", "r", *own)).alias("first"))
     firsts = written(first.select("set_id", F.col("first.r").alias("v"), "first"))
+    candidates = search(firsts.select("v", "first.fp")) if search else None
     vertices = rows.select(F.col("r").alias("v"), "n", "lead", "needed").join(small_side(firsts.select("v")), "v", "left_semi")
     vertices = written(led(vertices).join(firsts, "v"))
     sets = whole_sets(docs, vertices, setting.size)
-    roots = classes(written(prefixes(sets, setting)), setting)
+    roots = classes(written(prefixes(sets, setting)), setting, candidates)
     named = firsts.select("set_id", "v").join(roots, "v").select("set_id", F.col("root").alias("named"))
     # A set without a link is a class of its own, by its own name.
     root = F.when(F.col("n") > 0, F.coalesce(F.col("named").cast("string"), F.hex("set_id")))

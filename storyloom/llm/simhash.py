@@ -22,8 +22,8 @@ rows stay.  An empty table gives an empty result.  Other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from itertools import accumulate
+from collections.abc import Callable, Iterable, Iterator
+from itertools import accumulate, islice
 
 import numpy as np
 import xxhash
@@ -48,15 +48,30 @@ def shingle_hashes(text: str, size: int) -> Iterator[int]:
     return (xxhash.xxh64_intdigest(joined[s : e - 1], SEED) for s, e in zip(starts, ends[size - 1 :], strict=False))
 
 
-def fingerprint(text: str, size: int = 3) -> int:
-    """The fingerprint as an unsigned number; zero for a text without words."""
-    hashes, total, set_bits = shingle_hashes(text, size), 0, np.zeros(64, np.int64)
-    while len(part := np.fromiter((h for h, _ in zip(hashes, range(_CHUNK), strict=False)), np.uint64)):
+def majority(parts: Iterable[np.ndarray]) -> int:
+    """The fingerprint, as an unsigned number, of the hashes in all parts: the bits that over half of them have."""
+    total, set_bits = 0, np.zeros(64, np.int64)
+    for part in parts:
         total += len(part)
         set_bits += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * set_bits > total, bitorder="little").tobytes(), "little")
 
 
+def _parts(hashes: Iterator[int]) -> Iterator[np.ndarray]:
+    while len(part := np.fromiter(islice(hashes, _CHUNK), np.uint64)):
+        yield part
+
+
+def fingerprint(text: str, size: int = 3) -> int:
+    """The fingerprint as an unsigned number; zero for a text without words."""
+    return majority(_parts(shingle_hashes(text, size)))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The same of shingle hashes, repeats included, as a signed number."""
+    return _signed(majority(hashes[at : at + _CHUNK] for at in range(0, len(hashes), _CHUNK)))
+
+
 def fingerprints(docs: DataFrame, keep: list[str], size: int = 3, name: str = "fp") -> DataFrame:
     """``keep`` columns and the fingerprint as a signed 64-bit number."""
 

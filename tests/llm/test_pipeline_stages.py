@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from storyloom.llm import mixing, near_copies, quality_rules
+from storyloom.llm import mixing, near_copies, quality_rules, simhash
 from storyloom.llm.common import read_table, written
 
 MIDDLE = "/root/testdata/sf0.01"
@@ -55,3 +55,35 @@ def test_near_copies_of_five_words_go_and_no_others(spark, edges, nothing):
     ids = sorted((r.doc_id for r in near_copies.keep_first(edges).collect() if r.doc_id is not None))
     assert ids == [-3, 1, 4, 5, 6, 7, 9, 11]
     assert near_copies.keep_first(nothing).count() == 0
+
+
+def test_near_copies_come_by_fingerprint_first(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    bits = lambda x: sum(1 << int(b) for b in rng.choice(63, x, replace=False))
+    prints = [p ^ bits(k % 5) for k, p in enumerate(int(p) for p in rng.integers(0, 1 << 62, 12) for _ in range(12))]
+    found = {(r.a, r.b) for r in near_copies.by_fingerprint(spark.createDataFrame(list(enumerate(prints)), "v long, fp long")).collect()}
+    apart = lambda a, b: (prints[a] ^ prints[b]).bit_count()
+    assert all(apart(a, b) <= 2 for a, b in found)
+    firsts = {p: n for n, p in reversed(list(enumerate(prints)))}
+    want = {(firsts[p], n) for n, p in enumerate(prints) if firsts[p] != n}
+    for p, n in firsts.items():
+        lower = [q for q in firsts if q < p and (p ^ q).bit_count() <= 2]
+        want |= {(firsts[min(lower)], n)} if lower else set()
+    assert found == want and {apart(a, b) for a, b in found} == {0, 1, 2}
+
+    # The stage searches every distinct text, and a pair below 0.8 is no link, however near its fingerprints.
+    words = [f"w{n}" for n in range(200)]
+    rows = [(1, " ".join(words)), (2, " ".join(words + ["end"])), (3, " ".join(words[::-1])), (4, " ".join(words).upper()), (5, "")]
+    searched = []
+    monkeypatch.setattr(near_copies, "by_fingerprint", lambda sets: searched.extend(r.v for r in sets.collect()) or sets.crossJoin(sets.select(F.col("v").alias("b"))).where("v < b").selectExpr("v AS a", "b"))
+    assert {r.doc_id for r in near_copies.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {1, 3, 5}
+    assert len(set(searched)) == 3
+
+
+def test_fingerprint_of_more_shingles_than_a_part(monkeypatch):
+    text = " ".join(f"w{n * n % 97}" for n in range(60))
+    whole = simhash.fingerprint(text)
+    monkeypatch.setattr(simhash, "_CHUNK", 7)
+    assert simhash.fingerprint(text) == whole
+    hashes = np.fromiter(simhash.shingle_hashes(text, 3), np.uint64)
+    assert simhash.fingerprint_of(hashes) % (1 << 64) == whole
